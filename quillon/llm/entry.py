@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe
+from quillon.llm import bpe, decontam
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
+    "op7_decontamination": decontam.op7_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
