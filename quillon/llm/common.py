@@ -64,3 +64,22 @@ def ascii_lower(text: Column) -> Column:
 
 def spread(rows: Iterable) -> list:
     return [r for part in rows for r in part]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, limit: int) -> DataFrame:
+    """(doc_id, text, label) of at most about ``limit`` labelled documents outside ``held_out``.
+
+    Rows are picked by a hash of their id, so each labelled row has the same
+    chance. A document with several labels gets their majority (ties: 1); null
+    labels and ids count as none. The labels are bounded by ``limit`` and so are
+    broadcast; documents are read once.
+    """
+    usable = (
+        labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
+        .groupBy("doc_id")
+        .agg((F.avg(column) >= 0.5).cast("int").alias("label"))
+    )
+    n = usable.count()
+    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    picked = usable.where(share < limit / n) if n > limit else usable
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")

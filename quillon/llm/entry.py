@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, decontam
+from quillon.llm import bpe, decontam, rff, toxicity
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
+    "op6_quality": rff.op6_quality,
     "op7_decontamination": decontam.op7_decontamination,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
