@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, decontam, rff, toxicity
+from quillon.llm import bpe, decontam, minhash, rff, toxicity
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
     "op6_quality": rff.op6_quality,
     "op7_decontamination": decontam.op7_decontamination,
+    "op8_minhash": minhash.op8_minhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
