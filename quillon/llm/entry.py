@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillon.llm import bpe, decontam, minhash, rff, toxicity
 
 QUERIES = {
@@ -10,6 +11,7 @@ QUERIES = {
     "op7_decontamination": decontam.op7_decontamination,
     "op8_minhash": minhash.op8_minhash,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
