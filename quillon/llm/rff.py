@@ -126,9 +126,9 @@ def _sums(rows: DataFrame, mean, scale, waves, phases) -> dict[int, tuple[np.nda
                 sums[k] = (sums[k][0] + f[own].T @ f[own], sums[k][1] + f[own].T @ rows["label"].to_numpy()[own])
         yield pd.DataFrame([(k, a.tobytes(), b.tobytes()) for k, (a, b) in sums.items()], columns=["fold", "a", "b"])
 
-    spread = rows.repartition(SUMS, "doc_id").sortWithinPartitions("doc_id")
+    few = rows.coalesce(SUMS)  # the sample is bounded, and so is what the driver gets
     out = {k: (np.zeros((d, d)), np.zeros(d)) for k in range(FOLDS)}
-    for r in sorted(spread.mapInPandas(part, "fold int, a binary, b binary").collect(), key=lambda r: (r.fold, bytes(r.b))):
+    for r in sorted(few.mapInPandas(part, "fold int, a binary, b binary").collect(), key=lambda r: (r.fold, bytes(r.b))):
         a, b = out[r.fold]
         out[r.fold] = (a + np.frombuffer(r.a).reshape(d, d), b + np.frombuffer(r.b))
     return out
