@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import bpe, decontam, minhash, rff, toxicity, warc
+from quillon.llm import bpe, decontam, minhash, repair, rff, toxicity, warc
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
     "op2_warc": warc.op2_warc,
+    "op4_repair": repair.op4_repair,
     "op6_quality": rff.op6_quality,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_minhash": minhash.op8_minhash,
