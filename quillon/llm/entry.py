@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import bpe, decontam, minhash, repair, rff, toxicity, warc
+from quillon.llm import bpe, decontam, minhash, repair, rff, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
@@ -12,8 +12,11 @@ QUERIES = {
     "op6_quality": rff.op6_quality,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_minhash": minhash.op8_minhash,
+    "op9_url_rules": url_rules.op9_url_rules,
     "op10_toxicity": toxicity.op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_rules": url_rules.ORACLE,
+}
