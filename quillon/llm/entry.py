@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import bpe, decontam, minhash, repair, rff, toxicity, url_rules, warc
+from quillon.llm import bpe, decontam, minhash, ngram_lm, repair, rff, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
     "op2_warc": warc.op2_warc,
     "op4_repair": repair.op4_repair,
+    "op5_stupid_backoff": ngram_lm.op5_stupid_backoff,
     "op6_quality": rff.op6_quality,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_minhash": minhash.op8_minhash,
@@ -18,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_stupid_backoff": ngram_lm.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
 }
