@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import bpe, decontam, minhash, ngram_lm, repair, rff, toxicity, url_rules, warc
+from quillon.llm import bpe, decontam, minhash, ngram_lm, pivots, repair, rff, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
     "op2_warc": warc.op2_warc,
+    "op3_pivots": pivots.op3_pivots,
     "op4_repair": repair.op4_repair,
     "op5_stupid_backoff": ngram_lm.op5_stupid_backoff,
     "op6_quality": rff.op6_quality,
