@@ -1,0 +1,3 @@
+"""Queries by name; importing this package registers all of them."""
+
+from quillon.plans import scoring  # noqa: F401
