@@ -58,3 +58,8 @@ def dense(keys: DataFrame, facts: DataFrame, on: list[str], fill: dict) -> DataF
 def combined(*conditions: Column | None) -> Column:
     """The conjunction of those that are given."""
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
+
+
+def micros(time: str) -> Column:
+    """Microseconds of a time column, for differences; days of other lengths come from these, not from calendar days."""
+    return F.unix_micros(F.col(time).cast("timestamp"))

@@ -8,7 +8,8 @@
 3. Rounds of comparisons within buckets. The first two rounds compare each
    member with one centre of its bucket, which joins large groups of copies with
    as many comparisons as they have members. The last round compares, in blocks,
-   all members of a bucket that are still in different components.
+   all members of a bucket that are still in different components; a pair is
+   compared in the first bucket it shares only.
 4. A comparison reads signatures in batches. After each batch the posterior
    probability that the similarity reaches the threshold, given the matches so
    far, is bounded below by ``MISS``, or the pair is pruned. Survivors are
@@ -37,9 +38,9 @@ BANDS, ROWS = 25, 5
 HASHES = 128
 BATCH = 32
 #: Posterior probability of reaching the threshold below which a pair is pruned.
-MISS = 1e-6
+MISS = 1e-5
 #: Members of a bucket in one block of the last round, and of a centre in one group of exact verification.
-BLOCK, GROUP = 256, 256
+BLOCK, GROUP = 2_048, 64
 SEED = 977
 
 
@@ -120,12 +121,18 @@ def plausible(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
+def first_band(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first band in which each row of ``right`` equals ``left``."""
+    equal = (left == right)[:, : BANDS * ROWS].reshape(len(right), BANDS, ROWS).all(axis=2)
+    return equal.argmax(axis=1)
+
+
 def matrix(signatures) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, HASHES)
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets that hold more than one node."""
+    """(bucket, band, node) of the buckets that hold more than one node."""
 
     @F.pandas_udf("array<long>")
     def bands(signatures: pd.Series) -> pd.Series:
@@ -134,7 +141,7 @@ def buckets(reps: DataFrame) -> DataFrame:
         step = 4 * ROWS
         return signatures.map(lambda s: [xxh3_64_intdigest(s[k * step : (k + 1) * step], seed=k) - (1 << 63) for k in range(BANDS)])
 
-    rows = reps.select(F.explode(bands("signature")).alias("bucket"), F.col("rep").alias("node"))
+    rows = reps.select(F.posexplode(bands("signature")).alias("band", "bucket"), F.col("rep").alias("node"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     return rows.join(shared, "bucket").distinct()
 
@@ -161,21 +168,23 @@ def block_survivors(members: DataFrame, reps: DataFrame, percent: int) -> DataFr
     own = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A member of block i takes part in the groups (i, j) and (j, i) of every block j.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = own.select("bucket", "node", "component", "block", F.explode(pairs).alias("g")).join(reps.select(F.col("rep").alias("node"), "signature"), "node")
+    rows = own.select("bucket", "band", "node", "component", "block", F.explode(pairs).alias("g")).join(reps.select(F.col("rep").alias("node"), "signature"), "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["node"])
         sig, node, comp, block = matrix(rows["signature"]), rows["node"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
+        band = rows["band"].iloc[0]
         first, second = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
         out = []
         for x in first:
             others = second[(comp[second] != comp[x]) & ((block[second] != block[x]) | (second > x))]
             if len(others):
                 others = others[plausible(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], percent)]
+                others = others[first_band(sig[x], sig[others]) == band]
                 out.append(pd.DataFrame({"a": np.minimum(node[x], node[others]), "b": np.maximum(node[x], node[others])}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    grouped = rows.select("bucket", "g.i", "g.j", "node", "component", "block", "signature").groupBy("bucket", "i", "j")
+    grouped = rows.select("bucket", "band", "g.i", "g.j", "node", "component", "block", "signature").groupBy("bucket", "i", "j")
     return grouped.applyInPandas(compare, "a long, b long").distinct()
 
 
