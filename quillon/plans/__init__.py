@@ -1,3 +1,3 @@
 """Queries by name; importing this package registers all of them."""
 
-from quillon.plans import dashboard, evaluation, policy, scoring  # noqa: F401
+from quillon.plans import dashboard, evaluation, policy, releases, scoring, typosquat  # noqa: F401
