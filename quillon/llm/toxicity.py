@@ -30,8 +30,8 @@ from quillon.llm.common import labelled_sample, materialise, remainder, table
 #: Labelled rows for the fit, about.
 SAMPLE = 20_000
 TOKENS = 50_000
-#: Pseudo-counts of the prior, and the least z-score of a token that counts.
-PRIOR, LEAST_Z = 1_000.0, 4.0
+#: Pseudo-counts of the prior as a share of all counts, and the least z-score of a token that counts.
+PRIOR, LEAST_Z = 0.05, 3.0
 DRIFT = 0.1
 #: Letters of a word's beginning that may stand for it.
 BEGINNINGS = (5, 4)
@@ -45,9 +45,8 @@ def tokens(text: str) -> list[str]:
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of tokens with an informative Dirichlet prior, and their z-scores."""
-    both = toxic + clean
-    prior = PRIOR * both / both.sum()
-    n_toxic, n_clean = toxic.sum() + PRIOR, clean.sum() + PRIOR
+    prior = PRIOR * (toxic + clean)
+    n_toxic, n_clean = toxic.sum() + prior.sum(), clean.sum() + prior.sum()
     odds = np.log((toxic + prior) / (n_toxic - toxic - prior)) - np.log((clean + prior) / (n_clean - clean - prior))
     return odds, odds / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
 
@@ -164,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held_out=None
     def words(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: tokens(t) if t else [])
 
-    # Each document counts a token once, so that one document's habit isn't a class's.
-    word = rows.select("label", F.explode(F.array_distinct(words("text"))).alias("word"))
+    # Each text counts a token once, and copies count once, so that one document's habit isn't a class's.
+    texts = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.max("label").alias("label"), F.first("text").alias("text"))
+    word = texts.select("label", F.explode(F.array_distinct(words("text"))).alias("word"))
     kinds = [F.struct(F.lit(0).alias("n"), F.col("word").alias("token"))] + [F.when(F.length("word") > n, F.struct(F.lit(n).alias("n"), F.substring("word", 1, n).alias("token"))) for n in BEGINNINGS]
     counts = (
         word.select("label", F.explode(F.array_compact(F.array(*kinds))).alias("t"))

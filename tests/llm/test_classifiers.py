@@ -23,8 +23,12 @@ def test_held_out_accuracy(spark, larger, query, column):
     rows = query(spark, larger).collect()
     assert len(rows) == table(spark, larger, "documents").count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    right, share = accuracy(rows, table(spark, larger, "labels"), column)
+    labels = table(spark, larger, "labels")
+    right, share = accuracy(rows, labels, column)
+    flagged = {r.doc_id for r in labels.where(f"{column} = 1").collect()}
     assert right > max(0.95, share, 1 - share)
+    caught = [r.predicted for r in rows if r.held_out and r.doc_id in flagged]
+    assert np.mean(caught) > 0.8
 
 
 @pytest.mark.parametrize("op, column", [(rff, "quality"), (toxicity, "toxic")])
