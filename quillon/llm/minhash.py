@@ -5,17 +5,19 @@
    class; only one of each class goes on.
 2. Signatures are cut into bands; representatives with an equal band share a
    bucket.
-3. Rounds of comparisons within buckets. The first two rounds compare each
-   member with one centre of its bucket, which joins large groups of copies with
-   as many comparisons as they have members. The last round compares, in blocks,
-   all members of a bucket that are still in different components; a pair is
-   compared in the first bucket it shares only.
+3. Rounds of comparisons. The first two rounds compare each member with one
+   centre of its bucket, which joins large groups of copies with as many
+   comparisons as they have members. The last round takes the clusters of nodes
+   that chains of shared buckets hold together and in which several components
+   are left, cuts each into blocks, and compares what is still in different
+   components. A pair of blocks is compared in place and returns only the links
+   that join components, so fewer rows than it has members.
 4. A comparison reads signatures in batches. After each batch the posterior
    probability that the similarity reaches the threshold, given the matches so
    far, is bounded below by ``MISS``, or the pair is pruned. Survivors are
    verified on the full shingle sets.
 
-A pair in one bucket thus ends in one component, is pruned by the posterior, or
+A pair in one cluster thus ends in one component, is pruned by the posterior, or
 is refuted exactly; no bucket is capped. Two documents at the threshold share no
 bucket with probability (1 - s^ROWS)^BANDS: 4e-7 at 0.85, 5e-5 at 0.8.
 """
@@ -39,8 +41,8 @@ HASHES = 128
 BATCH = 32
 #: Posterior probability of reaching the threshold below which a pair is pruned.
 MISS = 1e-5
-#: Members of a bucket in one block of the last round, and of a centre in one group of exact verification.
-BLOCK, GROUP = 2_048, 64
+#: Nodes of a cluster in one block of the last round, and their shingles; right sides in one group of exact verification.
+BLOCK, SHINGLES, GROUP = 512, 1_000_000, 64
 SEED = 977
 
 
@@ -121,18 +123,12 @@ def plausible(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
-def first_band(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The first band in which each row of ``right`` equals ``left``."""
-    equal = (left == right)[:, : BANDS * ROWS].reshape(len(right), BANDS, ROWS).all(axis=2)
-    return equal.argmax(axis=1)
-
-
 def matrix(signatures) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, HASHES)
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, band, node) of the buckets that hold more than one node."""
+    """(bucket, node) of the buckets that hold more than one node."""
 
     @F.pandas_udf("array<long>")
     def bands(signatures: pd.Series) -> pd.Series:
@@ -141,7 +137,7 @@ def buckets(reps: DataFrame) -> DataFrame:
         step = 4 * ROWS
         return signatures.map(lambda s: [xxh3_64_intdigest(s[k * step : (k + 1) * step], seed=k) - (1 << 63) for k in range(BANDS)])
 
-    rows = reps.select(F.posexplode(bands("signature")).alias("band", "bucket"), F.col("rep").alias("node"))
+    rows = reps.select(F.explode(bands("signature")).alias("bucket"), F.col("rep").alias("node"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     return rows.join(shared, "bucket").distinct()
 
@@ -162,30 +158,52 @@ def survivors_of(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(survives("sa", "sb")).select("a", "b").distinct()
 
 
-def block_survivors(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs across components, of all members of a bucket, each pair of blocks in a group of its own."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    own = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Exactly: does the intersection reach its share of the union?"""
+    small, large = sorted((len(left), len(right)))
+    if 100 * small < percent * large:
+        return False
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (small + large - shared)
+
+
+def cluster_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components among all nodes of a cluster, each pair of blocks in a group of its own."""
+    centre = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    held = members.join(centre, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    clusters = connected_components(held).withColumnRenamed("component", "cluster")
+    nodes = materialise(members.select("node", "component").distinct().join(clusters, "node"), "clusters")
+    sizes = (
+        nodes.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("cluster")
+        .agg(F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n") / F.lit(float(SHINGLES)))).cast("int").alias("blocks"))
+    )
+    own = nodes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A member of block i takes part in the groups (i, j) and (j, i) of every block j.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = own.select("bucket", "band", "node", "component", "block", F.explode(pairs).alias("g")).join(reps.select(F.col("rep").alias("node"), "signature"), "node")
+    rows = own.join(reps.select(F.col("rep").alias("node"), "signature"), "node").join(texts, "node").select("cluster", "node", "component", "block", "signature", "text", F.explode(pairs).alias("g"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["node"])
-        sig, node, comp, block = matrix(rows["signature"]), rows["node"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
-        band = rows["band"].iloc[0]
+        sig, node, block, texts = matrix(rows["signature"]), rows["node"].to_numpy(), rows["block"].to_numpy(), rows["text"].tolist()
+        label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
         first, second = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
-        out = []
+        sets, out = {}, []
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(texts[k], width)
+            return sets[k]
+
         for x in first:
-            others = second[(comp[second] != comp[x]) & ((block[second] != block[x]) | (second > x))]
+            others = second[(label[second] != label[x]) & ((block[second] != block[x]) | (second > x))]
             if len(others):
-                others = others[plausible(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], percent)]
-                others = others[first_band(sig[x], sig[others]) == band]
-                out.append(pd.DataFrame({"a": np.minimum(node[x], node[others]), "b": np.maximum(node[x], node[others])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+                for y in others[plausible(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], percent)]:
+                    if label[y] != label[x] and similar(set_of(x), set_of(y), percent):
+                        out.append((node[x], node[y]))
+                        label[label == label[y]] = label[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    grouped = rows.select("bucket", "band", "g.i", "g.j", "node", "component", "block", "signature").groupBy("bucket", "i", "j")
-    return grouped.applyInPandas(compare, "a long, b long").distinct()
+    grouped = rows.select("cluster", "g.i", "g.j", "node", "component", "block", "signature", "text").groupBy("cluster", "i", "j")
+    return grouped.applyInPandas(compare, "a long, b long")
 
 
 def links_among(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -213,11 +231,8 @@ def links_among(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 if side == 0:
                     lefts.append(own)
                     continue
-                for left in lefts:
-                    shared = len(np.intersect1d(left, own, assume_unique=True))
-                    if shared and 100 * shared >= percent * (len(left) + len(own) - shared):
-                        out.append((a, node))
-                        break
+                if any(similar(left, own, percent) for left in lefts):
+                    out.append((a, node))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.select("a", "salt", "node", "side", "text").mapInPandas(verify, "a long, b long")
@@ -232,7 +247,7 @@ def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     base = materialise(sketch(docs, width), "sketch")
     named = base.where("doc_id is not null and digest is not null")
-    reps = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "reps")
+    reps = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n").alias("n")), "reps")
     members = materialise(buckets(reps), "buckets")
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"), "texts")
 
@@ -242,8 +257,12 @@ def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
         # Buckets whose members are all in one component need no further look.
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
         left = labelled.join(mixed, "bucket", "left_semi")
-        near = survivors_of(star_pairs(left, turn), reps, percent) if turn < 2 else block_survivors(left, reps, percent)
-        links.append(materialise(links_among(materialise(near, "near"), texts, width, percent), "links"))
+        if turn < 2:
+            near = materialise(survivors_of(star_pairs(left, turn), reps, percent), "near")
+            made = links_among(near, texts, width, percent)
+        else:
+            made = cluster_links(materialise(left, "mixed"), reps, texts, width, percent)
+        links.append(materialise(made, "links"))
         edges = links[0]
         for more in links[1:]:
             edges = edges.union(more)

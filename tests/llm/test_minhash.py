@@ -55,6 +55,7 @@ def test_chains_and_odd_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(None, "one", "z"), (63, "one", "z")], "doc_id long, text string, component_id string")
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "GROUP", 2)
+    monkeypatch.setattr(minhash, "SHINGLES", 1000)
     rows = minhash.duplicates(docs, 3, 85).collect()
     assert len(rows) == len(texts) + 2
     for r in rows:
