@@ -65,6 +65,8 @@ class Memory:
 class BytePairCodec:
     """Encoder and decoder for one vocabulary file in the tokenizers JSON format."""
 
+    width = "I"  # of encoded ids: 32 bits
+
     def __init__(self, path: str):
         import regex
 
@@ -94,7 +96,7 @@ class BytePairCodec:
         #: The tokenizers library knows an older Unicode, so characters outside these blocks are left to it.
         self.settled = re.compile("[\0-\u0556\u2010-\u205e\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
         self.path, self.library = path, None
-        self.token = Memory(lambda token: pack(self.merge(token.encode())))
+        self.token = Memory(lambda token: pack(self.merge(token.encode()), self.width))
         self.piece = Memory(lambda piece: b"".join(map(self.token, self.split(piece))))
 
     def split(self, text: str) -> list[str]:
@@ -146,20 +148,24 @@ class BytePairCodec:
         """
         if "\0" in text or self.odd_blank(text):
             return self.piece(text)
-        return b"".join(map(self.piece, text.replace(" ", "\0 ").split("\0")))
+        pieces = text.replace(" ", "\0 ").split("\0")
+        found = list(map(self.piece.young.get, pieces))
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = self.piece(pieces[k])
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; special tokens in the text count as such."""
+        """Ids as little-endian unsigned integers; special tokens in the text count as such."""
         if self.special_split is None or not any(s in text for s in self.special):
             return self._plain(text)
-        return b"".join(pack([self.special[x]]) if x in self.special else self._plain(x) for x in self.special_split(text) if x)
+        return b"".join(pack([self.special[x]], self.width) if x in self.special else self._plain(x) for x in self.special_split(text) if x)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.strings.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-def pack(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+def pack(ids: list[int], width: str = "I") -> bytes:
+    return array(width, ids).tobytes()
 
 
 @lru_cache(maxsize=2)

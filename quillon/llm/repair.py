@@ -20,8 +20,6 @@ table that Spark has committed are read.
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 import zlib
 from array import array
@@ -33,25 +31,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.bpe import BytePairCodec, byte_symbols
 from quillon.llm.common import materialise, open_fs, parts, shared_dir, table
 
 SHARD_IDS = 2_000_000
 #: Replacement rounds, pairs replaced in one round, and the fewest occurrences worth a rule.
 ROUNDS, PAIRS, LEAST = 6, 2_000, 32
-TOP = 1 << 16
+TOP, CELLS = 1 << 16, 1 << 20
 MAGIC = b"RPR1"
-#: Pieces of each generation of a worker's memory, and the longest that is remembered.
-REMEMBERED, LONGEST = 200_000, 64
 
 
-def selected(keys: np.ndarray) -> np.ndarray:
-    """The at most PAIRS most frequent keys, those of LEAST occurrences or more."""
-    cell = ((keys * np.uint32(2654435761)) >> np.uint32(12)).astype(np.intp)  # 2^20 cells bound the counts from above
-    heavy = np.bincount(cell, minlength=1 << 20) >= LEAST
-    found, n = np.unique(keys[heavy[cell]], return_counts=True)
-    found, n = found[n >= LEAST], n[n >= LEAST]
-    best = np.lexsort((found, -n))[:PAIRS]
-    return np.sort(found[best])
+def cells(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)
+
+
+def selected(keys: np.ndarray, cell: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of the most frequent keys, and the number of each cell's key (-1: none).
+
+    Cells bound the keys' numbers from above, so frequent keys lie in the fullest
+    cells, and only these are sorted. Of frequent keys in one cell the most
+    frequent is taken; the others' turn comes in a later round.
+    """
+    n = np.bincount(cell, minlength=CELLS)
+    full = np.argpartition(n, CELLS - 2 * PAIRS)[-2 * PAIRS :]
+    near = np.zeros(CELLS, bool)
+    near[full[n[full] >= LEAST]] = True
+    found, times = np.unique(keys[near[cell]], return_counts=True)
+    found, times = found[times >= LEAST], times[times >= LEAST]
+    found = found[np.lexsort((found, -times))[:most]]
+    _, first = np.unique(cells(found), return_index=True)
+    found = found[np.sort(first)]
+    slot = np.full(CELLS, -1, np.int32)
+    slot[cells(found)] = np.arange(len(found), dtype=np.int32)
+    return found, slot
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,29 +71,30 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     seq = ids.astype(np.uint32)
     rules = np.zeros((0, 2), np.uint32)
     for _ in range(ROUNDS):
-        room = TOP - base - len(rules)
+        room = min(PAIRS, TOP - base - len(rules))
         if len(seq) < 2 or room <= 0:
             break
         keys = seq[:-1] << np.uint32(16) | seq[1:]
-        pairs = selected(keys)[:room]
+        cell = cells(keys)
+        pairs, slot = selected(keys, cell, room)
         if not len(pairs):
             break
-        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        hit = pairs[at] == keys
+        number = slot[cell]
+        places = np.flatnonzero(number >= 0)
+        places = places[pairs[number[places]] == keys[places]]
         # Of overlapping occurrences in a row, every other one is replaced.
-        places = np.flatnonzero(hit)
         begins = np.concatenate([[True], np.diff(places) > 1])
         run = np.maximum.accumulate(np.where(begins, places, 0))
         places = places[(places - run) % 2 == 0]
-        seq[places] = base + len(rules) + at[places]
+        seq[places] = base + len(rules) + number[places]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
         rules = np.concatenate([rules, np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], axis=1)])
-    lengths = np.ones(base + len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules):
-        lengths[base + k] = lengths[a] + lengths[b]
-    return seq, rules, lengths[base:]
+    lengths = [1] * base
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
+    return seq, rules, np.array(lengths[base:], np.uint32)
 
 
 class Shard:
@@ -152,55 +165,21 @@ def pack(doc_ids: list, ends: list[int], ids: np.ndarray, base: int) -> bytes:
     )
 
 
-class Encoder:
-    """The tokenizers library, with a bounded memory of pieces between blanks.
+class Encoder(BytePairCodec):
+    """The tokenizers library's model behind the bounded memories of pieces and pre-tokens; 16-bit ids."""
 
-    A blank with something else on both sides always starts a pre-token, so
-    pieces can be encoded on their own; other texts go to the library whole.
-    """
-
-    odd_blank = re.compile(r"\s (?:\s|\Z)").search
+    width = "H"
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str] | None:
-        if "\0" in text or self.odd_blank(text) or any(s in text for s in self.special):
-            return None
-        return text.replace(" ", "\0 ").split("\0")
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """16-bit ids of each text."""
-        cuts = [self.cut(t) for t in texts]
-        wanted = set().union(*(c for c in cuts if c))
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = []
-        for piece in wanted:
-            if piece not in young:
-                if (found := old.get(piece)) is None:
-                    missing.append(piece)
-                else:
-                    young[piece] = found
-        young.update(zip(missing, self.whole(missing)))
-        for text, own in zip(texts, cuts):
-            yield self.whole([text])[0] if own is None else b"".join(map(young.__getitem__, own))
-        for piece in missing:
-            if len(piece) > LONGEST:
-                del young[piece]
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.symbols = byte_symbols()
+        self.size = len(self.strings)
+
+    def merge(self, data: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.symbols))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -253,7 +232,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0, shard_ids: i
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 few = batch.slice(k, 256).to_pydict()
-                for doc_id, ids in zip(few["doc_id"], own(few["text"])):
+                for doc_id, text in zip(few["doc_id"], few["text"]):
+                    ids = own.encode(text)
                     held.append(ids + end)
                     n += len(ids) // 2 + 1
                     doc_ids.append(doc_id)
