@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +61,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def spread(rows: Iterable) -> list:
-    return [r for part in rows for r in part]
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, limit: int) -> DataFrame:
     """(doc_id, text, label) of at most about ``limit`` labelled documents outside ``held_out``.
 
