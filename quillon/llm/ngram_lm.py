@@ -1,22 +1,28 @@
 """Stupid-backoff bigram scores, computed relationally.
 
-Words rarer than one in ``RARE`` tokens count as one class, so that by
-arithmetic the vocabulary has at most ``RARE`` words; it is broadcast. The same
-arithmetic bounds the bigrams of two words of at least one in ``COMMON`` tokens
-each by COMMON^2; these hot keys are counted apart, broadcast, and scored where
-the text is. All other bigrams, whose key is exact, are exploded (once a
-document, with their number in it), counted with partial aggregation into a
-table partitioned by the key's hash, joined to the exploded bigrams, and summed
-per document.
+Every word and every bigram of two words is counted as itself. Words of at
+least one in ``RARE`` tokens, by arithmetic at most ``RARE``, have a number and
+are broadcast with their counts; any other word is known by a hash of 63 bits,
+and its count stays in a table. A bigram's key joins two numbers, or is a hash
+of 63 bits if one of its words has none. By the same arithmetic the bigrams of
+two words of at least one in ``COMMON`` tokens each are at most COMMON^2; these
+hot keys are counted apart, broadcast, and scored where the text is.
 
     log S(w | v) = log c(v w) - log c(v)              if c(v w) >= LEAST
                    log BACKOFF + log c(w) - log N     otherwise, and without BACKOFF for a first word
 
+A text's score is thus what it has if all its bigrams back off, and for each
+bigram found the difference to that. Both are sums over keys: the other bigrams
+and the words without a number are exploded (once a document, with their number
+in it), joined to the table of differences and to that of counts, and summed
+per document.
+
 Counts are over all documents of the corpus.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -30,6 +36,8 @@ from quillon.llm.common import ascii_lower, materialise, table
 RARE, COMMON = 1_000_000, 1_000
 LEAST, BACKOFF = 2, 0.4
 SHIFT = 21  # bits of a word's number
+TOP = -(1 << 63)  # the bit that hashes have and other keys lack
+UNSEEN = 0.5  # the count of a word that the corpus lacks
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -38,27 +46,56 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
+def rare_words(counts: DataFrame, total: int) -> DataFrame:
+    """(id, n) of the words without a number; the ids are those of ``word_id``."""
+    rare = counts.where(F.col("n") * RARE < total)
+    id_ = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 16), 16, -10).cast("long").bitwiseOR(F.lit(TOP))
+    return rare.groupBy(id_.alias("id")).agg(F.sum("n").alias("n"))
+
+
+def word_id(word: bytes) -> int:
+    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big", signed=True) | TOP
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
 class Vocabulary:
-    """Numbers and counts of frequent words; number 0 is the class of all rarer ones, and the words next to it are the common ones."""
+    """Numbers, from 1 on, and counts of frequent words; the common ones come first. Number 0 has the count of a word never seen."""
 
     def __init__(self, counts: list[tuple[bytes, int]], total: int):
-        rare = total - sum(n for _, n in counts)
         ordered = sorted(counts, key=lambda x: (-x[1], x[0]))
         self.numbers = {w: i + 1 for i, (w, _) in enumerate(ordered)}
-        self.counts = np.array([rare, *(n for _, n in ordered)], np.float64)
+        self.counts = np.array([UNSEEN, *(n for _, n in ordered)], np.float64)
         self.total = total
-        #: Common words have the numbers from 1 on; the rare class is one of them.
         self.common = 1 + sum(n * COMMON >= total for _, n in ordered)
 
-    def pairs(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of a text's words, and its bigrams' keys."""
+    def words(self, text: str | None, rare: bool = True) -> np.ndarray:
+        """Numbers of a text's words; other words' ids, which are negative, or 0 without ``rare``."""
         words = text.encode().lower().split() if text else []
         numbers = self.numbers
         own = np.fromiter((numbers.get(w, 0) for w in words), np.int64, len(words))
-        return own, own[:-1] << SHIFT | own[1:]
+        if rare:
+            at = np.flatnonzero(own == 0)
+            own[at] = np.fromiter((word_id(words[i]) for i in at), np.int64, len(at))
+        return own
+
+    def pairs(self, own: np.ndarray) -> np.ndarray:
+        """Bigrams' keys; with a word that has only an id, a negative hash."""
+        v, w = own[:-1], own[1:]
+        keys = v << SHIFT | w
+        at = np.flatnonzero((v < 0) | (w < 0))
+        hashed = mixed(mixed(v[at].view(np.uint64)) + w[at].view(np.uint64)).view(np.int64)
+        keys[at] = hashed | TOP
+        return keys
 
     def hot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> SHIFT < self.common) & (keys & (1 << SHIFT) - 1 < self.common)
+        v, w = keys >> SHIFT, keys & (1 << SHIFT) - 1
+        return (v > 0) & (v < self.common) & (w > 0) & (w < self.common)
 
 
 def hot_counts(docs: DataFrame, held) -> DataFrame:
@@ -69,7 +106,7 @@ def hot_counts(docs: DataFrame, held) -> DataFrame:
         sums = np.zeros(size * size, np.int64)
         for batch in batches:
             for text in batch["text"]:
-                keys = held.value.pairs(text)[1]
+                keys = held.value.pairs(held.value.words(text, rare=False))
                 keys = keys[held.value.hot(keys)]
                 np.add.at(sums, (keys >> SHIFT) * size + (keys & (1 << SHIFT) - 1), 1)
         at = np.flatnonzero(sums)
@@ -78,11 +115,32 @@ def hot_counts(docs: DataFrame, held) -> DataFrame:
     return docs.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def gram_counts(docs: DataFrame, held) -> DataFrame:
+    """(key, count, v, w) of bigrams that aren't hot and occur LEAST times; v and w are null if both words have numbers, which the key shows."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        vocabulary = held.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                owns = [vocabulary.words(text.as_py()) for text in batch.column(0).slice(k, 256)]
+                all_keys = [vocabulary.pairs(own) for own in owns]
+                keys, v, w = (np.concatenate(x) for x in (all_keys, [own[:-1] for own in owns], [own[1:] for own in owns]))
+                rest = ~vocabulary.hot(keys)
+                keys, at, times = np.unique(keys[rest], return_index=True, return_counts=True)
+                v, w = v[rest][at], w[rest][at]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times.astype(np.int32)), pa.array(v, mask=keys >= 0), pa.array(w, mask=keys >= 0)], names=["key", "times", "v", "w"])
+
+    rows = docs.select("text").mapInArrow(count, "key long, times int, v long, w long")
+    return rows.groupBy("key").agg(F.sum("times").alias("count"), F.max("v").alias("v"), F.max("w").alias("w")).where(F.col("count") >= LEAST)
+
+
 GRAMS = "words long, known double, keys array<bigint>, times array<int>"
 
 
 def bigrams(docs: DataFrame, held, hot) -> DataFrame:
-    """(doc_id, words, known, keys, times) for each row: number of words, what the first word and the hot bigrams score, and the other bigrams' keys and numbers.
+    """(doc_id, words, known, keys, times) for each row: number of words, what it scores if only hot bigrams are found and words without a number are unseen, and the keys and numbers of the other bigrams and of these words.
 
     Rows go through in small slices of flat arrays, so a worker holds little beside the texts.
     """
@@ -93,22 +151,22 @@ def bigrams(docs: DataFrame, held, hot) -> DataFrame:
         vocabulary = held.value
         logs = np.log(vocabulary.counts)
         n = math.log(max(vocabulary.total, 1))
-        keys_hot, scores_hot = hot.value
+        keys_hot, gains_hot = hot.value
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 words, known, keys, times, ends = [], [], [], [], [0]
                 for text in part.column(1):
-                    own, all_keys = vocabulary.pairs(text.as_py())
+                    own = vocabulary.words(text.as_py())
+                    all_keys = vocabulary.pairs(own)
                     is_hot = vocabulary.hot(all_keys)
                     found = all_keys[is_hot]
-                    score = logs[own[0]] - n if len(own) else 0.0
-                    if len(found):
+                    score = (logs[np.maximum(own, 0)] - n).sum() + math.log(BACKOFF) * len(all_keys)
+                    if len(found) and len(keys_hot):
                         # A scored text needn't be of the corpus: hot pairs without a count back off.
-                        off = math.log(BACKOFF) + logs[found & (1 << SHIFT) - 1] - n
-                        at = np.minimum(np.searchsorted(keys_hot, found), max(len(keys_hot) - 1, 0))
-                        score += (np.where(keys_hot[at] == found, scores_hot[at], off) if len(keys_hot) else off).sum()
-                    rest, number = np.unique(all_keys[~is_hot], return_counts=True)
+                        at = np.minimum(np.searchsorted(keys_hot, found), len(keys_hot) - 1)
+                        score += gains_hot[at][keys_hot[at] == found].sum()
+                    rest, number = np.unique(np.concatenate([all_keys[~is_hot], own[own < 0]]), return_counts=True)
                     words.append(len(own))
                     known.append(float(score))
                     keys.append(rest)
@@ -126,26 +184,37 @@ def scored(docs: DataFrame, corpus: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts have no words, score 0 and a null
     ``per_word``. Repeated rows are scored each; extra columns are ignored. A
-    word that the corpus lacks is of the rare class; if that has no count, it
-    counts half.
+    word that the corpus lacks counts half.
     """
     spark = docs.sparkSession
     counts = materialise(word_counts(corpus), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = [(r.word.encode(), r.n) for r in counts.where(F.col("n") * RARE >= total).toLocalIterator()]  # at most RARE
     vocabulary = Vocabulary(frequent, total)
-    vocabulary.counts[0] = max(vocabulary.counts[0], 0.5)
     held = spark.sparkContext.broadcast(vocabulary)
     logs = np.log(vocabulary.counts)
-    log_n = math.log(max(total, 1))
+    # What a bigram found has over one that backs off: log c(v w) - log c(v) - log c(w) + rest.
+    rest = math.log(max(total, 1)) - math.log(BACKOFF)
 
-    often = hot_counts(corpus, held).toPandas().sort_values("key")  # at most COMMON^2
+    often = hot_counts(corpus, held).where(F.col("n") >= LEAST).toPandas().sort_values("key")  # at most COMMON^2
     keys, times = often["key"].to_numpy(np.int64), often["n"].to_numpy(np.float64)
-    hot_scores = np.where(times >= LEAST, np.log(np.maximum(times, 1)) - logs[keys >> SHIFT], math.log(BACKOFF) + logs[keys & (1 << SHIFT) - 1] - log_n)
-    hot = spark.sparkContext.broadcast((keys, hot_scores))
+    hot = spark.sparkContext.broadcast((keys, np.log(times) - logs[keys >> SHIFT] - logs[keys & (1 << SHIFT) - 1] + rest))
 
-    grams = bigrams(corpus.select(F.lit(0).alias("doc_id"), "text"), held, hot).select(F.explode(F.arrays_zip("keys", "times")).alias("g"))
-    tables = grams.groupBy(F.col("g.keys").alias("key")).agg(F.sum("g.times").alias("count")).where(F.col("count") >= LEAST)
+    words = spark.createDataFrame(pd.DataFrame({"number": np.arange(len(logs)), "log": logs}))
+    left, right = (F.broadcast(words.select(F.col("number").alias(k), F.col("log").alias(f"log_{k}"))) for k in ("v", "w"))
+    rare = rare_words(counts, total)
+    grams = gram_counts(corpus, held)
+    # Both parts use the same columns and left joins, so that they share one shuffle. Each key is in one of them.
+    gain = (F.log("count") - F.col("log_v") - F.col("log_w") + rest).alias("gain")
+    numbered = grams.where("v IS NULL AND w IS NULL").withColumn("v", F.shiftright("key", SHIFT)).withColumn("w", F.col("key").bitwiseAND(F.lit((1 << SHIFT) - 1)))
+    numbered = numbered.join(left, "v", "left").join(right, "w", "left").select("key", gain)
+    hashed = grams.where("v IS NOT NULL AND w IS NOT NULL")
+    for k, numbers in (("v", left), ("w", right)):
+        # Words with numbers have their counts from the broadcast; here they get ids that match nothing and don't meet in one task.
+        id_ = F.when(F.col(k) < 0, F.col(k)).otherwise(F.col("key").bitwiseAND(F.lit((1 << 63) - 1)))
+        hashed = hashed.withColumn("id", id_).join(rare.withColumnRenamed("n", "m"), "id", "left").drop("id").join(numbers, k, "left")
+        hashed = hashed.withColumn(f"log_{k}", F.coalesce(F.log("m"), f"log_{k}")).drop("m")
+    hashed = hashed.select("key", gain).unionByName(rare.select(F.col("id").alias("key"), (F.log("n") - math.log(UNSEEN)).alias("gain")))
 
     own = bigrams(docs, held, hot).select(F.monotonically_increasing_id().alias("row"), "*")
     # One element without a key for each row carries what is known already.
@@ -156,15 +225,8 @@ def scored(docs: DataFrame, corpus: DataFrame) -> DataFrame:
         F.col("g.keys").alias("key"), "row", F.col("g.times").alias("times"),
         F.when(F.col("g.keys").isNull(), F.struct("doc_id", "words", "known")).alias("base"),
     )
-    words = spark.createDataFrame(pd.DataFrame({"number": np.arange(len(logs)), "log": logs}))
-    left, right = (F.broadcast(words.select(F.col("number").alias(k), F.col("log").alias(f"log_{k}"))) for k in ("v", "w"))
-    joined = (
-        exploded.join(tables, "key", "left")
-        .withColumn("v", F.shiftright("key", SHIFT)).withColumn("w", F.col("key").bitwiseAND(F.lit((1 << SHIFT) - 1)))
-        .join(left, "v", "left").join(right, "w", "left")
-    )
-    part = F.col("times") * F.when(F.col("count").isNotNull(), F.log("count") - F.col("log_v")).otherwise(F.lit(math.log(BACKOFF) - log_n) + F.col("log_w"))
-    sums = joined.groupBy("row").agg(F.max("base").alias("base"), F.sum(part).alias("part"))
+    joined = exploded.join(numbered, "key", "left").join(hashed.withColumnRenamed("gain", "other"), "key", "left")
+    sums = joined.groupBy("row").agg(F.max("base").alias("base"), F.sum(F.col("times") * F.coalesce("gain", "other")).alias("part"))
     score = F.round(F.col("base.known") + F.coalesce("part", F.lit(0.0)), 6)
     return sums.select("base.doc_id", F.col("base.words").alias("n_words"), score.alias("score")).withColumn("per_word", F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6))
 

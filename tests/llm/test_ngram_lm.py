@@ -35,3 +35,13 @@ def test_odd_rows_and_foreign_text(spark, sf_dir):
     assert all((r.score == 0 and r.per_word is None) if r.n_words == 0 else r.score < 0 for r in rows)
     assert ngram_lm.scored(docs.limit(0), docs).collect() == []
     assert len(ngram_lm.scored(docs, docs.limit(0)).collect()) == 6
+
+
+@pytest.mark.parametrize("rare, common", [(300, 40), (3, 2)])
+def test_words_without_a_number_count_as_themselves(spark, sf_dir, monkeypatch, rare, common):
+    """How many words are broadcast changes nothing; the SQL, as it stands, has no class of rare words on so few tokens."""
+    monkeypatch.setattr(ngram_lm, "RARE", rare)
+    monkeypatch.setattr(ngram_lm, "COMMON", common)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    compare(ngram_lm.op5_stupid_backoff(spark, sf_dir).collect(), con.sql(ngram_lm.ORACLE).fetchall())
