@@ -4,12 +4,35 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.core import VERDICTS, name_of, rank_of
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(node) of the parents that are nobody's child."""
+    return edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
+
+
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) of all nodes below each root, shared ones once under each root; the root itself only on a circle."""
+    _checkpoints(edges.sparkSession)
+    frontier = roots.select(F.col("node").alias("root"), "node").distinct()
+    met = None
+    while True:
+        steps = frontier.select("root", F.col("node").alias("parent")).join(edges, "parent").select("root", F.col("child").alias("node")).distinct()
+        frontier = (steps if met is None else steps.join(met, ["root", "node"], "left_anti")).checkpoint()
+        met = frontier if met is None else met.union(frontier)
+        if frontier.isEmpty():
+            return met
+
+
 def depths(edges: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
     """(node, depth, parent) of nodes that the roots reach; the parent on a shortest way, the smallest of several.
 
@@ -17,9 +40,7 @@ def depths(edges: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
     already met, so that a node is met once however many ways lead to it. Rounds
     are bounded by the depth; each one's lineage is cut by a checkpoint.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+    _checkpoints(edges.sparkSession)
     met = roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct().checkpoint()
     frontier = met
     for depth in range(1, most + 1):

@@ -63,3 +63,12 @@ def timeline_union(release, events):
     left = release.where("package_id % 10 = 0").select("package_id", F.col("published_at").alias("at"), F.lit("release").alias("kind"), F.col("release_id").alias("id"))
     right = events.where("user_id % 10 = 0").select(F.col("user_id").alias("package_id"), F.col("ts").alias("at"), F.col("event_type").alias("kind"), F.col("event_id").alias("id"))
     return left.unionByName(right)
+
+
+@query("""SELECT package_id, published_at AS at, 'release' AS kind, release_id AS id FROM release UNION ALL
+  SELECT user_id AS package_id, ts, event_type, event_id FROM events""")
+def timeline_union_all(release, events):
+    """All packages; ``timeline_union`` has a tenth of them."""
+    left = release.select("package_id", F.col("published_at").alias("at"), F.lit("release").alias("kind"), F.col("release_id").alias("id"))
+    right = events.select(F.col("user_id").alias("package_id"), F.col("ts").alias("at"), F.col("event_type").alias("kind"), F.col("event_id").alias("id"))
+    return left.unionByName(right)
