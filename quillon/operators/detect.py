@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ LITERALS, LITERAL, BITS, RUN, PACKED_BYTES, PACKED_LINE, KEPT = 500, 64, 4.8, 1_
 
 IMPORT = r"""(?:\brequire\s*\(\s*|\bfrom\s+|\bimport\s*\(\s*|\bimport\s+)['"]([^'"]+)['"]"""
 QUOTED = r"""(["'`])((?:(?!\1).){32,}?)\1"""
+#: Files that a script runs; addresses, what makes them calls and how near; comments, and strings that hide them; native files, what declares them, and how many are reported.
+TARGET = r"""(?:^|[\s;&|])(?:node|npx|ts-node|python3?)\s+(?:--?\S+\s+)*['"]?([^\s'";|&]+)"""
+IPV4, NETWORK, NEAR = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", r"https?:|connect|socket|fetch|request|axios|post|get\s*\(|curl|:\d{2,5}", 120
+SCRIPT, COMMENT = r"\.(?:[cm]?[jt]s|[jt]sx)$", r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(//[^\n]*|/\*.*?(?:\*/|\Z))'''
+NATIVE, GYP, NATIVE_DEPENDENCY, NATIVE_SCRIPT, NATIVE_WORD, MOST_NATIVE = r"(?i)\.(?:node|so|dylib|dll|exe|wasm)$", r"(?:^|/)binding\.gyp$", "node-gyp|prebuild|node-pre-gyp|node-addon-api|bindings", "node-gyp|prebuild", "(?i)native|binding|addon|ffi", 10
 
 
 def _found(text: Column, patterns, factor: Column) -> Column:
@@ -68,11 +75,66 @@ def install_signals(packages: DataFrame, files: DataFrame) -> DataFrame:
     own = [p for p in INSTALL if p[0] == "Q-INS-002"], [p for p in INSTALL if p[0] != "Q-INS-002"]
     hits = F.concat(_found(F.col("body"), own[0], weight), _found(F.col("body"), own[1], F.lit(1.0)))
     scanned = rows.select("package", "path", "body", F.explode(hits).alias("h"))
-    return exists.unionByName(scanned.select("package", "path", "h.rule_id", "h.confidence", "h.label", line_of(F.col("body"), F.col("h.position")).alias("line"), excerpt(F.col("body"), F.col("h.position")).alias("excerpt")))
+    return exists.unionByName(scanned.select("package", "path", "h.rule_id", "h.confidence", "h.label", line_of(F.col("body"), F.col("h.position")).alias("line"), excerpt(F.col("body"), F.col("h.position")).alias("excerpt"))).unionByName(entry_signals(packages, files))
+
+
+def entry_signals(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """Q-INS-007: an install script runs a file that is obfuscated or packed. Two more reasons need a parser and aren't looked for."""
+    text = F.col("text")
+    packed = (F.octet_length(text) >= PACKED_BYTES) & (F.length(text) / F.size(F.split(text, "\n")) > PACKED_LINE)
+    reason = F.when(text.rlike(r"(?m)^\s*(?:var|const|let)\s+_0x[0-9a-f]+"), "names").when(text.rlike(r"\\x[0-9a-fA-F]{2}(?:\\x[0-9a-fA-F]{2}){10,}"), "escapes").when(packed, "packed")
+    target = F.explode(F.transform(F.regexp_extract_all("body", F.lit(TARGET), 1), lambda t: F.regexp_replace(t, r"^\./", "")))
+    targets = surfaces(packages, files).select("package", F.col("path").alias("from"), "label", target.alias("target")).where("target not like '-%'").distinct()
+    paths = targets.select("*", F.posexplode(F.array("target", F.concat("target", F.lit(".js")))).alias("rank", "path"))
+    known = files.select("package", "path", reason.alias("reason"), F.substring(text, 1, 200).alias("excerpt"))
+    # The file of that very name, else the one with the ending.
+    run = top_per(paths.join(known, ["package", "path"]), ["package", "from", "label", "target"], 1, F.asc("rank")).where("reason is not null")
+    return run.select("package", "path", F.lit("Q-INS-007").alias("rule_id"), F.lit(0.8).alias("confidence"), F.concat_ws(": ", "label", "reason").alias("label"), F.lit(1).alias("line"), "excerpt").distinct()
+
+
+def routable(address: str) -> bool:
+    a, b, c, d = map(int, address.split("."))
+    if max(a, b, c, d) > 255 or a in (0, 10, 127) or a >= 224:
+        return False
+    return not ((a == 172 and 16 <= b <= 31) or (a, b) in ((192, 168), (169, 254), (192, 0), (198, 18), (198, 19), (198, 51), (203, 0)))
+
+
+def address_position(path: str, text: str) -> int:
+    """From 1, of the first routable address outside comments with a call near it, or 0."""
+    comments = [m.span(1) for m in re.finditer(COMMENT, text, re.S) if m[1]] if re.search(SCRIPT, path) else []
+    for m in re.finditer(IPV4, text, re.A):
+        at = m.start()
+        while comments and comments[0][1] <= at:
+            comments.pop(0)
+        if routable(m[0]) and not (comments and comments[0][0] <= at) and re.search(NETWORK, text[max(0, at - NEAR) : at + NEAR], re.A | re.I):
+            return at + 1
+    return 0
+
+
+def address_signals(files: DataFrame) -> DataFrame:
+    """Q-CAP-007: the first routable address of a file that a call may use; only texts with an address leave for Python."""
+    position = F.udf(address_position, "int")
+    rows = files.where(F.col("text").rlike(IPV4)).select("package", "path", "text", position("path", "text").alias("position")).where("position > 0")
+    line, around = line_of(F.col("text"), F.col("position")), excerpt(F.col("text"), F.col("position"))
+    return rows.select("package", "path", F.lit("Q-CAP-007").alias("rule_id"), F.lit(0.75).alias("confidence"), F.lit("address").alias("label"), line.alias("line"), around.alias("excerpt"))
+
+
+def native_signals(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """Q-CAP-009: native files of packages that declare none by binding.gyp, scripts, dependencies (a map) or keywords; the last two are looked at where ``packages`` has them."""
+    says = F.exists(F.map_values("scripts"), lambda s: s.rlike(NATIVE_SCRIPT))
+    declared = F.coalesce(says, F.lit(False))
+    if "dependencies" in packages.columns:
+        declared |= F.coalesce(F.exists(F.map_keys("dependencies"), lambda d: d.rlike(NATIVE_DEPENDENCY)), F.lit(False))
+    if "keywords" in packages.columns:
+        declared |= F.coalesce(F.exists("keywords", lambda k: k.rlike(NATIVE_WORD)), F.lit(False))
+    free = packages.where(declared).select("package").unionByName(files.where(F.col("path").rlike(GYP)).select("package"))
+    found = files.where(F.col("path").rlike(NATIVE)).select("package", "path").join(free, "package", "left_anti")
+    rows = found.select("package", "path", F.lit("Q-CAP-009").alias("rule_id"), F.lit(0.9).alias("confidence"), F.lit("native file").alias("label"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("excerpt"))
+    return top_per(rows, ["package"], MOST_NATIVE, F.asc("path")).select(rows.columns)
 
 
 def file_signals(files: DataFrame) -> DataFrame:
-    """Signals of file texts: patterns, imports, long random literals, encoded runs, hidden characters, packed lines."""
+    """Signals of file texts: patterns, imports, long random literals, encoded runs, hidden characters, packed lines, addresses. Those of ``native_signals`` need the packages too."""
     text = F.col("text")
     names = F.transform(F.regexp_extract_all("text", F.lit(IMPORT), 1), lambda m: F.regexp_replace(m, "^node:", ""))
     imports = [F.when(F.arrays_overlap(names, F.array(*map(F.lit, mods))), F.struct(F.lit(r).alias("rule_id"), F.lit(0.95 if r == "Q-CAP-001" else 0.9).alias("confidence"), F.lit("import").alias("label"), F.lit(1).alias("position"))) for r, mods in MODULES.items()]
@@ -92,7 +154,7 @@ def file_signals(files: DataFrame) -> DataFrame:
     found = scanned.select("package", "path", "h.rule_id", "h.confidence", "h.label", line_of(text, F.col("h.position")).alias("line"), excerpt(text, F.col("h.position")).alias("excerpt"))
     # A packed file with a source map beside it is nothing to report.
     maps = files.where(F.endswith("path", F.lit(".map"))).select("package", F.expr("substring(path, 1, length(path) - 4)").alias("path"), F.lit("Q-OBF-006").alias("rule_id"))
-    return found.join(maps, ["package", "path", "rule_id"], "left_anti").select(found.columns)
+    return found.join(maps, ["package", "path", "rule_id"], "left_anti").select(found.columns).unionByName(address_signals(files))
 
 
 def dense_signals(packages: DataFrame, signals: DataFrame, rules: DataFrame) -> DataFrame:
