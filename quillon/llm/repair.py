@@ -35,8 +35,8 @@ from quillon.llm.bpe import BytePairCodec, byte_symbols
 from quillon.llm.common import materialise, open_fs, parts, shared_dir, table
 
 SHARD_IDS = 2_000_000
-#: Replacement rounds, pairs replaced in one round, and the fewest occurrences worth a rule.
-ROUNDS, PAIRS, LEAST = 6, 2_000, 32
+#: Pairs replaced in one round, and the fewest occurrences worth a rule.
+PAIRS, LEAST = 2_000, 32
 TOP, CELLS = 1 << 16, 1 << 20
 MAGIC = b"RPR1"
 
@@ -57,6 +57,9 @@ def selected(keys: np.ndarray, cell: np.ndarray, most: int) -> tuple[np.ndarray,
     near = np.zeros(CELLS, bool)
     near[full[n[full] >= LEAST]] = True
     found, times = np.unique(keys[near[cell]], return_counts=True)
+    if not (times >= LEAST).any():
+        # The fullest cells may hold rare keys only.
+        found, times = np.unique(keys[(n >= LEAST)[cell]], return_counts=True)
     found, times = found[times >= LEAST], times[times >= LEAST]
     found = found[np.lexsort((found, -times))[:most]]
     _, first = np.unique(cells(found), return_index=True)
@@ -70,7 +73,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """(symbols, rules as pairs, expansion lengths) of ids below ``base``."""
     seq = ids.astype(np.uint32)
     rules = np.zeros((0, 2), np.uint32)
-    for _ in range(ROUNDS):
+    while True:
         room = min(PAIRS, TOP - base - len(rules))
         if len(seq) < 2 or room <= 0:
             break
