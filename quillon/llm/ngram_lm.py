@@ -1,43 +1,44 @@
 """Stupid-backoff bigram scores, computed relationally.
 
-Every word and every bigram of two words is counted as itself. Words of at
-least one in ``RARE`` tokens, by arithmetic at most ``RARE``, have a number and
-are broadcast with their counts; any other word is known by a hash of 63 bits,
-and its count stays in a table. A bigram's key joins two numbers, or is a hash
-of 63 bits if one of its words has none. By the same arithmetic the bigrams of
-two words of at least one in ``COMMON`` tokens each are at most COMMON^2; these
-hot keys are counted apart, broadcast, and scored where the text is.
-
-    log S(w | v) = log c(v w) - log c(v)              if c(v w) >= LEAST
+    log S(w | v) = log c(v w) - log c(v)              if the corpus has the bigram
                    log BACKOFF + log c(w) - log N     otherwise, and without BACKOFF for a first word
 
-A text's score is thus what it has if all its bigrams back off, and for each
-bigram found the difference to that. Both are sums over keys: the other bigrams
-and the words without a number are exploded (once a document, with their number
-in it), joined to the table of differences and to that of counts, and summed
-per document.
-
-Counts are over all documents of the corpus.
+Every word and every bigram of the corpus is counted as itself, whatever the
+corpus' size. Words of at least one in ``FREQUENT`` tokens, by arithmetic at
+most ``FREQUENT``, have a number and are broadcast with their counts; any other
+word is known by a hash of 63 bits. A bigram's key joins two numbers, or is a
+hash of 63 bits if one of its words has none. Bigrams of two words of at least
+one in ``COMMON`` tokens each are at most COMMON^2; these hot keys are counted
+apart, broadcast, and looked up where the text is.
+
+All other bigrams, and the words without a number, are exploded once: a row for
+each document and key, with the number of occurrences. One shuffle by key
+brings a key's rows together, so each gets its count there, and the logarithms
+are summed per document. A document's base (what is known without the shuffle)
+travels under a key of its own, so no key gathers the bases.
+
+A corpus that scores itself has no unseen bigram, so its rows carry no more than
+that. Rows of foreign documents also carry what they score if unseen.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import ascii_lower, materialise, table
 
-RARE, COMMON = 1_000_000, 1_000
-LEAST, BACKOFF = 2, 0.4
+FREQUENT, COMMON = 1_000_000, 1_000
+BACKOFF = 0.4
 SHIFT = 21  # bits of a word's number
 TOP = -(1 << 63)  # the bit that hashes have and other keys lack
 UNSEEN = 0.5  # the count of a word that the corpus lacks
+SLICE = 256  # documents that a worker takes apart at once
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -48,13 +49,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def rare_words(counts: DataFrame, total: int) -> DataFrame:
     """(id, n) of the words without a number; the ids are those of ``word_id``."""
-    rare = counts.where(F.col("n") * RARE < total)
-    id_ = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 16), 16, -10).cast("long").bitwiseOR(F.lit(TOP))
-    return rare.groupBy(id_.alias("id")).agg(F.sum("n").alias("n"))
+    rare = counts.where(F.col("n") * FREQUENT < total)
+    return rare.groupBy(F.xxhash64("word").bitwiseOR(F.lit(TOP)).alias("id")).agg(F.sum("n").alias("n"))
 
 
 def word_id(word: bytes) -> int:
-    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big", signed=True) | TOP
+    """The same as Spark's xxhash64, with the top bit set."""
+    from xxhash import xxh64_intdigest
+
+    return (xxh64_intdigest(word, 42) | 1 << 63) - (1 << 64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,13 +68,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Numbers, from 1 on, and counts of frequent words; the common ones come first. Number 0 has the count of a word never seen."""
+    """Numbers, from 1 on, and log counts of frequent words; the common ones come first."""
 
     def __init__(self, counts: list[tuple[bytes, int]], total: int):
         ordered = sorted(counts, key=lambda x: (-x[1], x[0]))
         self.numbers = {w: i + 1 for i, (w, _) in enumerate(ordered)}
-        self.counts = np.array([UNSEEN, *(n for _, n in ordered)], np.float64)
-        self.total = total
+        #: 0 stands for words without a number, whose counts come from the join.
+        self.logs = np.log(np.array([1, *(n for _, n in ordered)], np.float64))
+        self.log_total = math.log(max(total, 1))
         self.common = 1 + sum(n * COMMON >= total for _, n in ordered)
 
     def words(self, text: str | None, rare: bool = True) -> np.ndarray:
@@ -99,7 +103,7 @@ class Vocabulary:
 
 
 def hot_counts(docs: DataFrame, held) -> DataFrame:
-    """(key, n) of bigrams of two common words: at most COMMON^2 rows, of which each batch sends its own once."""
+    """(key, n) of bigrams of two common words: at most COMMON^2 rows, of which each task sends its own once."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = held.value.common
@@ -115,142 +119,126 @@ def hot_counts(docs: DataFrame, held) -> DataFrame:
     return docs.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(docs: DataFrame, held) -> DataFrame:
-    """(key, count, v, w) of bigrams that aren't hot and occur LEAST times; v and w are null if both words have numbers, which the key shows."""
-
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        vocabulary = held.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                owns = [vocabulary.words(text.as_py()) for text in batch.column(0).slice(k, 256)]
-                all_keys = [vocabulary.pairs(own) for own in owns]
-                keys, v, w = (np.concatenate(x) for x in (all_keys, [own[:-1] for own in owns], [own[1:] for own in owns]))
-                rest = ~vocabulary.hot(keys)
-                keys, at, times = np.unique(keys[rest], return_index=True, return_counts=True)
-                v, w = v[rest][at], w[rest][at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times.astype(np.int32)), pa.array(v, mask=keys >= 0), pa.array(w, mask=keys >= 0)], names=["key", "times", "v", "w"])
-
-    rows = docs.select("text").mapInArrow(count, "key long, times int, v long, w long")
-    return rows.groupBy("key").agg(F.sum("times").alias("count"), F.max("v").alias("v"), F.max("w").alias("w")).where(F.col("count") >= LEAST)
-
-
-GRAMS = "words long, known double, keys array<bigint>, times array<int>"
+SEEN = {"key": "long", "n": "int", "weight": "int"}
+FOREIGN = {"back": "double", "v": "long", "w": "long"}
 
 
-def bigrams(docs: DataFrame, held, hot) -> DataFrame:
-    """(doc_id, words, known, keys, times) for each row: number of words, what it scores if only hot bigrams are found and words without a number are unseen, and the keys and numbers of the other bigrams and of these words.
+def exploded(docs: DataFrame, held, hot, foreign: bool) -> DataFrame:
+    """(row, key, n, weight) for each row of ``docs`` and each key in it that isn't hot, and (row, doc_id, words, known) under a key of its own.
 
-    Rows go through in small slices of flat arrays, so a worker holds little beside the texts.
+    ``weight`` times the logarithm of the key's count is what the key adds to
+    the score: a bigram's occurrences, and less a rare word's as the first of a
+    bigram. With ``foreign``, bigrams also have ``back``, which they add for
+    each occurrence if unseen, without the logarithms of the counts of their
+    rare words ``v`` and ``w`` (0: not rare).
     """
+    columns = {**SEEN, **FOREIGN} if foreign else SEEN
 
     def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         vocabulary = held.value
-        logs = np.log(vocabulary.counts)
-        n = math.log(max(vocabulary.total, 1))
-        keys_hot, gains_hot = hot.value
+        logs, n = vocabulary.logs, vocabulary.log_total
+        keys_hot, logs_hot = hot.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                words, known, keys, times, ends = [], [], [], [], [0]
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                words, known, found, ends = [], [], {c: [] for c in columns}, [0]
                 for text in part.column(1):
                     own = vocabulary.words(text.as_py())
-                    all_keys = vocabulary.pairs(own)
-                    is_hot = vocabulary.hot(all_keys)
-                    found = all_keys[is_hot]
-                    score = (logs[np.maximum(own, 0)] - n).sum() + math.log(BACKOFF) * len(all_keys)
-                    if len(found) and len(keys_hot):
-                        # A scored text needn't be of the corpus: hot pairs without a count back off.
-                        at = np.minimum(np.searchsorted(keys_hot, found), len(keys_hot) - 1)
-                        score += gains_hot[at][keys_hot[at] == found].sum()
-                    rest, number = np.unique(np.concatenate([all_keys[~is_hot], own[own < 0]]), return_counts=True)
+                    keys = vocabulary.pairs(own)
+                    numbered = np.maximum(own, 0)
+                    score = logs[numbered[0]] - n - logs[numbered[:-1]].sum() if len(own) else 0.0
+                    is_hot = vocabulary.hot(keys)
+                    if is_hot.any():
+                        places = np.flatnonzero(is_hot)
+                        at = np.searchsorted(keys_hot, keys[places])
+                        seen = keys_hot[np.minimum(at, len(keys_hot) - 1)] == keys[places] if len(keys_hot) else np.zeros(len(places), bool)
+                        unseen = places[~seen]
+                        score += logs_hot[at[seen]].sum() + (math.log(BACKOFF) - n + logs[own[unseen]] + logs[own[unseen + 1]]).sum()
+                    places = np.flatnonzero(~is_hot)
+                    rest, first, times = np.unique(keys[places], return_index=True, return_counts=True)
+                    rare, often = np.unique(own[own < 0], return_counts=True)
+                    before = np.searchsorted(rare, own[:-1][own[:-1] < 0])
+                    as_first = np.bincount(before, minlength=len(rare)) if len(rare) else often
+                    found["key"] += [rest, rare]
+                    found["n"] += [times, often]
+                    found["weight"] += [times, (rare == own[0]).astype(np.int64) - as_first if len(rare) else often]
+                    if foreign:
+                        at = places[first]
+                        nothing = np.zeros(len(rare), np.int64)
+                        found["back"] += [math.log(BACKOFF) - n + logs[numbered[at]] + logs[numbered[at + 1]], np.full(len(rare), np.nan)]
+                        found["v"] += [np.minimum(own[at], 0), nothing]
+                        found["w"] += [np.minimum(own[at + 1], 0), nothing]
                     words.append(len(own))
                     known.append(float(score))
-                    keys.append(rest)
-                    times.append(number.astype(np.int32))
-                    ends.append(ends[-1] + len(rest))
-                offsets = pa.array(ends, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (keys, times)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(known, pa.float64()), *lists], names=["doc_id", "words", "known", "keys", "times"])
+                    ends.append(ends[-1] + len(rest) + len(rare))
+                offsets, kinds = pa.array(ends, pa.int32()), {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found[c])).cast(kinds[t])) for c, t in columns.items()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(known, pa.float64()), *lists], names=["doc_id", "words", "known", *columns])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, f"doc_id long, {GRAMS}")
+    schema = "doc_id long, words long, known double, " + ", ".join(f"{c} array<{t}>" for c, t in columns.items())
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, schema).select(F.monotonically_increasing_id().alias("row"), "*")
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in columns.items()} | {"key": F.xxhash64("row", F.lit("base")).alias("key"), "n": F.lit(0).alias("n"), "weight": F.lit(0).alias("weight")}
+    base = F.array(F.struct(*nothing.values()))
+    rows = own.select("row", "doc_id", "words", "known", F.posexplode(F.concat(base, F.arrays_zip(*columns))).alias("at", "g"))
+    first = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc_id", "words", "known")]
+    return rows.select("row", *(F.col(f"g.{c}").alias(c) for c in columns), *first)
 
 
-def scored(docs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(doc_id, n_words, score, per_word) for each row of ``docs`` under the bigrams of ``corpus``.
+def scored(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_words, score, per_word) for each row of ``docs`` under the bigrams of ``corpus``; without one, under its own.
 
     Null, empty and wordless texts have no words, score 0 and a null
-    ``per_word``. Repeated rows are scored each; extra columns are ignored. A
-    word that the corpus lacks counts half.
+    ``per_word``. Repeated rows are scored each, and count each; null ids are
+    rows like others; extra columns are ignored. A word that the corpus lacks
+    counts half.
     """
-    spark = docs.sparkSession
-    counts = materialise(word_counts(corpus), "words")
+    spark, foreign = docs.sparkSession, corpus is not None
+    known = docs if corpus is None else corpus
+    counts = materialise(word_counts(known), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = [(r.word.encode(), r.n) for r in counts.where(F.col("n") * RARE >= total).toLocalIterator()]  # at most RARE
-    vocabulary = Vocabulary(frequent, total)
-    held = spark.sparkContext.broadcast(vocabulary)
-    logs = np.log(vocabulary.counts)
-    # What a bigram found has over one that backs off: log c(v w) - log c(v) - log c(w) + rest.
-    rest = math.log(max(total, 1)) - math.log(BACKOFF)
-
-    often = hot_counts(corpus, held).where(F.col("n") >= LEAST).toPandas().sort_values("key")  # at most COMMON^2
-    keys, times = often["key"].to_numpy(np.int64), often["n"].to_numpy(np.float64)
-    hot = spark.sparkContext.broadcast((keys, np.log(times) - logs[keys >> SHIFT] - logs[keys & (1 << SHIFT) - 1] + rest))
-
-    words = spark.createDataFrame(pd.DataFrame({"number": np.arange(len(logs)), "log": logs}))
-    left, right = (F.broadcast(words.select(F.col("number").alias(k), F.col("log").alias(f"log_{k}"))) for k in ("v", "w"))
-    rare = rare_words(counts, total)
-    grams = gram_counts(corpus, held)
-    # Both parts use the same columns and left joins, so that they share one shuffle. Each key is in one of them.
-    gain = (F.log("count") - F.col("log_v") - F.col("log_w") + rest).alias("gain")
-    numbered = grams.where("v IS NULL AND w IS NULL").withColumn("v", F.shiftright("key", SHIFT)).withColumn("w", F.col("key").bitwiseAND(F.lit((1 << SHIFT) - 1)))
-    numbered = numbered.join(left, "v", "left").join(right, "w", "left").select("key", gain)
-    hashed = grams.where("v IS NOT NULL AND w IS NOT NULL")
-    for k, numbers in (("v", left), ("w", right)):
-        # Words with numbers have their counts from the broadcast; here they get ids that match nothing and don't meet in one task.
-        id_ = F.when(F.col(k) < 0, F.col(k)).otherwise(F.col("key").bitwiseAND(F.lit((1 << 63) - 1)))
-        hashed = hashed.withColumn("id", id_).join(rare.withColumnRenamed("n", "m"), "id", "left").drop("id").join(numbers, k, "left")
-        hashed = hashed.withColumn(f"log_{k}", F.coalesce(F.log("m"), f"log_{k}")).drop("m")
-    hashed = hashed.select("key", gain).unionByName(rare.select(F.col("id").alias("key"), (F.log("n") - math.log(UNSEEN)).alias("gain")))
-
-    own = bigrams(docs, held, hot).select(F.monotonically_increasing_id().alias("row"), "*")
-    # One element without a key for each row carries what is known already.
-    first = F.array(F.struct(F.lit(None).cast("long").alias("keys"), F.lit(0).alias("times")))
-    exploded = own.select(
-        "row", "doc_id", F.explode(F.concat(first, F.arrays_zip("keys", "times"))).alias("g"), "words", "known"
-    ).select(
-        F.col("g.keys").alias("key"), "row", F.col("g.times").alias("times"),
-        F.when(F.col("g.keys").isNull(), F.struct("doc_id", "words", "known")).alias("base"),
-    )
-    joined = exploded.join(numbered, "key", "left").join(hashed.withColumnRenamed("gain", "other"), "key", "left")
-    sums = joined.groupBy("row").agg(F.max("base").alias("base"), F.sum(F.col("times") * F.coalesce("gain", "other")).alias("part"))
-    score = F.round(F.col("base.known") + F.coalesce("part", F.lit(0.0)), 6)
-    return sums.select("base.doc_id", F.col("base.words").alias("n_words"), score.alias("score")).withColumn("per_word", F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6))
+    frequent = [(r.word.encode(), r.n) for r in counts.where(F.col("n") * FREQUENT >= total).toLocalIterator()]  # at most FREQUENT
+    held = spark.sparkContext.broadcast(Vocabulary(frequent, total))
+    often = hot_counts(known, held).toPandas().sort_values("key")  # at most COMMON^2
+    hot = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64), np.log(often["n"].to_numpy(np.float64))))
+
+    rows = exploded(docs, held, hot, foreign)
+    if foreign:
+        rows = rows.withColumn("n", F.lit(0)).unionByName(exploded(corpus, held, hot, False).where("n > 0").select("key", "n"), allowMissingColumns=True)
+    counted = rows.withColumn("count", F.sum("n").over(Window.partitionBy("key")))
+    gain = F.when(F.col("count") > 0, F.col("weight") * F.log("count")).otherwise(0.0)
+    if foreign:
+        counted = counted.where("row IS NOT NULL")
+        missing = (F.col("count") == 0) & (F.col("weight") != 0)
+        gain = F.when(missing & F.isnan("back"), F.col("weight") * math.log(UNSEEN)).when(missing, F.col("weight") * F.col("back")).otherwise(gain)
+    parts = counted.select("row", "doc_id", "words", "known", gain.alias("part"))
+    if foreign:
+        # The rare words of unseen bigrams: their counts come by a join of their own.
+        ids = counted.where(missing & ~F.isnan("back")).select("row", "weight", F.explode(F.array("v", "w")).alias("id")).where("id <> 0")
+        more = ids.join(rare_words(counts, total), "id", "left").select("row", (F.col("weight") * F.log(F.coalesce("n", F.lit(UNSEEN)))).alias("part"))
+        parts = parts.unionByName(more, allowMissingColumns=True)
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("words").alias("n_words"), F.sum(F.coalesce("known", F.lit(0.0)) + F.col("part")).alias("score"))
+    score = F.round("score", 6)
+    return sums.select("doc_id", "n_words", score.alias("score"), F.round(F.when(F.col("n_words") > 0, score / F.col("n_words")), 6).alias("per_word"))
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, docs)
+    return scored(table(spark, sf_dir, "documents"))
 
 
 ORACLE = f"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents
-), raw AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
-total AS (SELECT count(*) AS n FROM raw),
-seen AS (SELECT word, count(*) AS c FROM raw GROUP BY word),
-t AS (SELECT k, i, CASE WHEN c * {RARE} >= (SELECT n FROM total) THEN word ELSE '' END AS w FROM raw JOIN seen USING (word)),
+), t AS (SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
 ones AS (SELECT w, count(*) AS c FROM t GROUP BY w),
 twos AS (SELECT a.k, a.i, b.w AS v, a.w FROM t a LEFT JOIN t b ON a.k = b.k AND a.i = b.i + 1),
 pairs AS (SELECT v, w, count(*) AS c FROM twos WHERE v IS NOT NULL GROUP BY v, w),
 s AS (
-  SELECT x.k, CASE WHEN x.v IS NULL THEN ln(o.c) - ln((SELECT n FROM total))
-              WHEN p.c >= {LEAST} THEN ln(p.c) - ln(q.c)
-              ELSE ln({BACKOFF}) + ln(o.c) - ln((SELECT n FROM total)) END AS s
+  SELECT x.k, CASE WHEN x.v IS NULL THEN ln(o.c) - ln((SELECT count(*) FROM t))
+              WHEN p.c > 0 THEN ln(p.c) - ln(q.c)
+              ELSE ln({BACKOFF}) + ln(o.c) - ln((SELECT count(*) FROM t)) END AS s
   FROM twos x JOIN ones o ON o.w = x.w LEFT JOIN ones q ON q.w = x.v LEFT JOIN pairs p ON p.v = x.v AND p.w = x.w
 ), sums AS (SELECT k, sum(s) AS s FROM s GROUP BY k)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS score,
