@@ -48,12 +48,12 @@ class Memory:
     def __init__(self, make, size: int = REMEMBERED):
         self.make, self.size, self.young, self.old = make, size, {}, {}
 
-    def __call__(self, key: str) -> bytes:
+    def __call__(self, key: str, make=None) -> bytes:
         found = self.young.get(key)
         if found is None:
             found = self.old.get(key)
             if found is None:
-                found = self.make(key)
+                found = (make or self.make)(key)
                 if len(key) > LONGEST_REMEMBERED:
                     return found
             if len(self.young) >= self.size:
@@ -66,6 +66,7 @@ class BytePairCodec:
     """Encoder and decoder for one vocabulary file in the tokenizers JSON format."""
 
     width = "I"  # of encoded ids: 32 bits
+    remembered = REMEMBERED
 
     def __init__(self, path: str):
         import regex
@@ -96,8 +97,9 @@ class BytePairCodec:
         #: The tokenizers library knows an older Unicode, so characters outside these blocks are left to it.
         self.settled = re.compile("[\0-\u0556\u2010-\u205e\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
         self.path, self.library = path, None
-        self.token = Memory(lambda token: pack(self.merge(token.encode()), self.width))
-        self.piece = Memory(lambda piece: b"".join(map(self.token, self.split(piece))))
+        self.token = Memory(lambda token: pack(self.merge(token.encode()), self.width), self.remembered)
+        self.piece = Memory(lambda piece: b"".join(map(self.token, self.split(piece))), self.remembered)
+        self.settled_piece = lambda piece: b"".join(map(self.token, self.pretokens(piece)))
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text."""
@@ -150,8 +152,10 @@ class BytePairCodec:
             return self.piece(text)
         pieces = text.replace(" ", "\0 ").split("\0")
         found = list(map(self.piece.young.get, pieces))
-        for k in [k for k, x in enumerate(found) if x is None]:
-            found[k] = self.piece(pieces[k])
+        if None in found:
+            make = self.settled_piece if self.settled(text) else None
+            for k in [k for k, x in enumerate(found) if x is None]:
+                found[k] = self.piece(pieces[k], make)
         return b"".join(found)
 
     def encode(self, text: str) -> bytes:

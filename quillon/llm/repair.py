@@ -3,16 +3,22 @@
 Documents are sorted by id across the cluster, encoded, each followed by an end
 id, and cut into shards of about ``SHARD_IDS`` ids. In each shard the most
 frequent pairs of ids are replaced by nonterminals, round after round, until no
-pair is frequent enough or the 16-bit symbols are used up. A shard holds the
-rules, the length of each rule's expansion, and the remaining symbols; with the
-lengths any range of ids is found and expanded without the rest.
+pair occurs ``LEAST`` times or the 16-bit symbols are used up. A round replaces
+at most ``PAIRS`` of the most frequent pairs together.
 
-A shard's bytes, integers little-endian, packed by zlib as one member:
+A shard's bytes, integers little-endian:
 
-    magic "RPR1", then unsigned 64-bit: documents, ids, rules, symbols, base
-    documents x (8-byte id, 1-byte null mark, 8-byte end position)
-    rules x (two 16-bit symbols), rules x 32-bit expansion length
-    symbols x 16 bits; a symbol of at least ``base`` is rule symbol - base
+    blocks of at most ``BLOCK`` symbols of 16 bits, each packed by zlib on its own
+    the head, packed by zlib:
+        unsigned 64-bit: documents, ids, rules, blocks, base
+        documents x (8-byte id, 1-byte null mark, 8-byte end position)
+        rules x (two 16-bit symbols), rules x 32-bit expansion length
+        blocks x (8-byte first position, 8-byte offset), then the offset behind the last block
+    the head's packed length in 8 bytes, and "RPR2"
+
+A symbol of at least ``base`` is rule symbol - base. The lengths tell how many
+ids a block expands to, so a range of ids is read from the head and from those
+blocks alone that hold it; ``find_documents`` fetches single documents so.
 
 Files get names of their own in every attempt, and only shards listed in a
 table that Spark has committed are read.
@@ -38,61 +44,59 @@ SHARD_IDS = 2_000_000
 #: Pairs replaced in one round, and the fewest occurrences worth a rule.
 PAIRS, LEAST = 2_000, 32
 TOP, CELLS = 1 << 16, 1 << 20
-MAGIC = b"RPR1"
+#: Symbols packed together.
+BLOCK = 1 << 15
+MAGIC = b"RPR2"
 
 
 def cells(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint32(2654435761)) >> np.uint32(12)).astype(np.int32)
 
 
-def selected(keys: np.ndarray, cell: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` of the most frequent keys, and the number of each cell's key (-1: none).
+def selected(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """At most ``most`` of the most frequent keys, the number of each cell's key (-1: none), and whether these are all frequent ones.
 
-    Cells bound the keys' numbers from above, so frequent keys lie in the fullest
-    cells, and only these are sorted. Of frequent keys in one cell the most
-    frequent is taken; the others' turn comes in a later round.
+    Of frequent keys in one cell the most frequent is taken; the others' turn comes in a later round.
     """
-    n = np.bincount(cell, minlength=CELLS)
-    full = np.argpartition(n, CELLS - 2 * PAIRS)[-2 * PAIRS :]
-    near = np.zeros(CELLS, bool)
-    near[full[n[full] >= LEAST]] = True
-    found, times = np.unique(keys[near[cell]], return_counts=True)
-    if not (times >= LEAST).any():
-        # The fullest cells may hold rare keys only.
-        found, times = np.unique(keys[(n >= LEAST)[cell]], return_counts=True)
+    found, times = np.unique(keys, return_counts=True)
     found, times = found[times >= LEAST], times[times >= LEAST]
+    frequent = len(found)
     found = found[np.lexsort((found, -times))[:most]]
     _, first = np.unique(cells(found), return_index=True)
     found = found[np.sort(first)]
     slot = np.full(CELLS, -1, np.int32)
     slot[cells(found)] = np.arange(len(found), dtype=np.int32)
-    return found, slot
+    return found, slot, len(found) == frequent
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, expansion lengths) of ids below ``base``."""
     seq = ids.astype(np.uint32)
     rules = np.zeros((0, 2), np.uint32)
-    while True:
-        room = min(PAIRS, TOP - base - len(rules))
-        if len(seq) < 2 or room <= 0:
-            break
-        keys = seq[:-1] << np.uint32(16) | seq[1:]
-        cell = cells(keys)
-        pairs, slot = selected(keys, cell, room)
+    new = 0  # pairs without a symbol from here on are known to be rare
+    while len(seq) > 1 and (room := min(PAIRS, TOP - base - len(rules))) > 0:
+        at = np.flatnonzero((seq[:-1] >= new) | (seq[1:] >= new))
+        keys = seq[at] << np.uint32(16) | seq[at + 1]
+        pairs, slot, every = selected(keys, room)
         if not len(pairs):
             break
-        number = slot[cell]
-        places = np.flatnonzero(number >= 0)
-        places = places[pairs[number[places]] == keys[places]]
-        # Of overlapping occurrences in a row, every other one is replaced.
+        number = slot[cells(keys)]
+        hit = np.flatnonzero(number >= 0)
+        hit = hit[pairs[number[hit]] == keys[hit]]
+        places, number = at[hit], number[hit]
+        # Of overlapping occurrences in a row, every other one is replaced, which ends those between.
         begins = np.concatenate([[True], np.diff(places) > 1])
         run = np.maximum.accumulate(np.where(begins, places, 0))
-        places = places[(places - run) % 2 == 0]
-        seq[places] = base + len(rules) + number[places]
+        odd = (places - run) % 2 == 0
+        places, number = places[odd], number[odd]
+        used, number = np.unique(number, return_inverse=True)
+        # With all frequent pairs replaced, only pairs with a new symbol can be frequent.
+        new = base + len(rules) if every else 0
+        seq[places] = base + len(rules) + number
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
+        pairs = pairs[used]
         rules = np.concatenate([rules, np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], axis=1)])
     lengths = [1] * base
     for a, b in rules.tolist():
@@ -101,14 +105,17 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class Shard:
-    """One shard's grammar and documents."""
+    """One shard's grammar and documents; ``read(offset, length)`` fetches its bytes, blocks only when they are asked for."""
 
-    def __init__(self, data: bytes):
-        data = zlib.decompress(data)
-        if data[:4] != MAGIC:
+    def __init__(self, read, size: int):
+        self.read = read
+        tail = read(size - 12, 12)
+        if tail[8:] != MAGIC:
             raise ValueError("not a shard")
-        docs, self.n_ids, n_rules, n_symbols, self.base = (int(x) for x in np.frombuffer(data, "<u8", 5, 4))
-        at = 44
+        packed = int.from_bytes(tail[:8], "little")
+        data = zlib.decompress(read(size - 12 - packed, packed))
+        docs, self.n_ids, n_rules, blocks, self.base = (int(x) for x in np.frombuffer(data, "<u8", 5))
+        at = 40
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -120,7 +127,7 @@ class Shard:
         self.doc_ids = [None if z else int(i) for i, z in zip(ids, nulls)]
         self.rules = take("<u2", 2 * n_rules).reshape(-1, 2)
         self.lengths = np.concatenate([np.ones(self.base, np.int64), take("<u4", n_rules).astype(np.int64)])
-        self.symbols = take("<u2", n_symbols)
+        self.first, self.offsets = take("<i8", blocks), take("<i8", blocks + 1)
         # All expansions end to end: the ids themselves, then each rule's, made of earlier ones.
         self.begins = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.lengths[self.base :]) - self.lengths[self.base :]])
         self.flat = np.zeros(self.base + int(self.lengths[self.base :].sum()), np.uint32)
@@ -131,19 +138,25 @@ class Shard:
                 n = self.lengths[x]
                 self.flat[to : to + n] = self.flat[self.begins[x] : self.begins[x] + n]
                 to += n
-        self.places = np.cumsum(self.lengths[self.symbols])
+        self.held: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint32))
+
+    def symbols(self, k: int) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.read(int(self.offsets[k]), int(self.offsets[k + 1] - self.offsets[k]))), "<u2")
+
+    def block(self, k: int) -> np.ndarray:
+        """The ids of one block; the last one asked for is kept."""
+        if self.held[0] != k:
+            own = self.symbols(k)
+            n = self.lengths[own]
+            self.held = k, self.flat[np.repeat(self.begins[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return self.held[1]
 
     def ids(self, first: int, end: int) -> np.ndarray:
-        """The ids at positions first to end, from only the symbols that cover them."""
+        """The ids at positions first to end, from only the blocks that hold them."""
         if first >= end:
             return np.zeros(0, np.uint32)
-        i, j = np.searchsorted(self.places, [first, end - 1], side="right")
-        own = self.symbols[i : j + 1]
-        n = self.lengths[own]
-        total = int(n.sum())
-        out = self.flat[np.repeat(self.begins[own] - (np.cumsum(n) - n), n) + np.arange(total)]
-        skip = first - (int(self.places[i - 1]) if i else 0)
-        return out[skip : skip + end - first]
+        i, j = np.searchsorted(self.first, [first, end - 1], side="right") - 1
+        return np.concatenate([self.block(k)[max(first - int(self.first[k]), 0) : end - int(self.first[k])] for k in range(i, j + 1)])
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
@@ -151,27 +164,31 @@ class Shard:
 
 def pack(doc_ids: list, ends: list[int], ids: np.ndarray, base: int) -> bytes:
     seq, rules, lengths = compress(ids, base)
-    return zlib.compress(
+    before = np.concatenate([[0], np.cumsum(np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])[seq])])
+    blocks = [zlib.compress(seq[k : k + BLOCK].astype("<u2").tobytes(), 1) for k in range(0, len(seq), BLOCK)]
+    head = zlib.compress(
         b"".join(
             [
-                MAGIC,
-                np.array([len(doc_ids), len(ids), len(rules), len(seq), base], "<u8").tobytes(),
+                np.array([len(doc_ids), len(ids), len(rules), len(blocks), base], "<u8").tobytes(),
                 np.array([0 if i is None else i for i in doc_ids], "<i8").tobytes(),
                 np.array([i is None for i in doc_ids], "u1").tobytes(),
                 np.array(ends, "<i8").tobytes(),
                 rules.astype("<u2").tobytes(),
                 lengths.astype("<u4").tobytes(),
-                seq.astype("<u2").tobytes(),
+                before[:-1:BLOCK].astype("<i8").tobytes(),
+                np.cumsum([0, *map(len, blocks)]).astype("<i8").tobytes(),
             ]
         ),
         1,
     )
+    return b"".join([*blocks, head, len(head).to_bytes(8, "little"), MAGIC])
 
 
 class Encoder(BytePairCodec):
     """The tokenizers library's model behind the bounded memories of pieces and pre-tokens; 16-bit ids."""
 
     width = "H"
+    remembered = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -195,7 +212,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-SHARDS = "part int, shard int, file string, offset long, length long, n_ids long"
+SHARDS = "part int, shard int, file string, offset long, length long, n_ids long, first_doc long, last_doc long"
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -226,7 +243,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0, shard_ids: i
                 out = fs.open_output_stream(f"{path}/{name}", compression=None)
             data = pack(doc_ids, ends, np.frombuffer(b"".join(held), np.uint16), own.size)
             out.write(data)
-            made.append((part, len(made), f"{folder}/{name}", offset, len(data), n))
+            named = [i for i in doc_ids if i is not None]
+            made.append((part, len(made), f"{folder}/{name}", offset, len(data), n, min(named, default=None), max(named, default=None)))
             offset += len(data)
             n = 0
             for x in (doc_ids, ends, held):
@@ -247,19 +265,19 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0, shard_ids: i
             flush()
         if out is not None:
             out.close()
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(made, columns=[x.split()[0] for x in SHARDS.split(", ")]).astype({"part": "int32", "shard": "int32", "file": object, "offset": "int64", "length": "int64", "n_ids": "int64"}), schema=ARROW(), preserve_index=False)
+        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+        names, types = zip(*(x.split() for x in SHARDS.split(", ")))
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kinds[t]) for k, t in enumerate(types)], names=list(names))
 
     return materialise(ordered.mapInArrow(write, SHARDS), "shard-table")
 
 
-def ARROW():
-    import pyarrow as pa
-
-    return pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("n_ids", pa.int64())])
-
-
 def with_starts(shards: DataFrame) -> DataFrame:
-    """Shards with ``start``, the number of ids before each: within its part, and over the (few) parts."""
+    """Shards with ``start``, the number of ids before each: within its part, and over the (few) parts.
+
+    The input is a table of ``write_shards``; it has no nulls but the document
+    ids of shards with null ids alone. No shards give no rows.
+    """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -267,15 +285,20 @@ def with_starts(shards: DataFrame) -> DataFrame:
 
 
 def read_documents(shards: DataFrame, digest: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of all documents; ids as binary, 32-bit, or with ``digest`` their crc32 instead."""
+    """(doc_id, start, n_tokens, ids) of all documents; ids as binary, 32-bit, or with ``digest`` their crc32 instead.
+
+    A document of a null or empty text has its end id alone. Repeated rows and
+    null ids give one row each, in the order that they were written in; no
+    shards give no rows.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, offset, length, start in zip(batch["file"], batch["offset"], batch["length"], batch["start"]):
                 fs, path = open_fs(file)
                 with fs.open_input_file(path) as f:
-                    shard = Shard(f.read_at(length, offset))
-                rows = []
+                    data = f.read_at(length, offset)
+                shard, rows = Shard(lambda at, n: data[at : at + n], length), []
                 # Ranges of documents, so that a shard is expanded in bounded steps.
                 for k in range(0, len(shard.doc_ids), 512):
                     ends = shard.ends[max(k - 1, 0) : k + 512]
@@ -292,6 +315,52 @@ def read_documents(shards: DataFrame, digest: bool = False) -> DataFrame:
     return spread.mapInPandas(read, f"doc_id long, start long, n_tokens long, ids {'long' if digest else 'binary'}")
 
 
+def find_documents(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents whose ids are in column ``doc_id`` of ``wanted``, each id once.
+
+    Reads the heads of the shards that may hold them, and of these shards only
+    the blocks that do. Rows that share an id are all found; null and unknown
+    ids give no row. Other columns of ``wanted`` are ignored.
+    """
+    spark = wanted.sparkSession
+    bounds = shards.where("first_doc is not null").groupBy("part").agg(F.min("first_doc").alias("low"), F.max("last_doc").alias("high")).orderBy("low", "part").collect()  # a row for each partition of the sort
+    held = spark.sparkContext.broadcast(([r.part for r in bounds], np.array([r.low for r in bounds], np.int64), np.array([r.high for r in bounds], np.int64)))
+
+    @F.pandas_udf("array<int>")
+    def parts_of(ids: pd.Series) -> pd.Series:
+        own, low, high = held.value
+        ends = np.searchsorted(low, ids.to_numpy(), side="right")
+        begins = np.searchsorted(high, ids.to_numpy(), side="left")
+        return pd.Series([own[a:b] for a, b in zip(begins, ends)], dtype=object)
+
+    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    near = ids.select("doc_id", F.explode(parts_of("doc_id")).alias("part")).join(shards, "part").where(F.col("doc_id").between(F.col("first_doc"), F.col("last_doc")))
+    jobs = near.select("file", "offset", "length", "doc_id").repartitionByRange(parts(spark), "file", "offset", "doc_id").sortWithinPartitions("file", "offset", "doc_id")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, shard, f, own = None, None, None, {}
+        for batch in batches:
+            rows = []
+            for file, offset, length, doc_id in zip(*(batch[c] for c in ("file", "offset", "length", "doc_id"))):
+                if known != (file, offset):
+                    if f is not None:
+                        f.close()
+                    fs, path = open_fs(file)
+                    f, known = fs.open_input_file(path), (file, offset)
+                    shard = Shard(lambda at, n, f=f, offset=offset: f.read_at(n, offset + at), length)
+                    own = {}
+                    for k, i in enumerate(shard.doc_ids):
+                        own.setdefault(i, []).append(k)
+                for k in own.get(doc_id, ()):
+                    ids = shard.document(k).astype("<u4")
+                    rows.append((doc_id, len(ids), ids.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids"])
+        if f is not None:
+            f.close()
+
+    return jobs.mapInPandas(find, "doc_id long, n_tokens long, ids binary")
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

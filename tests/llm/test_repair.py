@@ -46,10 +46,38 @@ def test_grammar_round_trip_and_random_access():
     rnd = np.random.default_rng(4)
     for ids in (rnd.integers(0, 9, 30_000), np.zeros(5_000, int), np.tile([1, 2, 3], 4_000), np.arange(300), np.array([7])):
         ids = ids.astype(np.uint16)
-        data = repair.pack([1], [len(ids)], ids, 300)
-        shard = repair.Shard(data)
+        shard = opened(repair.pack([1], [len(ids)], ids, 300))
         assert (shard.ids(0, len(ids)) == ids).all()
         for _ in range(50):
             a, b = sorted(rnd.integers(0, len(ids) + 1, 2))
             assert (shard.ids(a, b) == ids[a:b]).all()
-    assert len(repair.Shard(repair.pack([1], [12_000], np.tile([1, 2, 3], 4_000).astype(np.uint16), 300)).symbols) < 200
+    assert len(opened(repair.pack([1], [12_000], np.tile([1, 2, 3], 4_000).astype(np.uint16), 300)).symbols(0)) < 200
+
+
+def opened(data):
+    return repair.Shard(lambda at, n: data[at : at + n], len(data))
+
+
+def test_a_document_costs_its_blocks_only(monkeypatch):
+    monkeypatch.setattr(repair, "BLOCK", 1_000)
+    rnd = np.random.default_rng(6)
+    ids = rnd.integers(0, 20_000, 200_000).astype(np.uint16)
+    ends = list(range(500, len(ids) + 1, 500))
+    data = repair.pack(list(range(len(ends))), ends, ids, 20_000)
+    read = []
+    shard = repair.Shard(lambda at, n: read.append(n) or data[at : at + n], len(data))
+    head = sum(read)
+    assert head < len(data) / 10
+    for k in (0, 7, 399):
+        read.clear()
+        assert (shard.document(k) == ids[500 * k : 500 * k + 500]).all()
+        assert sum(read) <= 2 * 2_100  # at most two blocks of a thousand 16-bit symbols
+
+
+def test_find_documents(spark, sf_dir, library):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame([(None, "x"), (3, "again")], "doc_id long, text string"))
+    shards = repair.write_shards(docs, bpe.default_vocabulary(), shard_ids=3_000)
+    wanted = spark.createDataFrame([(3,), (3,), (150,), (10**9,), (None,), (-1,)], "doc_id long")
+    got = sorted((r.doc_id, bytes(r.ids)) for r in repair.find_documents(shards, wanted).collect())
+    texts = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in (3, 150)]
+    assert got == sorted((i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in texts) and len(got) == 3
