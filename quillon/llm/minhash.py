@@ -7,18 +7,19 @@
    bucket.
 3. Rounds of comparisons. The first two rounds compare each member with one
    centre of its bucket, which joins large groups of copies with as many
-   comparisons as they have members. The last round takes the clusters of nodes
-   that chains of shared buckets hold together and in which several components
-   are left, cuts each into blocks, and compares what is still in different
-   components. A pair of blocks is compared in place and returns only the links
-   that join components, so fewer rows than it has members.
+   comparisons as they have members. The last round takes the buckets in which
+   several components are left, cuts each into blocks, and compares what is
+   still in different components, a pair in its first common band only. A pair
+   of blocks is compared in place and returns only the links that join
+   components, so fewer rows than it has members.
 4. A comparison reads signatures in batches. After each batch the posterior
    probability that the similarity reaches the threshold, given the matches so
    far, is bounded below by ``MISS``, or the pair is pruned. Survivors are
    verified on the full shingle sets.
 
-A pair in one cluster thus ends in one component, is pruned by the posterior, or
-is refuted exactly; no bucket is capped. Two documents at the threshold share no
+A pair in one bucket thus ends in one component, is pruned by the posterior, or
+is refuted exactly; no bucket is capped. Rows of a bucket that holds more than
+one in ``HOT`` of them are dealt out by salts wherever they meet its one row. Two documents at the threshold share no
 bucket with probability (1 - s^ROWS)^BANDS: 4e-7 at 0.85, 5e-5 at 0.8.
 """
 
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, table
+from quillon.llm.common import fresh, materialise, table
 from quillon.llm.components import connected_components
 
 BANDS, ROWS = 25, 5
@@ -41,8 +42,10 @@ HASHES = 128
 BATCH = 32
 #: Posterior probability of reaching the threshold below which a pair is pruned.
 MISS = 1e-5
-#: Nodes of a cluster in one block of the last round, and their shingles; right sides in one group of exact verification.
+#: Nodes of a bucket in one block of the last round, and their shingles; right sides in one group of exact verification.
 BLOCK, SHINGLES, GROUP = 512, 1_000_000, 64
+#: By arithmetic fewer buckets than this have more than one in so many rows.
+HOT = 1_000
 SEED = 977
 
 
@@ -128,7 +131,7 @@ def matrix(signatures) -> np.ndarray:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets that hold more than one node."""
+    """(bucket, node) of all bands."""
 
     @F.pandas_udf("array<long>")
     def bands(signatures: pd.Series) -> pd.Series:
@@ -137,16 +140,35 @@ def buckets(reps: DataFrame) -> DataFrame:
         step = 4 * ROWS
         return signatures.map(lambda s: [xxh3_64_intdigest(s[k * step : (k + 1) * step], seed=k) - (1 << 63) for k in range(BANDS)])
 
-    rows = reps.select(F.explode(bands("signature")).alias("bucket"), F.col("rep").alias("node"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    return rows.join(shared, "bucket").distinct()
+    return reps.select(F.explode(F.array_distinct(bands("signature"))).alias("bucket"), F.col("rep").alias("node"))
 
 
-def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+class Salts:
+    """How many tasks share a bucket: one, but for those with more than one in ``HOT`` rows."""
+
+    def __init__(self, members: DataFrame):
+        least = members.count() / HOT
+        sizes = members.groupBy("bucket").count()
+        found = sizes.where(F.col("count") > max(least, 1)).select("bucket", F.ceil(F.col("count") / F.lit(max(least, 1.0))).cast("int").alias("salts")).collect()  # fewer than HOT
+        self.table = members.sparkSession.createDataFrame(found, "bucket long, salts int")
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """Rows of (bucket, node, ...) with the salt of each."""
+        return rows.join(F.broadcast(self.table), "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+
+    def repeat(self, one: DataFrame) -> DataFrame:
+        """One row a bucket to one for each of its salts."""
+        return one.join(F.broadcast(self.table), "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+    def join(self, rows: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
+        return self.deal(rows).join(self.repeat(one), ["bucket", "salt"], how).drop("salt")
+
+
+def star_pairs(members: DataFrame, turn: int, salts: Salts) -> DataFrame:
     """Each member with its bucket's centre, which differs from turn to turn; only across components."""
     order = F.struct(F.when(F.lit(turn == 0), F.lit(0)).otherwise(F.xxhash64("node", F.lit(turn))), F.col("node"), F.col("component"))
     centre = members.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.component").alias("ca"))
-    return members.join(centre, "bucket").where("component <> ca").select("a", F.col("node").alias("b")).distinct()
+    return salts.join(members, centre).where("component <> ca").select("a", F.col("node").alias("b")).distinct()
 
 
 def survivors_of(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -167,25 +189,23 @@ def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
     return shared > 0 and 100 * shared >= percent * (small + large - shared)
 
 
-def cluster_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join components among all nodes of a cluster, each pair of blocks in a group of its own."""
-    centre = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    held = members.join(centre, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    clusters = connected_components(held).withColumnRenamed("component", "cluster")
-    nodes = materialise(members.select("node", "component").distinct().join(clusters, "node"), "clusters")
+def bucket_links(members: DataFrame, reps: DataFrame, texts: DataFrame, salts: Salts, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components among all nodes of a bucket, each pair of blocks in a group of its own."""
     sizes = (
-        nodes.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("cluster")
+        members.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("bucket")
         .agg(F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n") / F.lit(float(SHINGLES)))).cast("int").alias("blocks"))
     )
-    own = nodes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = salts.join(members, sizes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A member of block i takes part in the groups (i, j) and (j, i) of every block j.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = own.join(reps.select(F.col("rep").alias("node"), "signature"), "node").join(texts, "node").select("cluster", "node", "component", "block", "signature", "text", F.explode(pairs).alias("g"))
+    rows = own.join(reps.select(F.col("rep").alias("node"), "signature"), "node").join(texts, "node").select("bucket", "node", "component", "block", "signature", "text", F.explode(pairs).alias("g"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sig, node, block, texts = matrix(rows["signature"]), rows["node"].to_numpy(), rows["block"].to_numpy(), rows["text"].tolist()
         label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
         first, second = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
+        bands = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        here = int((bands == bands[0]).all(axis=(0, 2)).argmax())  # the first band that all of them share
         sets, out = {}, []
 
         def set_of(k: int) -> np.ndarray:
@@ -195,6 +215,7 @@ def cluster_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width:
 
         for x in first:
             others = second[(label[second] != label[x]) & ((block[second] != block[x]) | (second > x))]
+            others = others[(bands[others] == bands[x]).all(axis=2).argmax(axis=1) == here]
             if len(others):
                 for y in others[plausible(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], percent)]:
                     if label[y] != label[x] and similar(set_of(x), set_of(y), percent):
@@ -202,7 +223,7 @@ def cluster_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width:
                         label[label == label[y]] = label[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    grouped = rows.select("cluster", "g.i", "g.j", "node", "component", "block", "signature", "text").groupBy("cluster", "i", "j")
+    grouped = rows.select("bucket", "g.i", "g.j", "node", "component", "block", "signature", "text").groupBy("bucket", "i", "j")
     return grouped.applyInPandas(compare, "a long, b long")
 
 
@@ -238,17 +259,15 @@ def links_among(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return rows.select("a", "salt", "node", "side", "text").mapInPandas(verify, "a long, b long")
 
 
-def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
-
-    Null, empty and wordless texts have no shingles and link with nothing.
-    Rows with one doc_id are one document. A null doc_id links with nothing, has
-    a null component_id and is kept. Extra columns are ignored.
-    """
+def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, component) for each row of documents whose ids are all different; component is null where the id is."""
     base = materialise(sketch(docs, width), "sketch")
     named = base.where("doc_id is not null and digest is not null")
     reps = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n").alias("n")), "reps")
-    members = materialise(buckets(reps), "buckets")
+    banded = materialise(buckets(reps), "bands")
+    salts = Salts(banded)
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    members = materialise(salts.join(banded, shared), "buckets")
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"), "texts")
 
     links, found = [], None
@@ -256,12 +275,12 @@ def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
         labelled = members.withColumn("component", F.col("node")) if found is None else members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # Buckets whose members are all in one component need no further look.
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        left = labelled.join(mixed, "bucket", "left_semi")
+        left = salts.join(labelled, mixed)
         if turn < 2:
-            near = materialise(survivors_of(star_pairs(left, turn), reps, percent), "near")
+            near = materialise(survivors_of(star_pairs(left, turn, salts), reps, percent), "near")
             made = links_among(near, texts, width, percent)
         else:
-            made = cluster_links(materialise(left, "mixed"), reps, texts, width, percent)
+            made = bucket_links(materialise(left, "mixed"), reps, texts, salts, width, percent)
         links.append(materialise(made, "links"))
         edges = links[0]
         for more in links[1:]:
@@ -269,18 +288,51 @@ def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
         found = materialise(connected_components(edges), "components")
 
     classes = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return base.join(classes, "digest", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).alias("kept"),
-    )
+    return base.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and that column's name, which is new."""
+    name = fresh(docs, "row")
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Null, empty and wordless texts have no shingles and link with nothing. Each
+    row is judged by its own text, also where rows share a doc_id; a component's
+    id is the smallest doc_id in it. A null doc_id links with nothing, has a null
+    component_id and is kept. Extra columns are ignored.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows, name = numbered(docs.select("doc_id", "text"))
+        own = rows.select(F.col(name), F.col("doc_id").cast("long").alias("own_id"))
+        found = components_of(rows.where("doc_id is not null").select(F.col(name).alias("doc_id"), "text"), width, percent)
+        found = own.join(found, own[name] == found["doc_id"], "left").drop("doc_id")
+        sizes = sketch(rows.where("doc_id is null").select(F.col(name).alias("doc_id"), "text"), width).select(F.col("doc_id").alias(name), F.col("n").alias("own_n"))
+        least = found.where("component is not null").groupBy("component").agg(F.min("own_id").alias("least"))
+        found = found.join(sizes, name, "left").join(least, "component", "left").select(F.col("own_id").alias("doc_id"), F.coalesce("n", "own_n").alias("n"), F.col("least").alias("component"))
+    else:
+        found = components_of(docs, width, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; columns unchanged."""
-    gone = duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates, the one with the smallest id (nulls last); columns unchanged.
+
+    Rows are told apart by a number of their own, so repeated rows and repeated
+    or null ids are near-duplicates or not by their texts alone. Null, empty and
+    wordless texts all stay.
+    """
+    rows, name = numbered(docs)
+    found = components_of(rows.select(F.col(name).alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias(name), "component")
+    grouped = found.join(found.where(F.col(name) != F.col("component")).select("component").distinct(), "component", "left_semi")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(name).alias("r"))
+    firsts = grouped.join(rows.select(name, "doc_id"), name).groupBy("component").agg(F.min(order)["r"].alias("first"))
+    gone = grouped.join(firsts, "component").where(F.col(name) != F.col("first")).select(name)
+    return rows.join(gone, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

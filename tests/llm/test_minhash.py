@@ -56,6 +56,7 @@ def test_chains_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "GROUP", 2)
     monkeypatch.setattr(minhash, "SHINGLES", 1000)
+    monkeypatch.setattr(minhash, "HOT", 20)
     rows = minhash.duplicates(docs, 3, 85).collect()
     assert len(rows) == len(texts) + 2
     for r in rows:
@@ -64,10 +65,39 @@ def test_chains_and_odd_rows(spark, monkeypatch):
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (sizes[r.doc_id], comps[r.doc_id], comps[r.doc_id] == r.doc_id)
     kept = minhash.keep_one(docs, 3, 85)
-    assert kept.columns == docs.columns and kept.where("doc_id is not null").select("doc_id").distinct().count() == len(set(comps))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(comps))
     assert minhash.duplicates(docs.limit(0), 3, 85).collect() == []
 
 
+def test_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, a, 0), (2, a, 1), (2, b, 2), (3, c, 3), (3, c, 4), (None, c, 5), (None, None, 6), (4, "", 7), (4, "", 8)], "doc_id long, text string, row int")
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = [r.row for r in kept.collect()]
+    assert sorted(r for r in rows if r not in (3, 4)) == [0, 2, 6, 7, 8] and len(rows) == 6
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.duplicates(docs, 3, 85).collect())
+    want = [("1", 28, "1", True), ("2", 28, "1", False), ("2", 28, "2", True), ("3", 28, "3", True), ("3", 28, "3", True), ("4", 0, "4", True), ("4", 0, "4", True), ("None", 0, "None", True), ("None", 28, "None", True)]
+    assert got == want
+
+
+def test_pairs_at_the_threshold(spark):
+    """Planted pairs just at or above the threshold are linked, those just below it aren't."""
+    rnd, texts = random.Random(8), []
+    for k in range(120):
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(80, 400))]
+        near = words[:]
+        # Each replaced word, far from the others, ends three shingles and makes three.
+        most = int((len(words) - 2) * 0.15 / (3 * 1.85)) + k % 2
+        for i in range(most):
+            near[10 + i * ((len(words) - 20) // max(most, 1))] = f"n{k}-{i}"
+        texts += [" ".join(words), " ".join(near)]
+    comps = brute_force(texts, 3, 85)[1]
+    assert 40 < sum(a != b for a, b in zip(comps, range(len(comps)))) < 120
+    got = {r.doc_id: r.component_id for r in minhash.duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == comps
+
+
 def test_posterior_bounds():
     bounds = minhash.least_matches(85)
     assert [n for n, _ in bounds] == [32, 64, 96, 128] and all(0 < m < n for n, m in bounds)
