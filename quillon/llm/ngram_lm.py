@@ -119,18 +119,20 @@ def hot_counts(docs: DataFrame, held) -> DataFrame:
     return docs.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-SEEN = {"key": "long", "n": "int", "weight": "int"}
+SEEN = {"key": "long", "code": "int"}
+#: What a row says of its key: ``code`` is four times the number of occurrences and one of these.
+BIGRAM, WORD, END = 0, 1, 2
 FOREIGN = {"back": "double", "v": "long", "w": "long"}
 
 
 def exploded(docs: DataFrame, held, hot, foreign: bool) -> DataFrame:
-    """(row, key, n, weight) for each row of ``docs`` and each key in it that isn't hot, and (row, doc_id, words, known) under a key of its own.
+    """(row, key, code) for each row of ``docs`` and each key in it that isn't hot, and (row, doc_id, words, known) under a key of its own.
 
-    ``weight`` times the logarithm of the key's count is what the key adds to
-    the score: a bigram's occurrences, and less a rare word's as the first of a
-    bigram. With ``foreign``, bigrams also have ``back``, which they add for
-    each occurrence if unseen, without the logarithms of the counts of their
-    rare words ``v`` and ``w`` (0: not rare).
+    If all bigrams are seen, a score is the sum of the logarithms of the counts
+    of its bigrams and of its first and last word, less those of all its words
+    and that of N. With ``foreign``, bigrams also have ``back``, which they add
+    instead if unseen, without the logarithms of the counts of their rare words
+    ``v`` and ``w`` (0: not rare).
     """
     columns = {**SEEN, **FOREIGN} if foreign else SEEN
 
@@ -148,7 +150,7 @@ def exploded(docs: DataFrame, held, hot, foreign: bool) -> DataFrame:
                     own = vocabulary.words(text.as_py())
                     keys = vocabulary.pairs(own)
                     numbered = np.maximum(own, 0)
-                    score = logs[numbered[0]] - n - logs[numbered[:-1]].sum() if len(own) else 0.0
+                    score = logs[numbered[[0, -1]]].sum() - logs[numbered].sum() - n if len(own) else 0.0
                     is_hot = vocabulary.hot(keys)
                     if is_hot.any():
                         places = np.flatnonzero(is_hot)
@@ -159,27 +161,25 @@ def exploded(docs: DataFrame, held, hot, foreign: bool) -> DataFrame:
                     places = np.flatnonzero(~is_hot)
                     rest, first, times = np.unique(keys[places], return_index=True, return_counts=True)
                     rare, often = np.unique(own[own < 0], return_counts=True)
-                    before = np.searchsorted(rare, own[:-1][own[:-1] < 0])
-                    as_first = np.bincount(before, minlength=len(rare)) if len(rare) else often
-                    found["key"] += [rest, rare]
-                    found["n"] += [times, often]
-                    found["weight"] += [times, (rare == own[0]).astype(np.int64) - as_first if len(rare) else often]
+                    ends_rare = own[[0, -1]][own[[0, -1]] < 0] if len(own) else own
+                    found["key"] += [rest, rare, ends_rare]
+                    found["code"] += [4 * times + BIGRAM, 4 * often + WORD, np.full(len(ends_rare), 4 + END)]
                     if foreign:
                         at = places[first]
-                        nothing = np.zeros(len(rare), np.int64)
-                        found["back"] += [math.log(BACKOFF) - n + logs[numbered[at]] + logs[numbered[at + 1]], np.full(len(rare), np.nan)]
+                        nothing = np.zeros(len(rare) + len(ends_rare), np.int64)
+                        found["back"] += [math.log(BACKOFF) - n + logs[numbered[at]] + logs[numbered[at + 1]], nothing]
                         found["v"] += [np.minimum(own[at], 0), nothing]
                         found["w"] += [np.minimum(own[at + 1], 0), nothing]
                     words.append(len(own))
                     known.append(float(score))
-                    ends.append(ends[-1] + len(rest) + len(rare))
+                    ends.append(ends[-1] + len(rest) + len(rare) + len(ends_rare))
                 offsets, kinds = pa.array(ends, pa.int32()), {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found[c])).cast(kinds[t])) for c, t in columns.items()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(known, pa.float64()), *lists], names=["doc_id", "words", "known", *columns])
 
     schema = "doc_id long, words long, known double, " + ", ".join(f"{c} array<{t}>" for c, t in columns.items())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, schema).select(F.monotonically_increasing_id().alias("row"), "*")
-    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in columns.items()} | {"key": F.xxhash64("row", F.lit("base")).alias("key"), "n": F.lit(0).alias("n"), "weight": F.lit(0).alias("weight")}
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in columns.items()} | {"key": F.xxhash64("row", F.lit("base")).alias("key"), "code": F.lit(END).alias("code")}
     base = F.array(F.struct(*nothing.values()))
     rows = own.select("row", "doc_id", "words", "known", F.posexplode(F.concat(base, F.arrays_zip(*columns))).alias("at", "g"))
     first = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc_id", "words", "known")]
@@ -204,19 +204,23 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     hot = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64), np.log(often["n"].to_numpy(np.float64))))
 
     rows = exploded(docs, held, hot, foreign)
+    times, kind = F.shiftright("code", 2), F.col("code").bitwiseAND(3)
+    occurs = F.when(kind < END, times).otherwise(0)
     if foreign:
-        rows = rows.withColumn("n", F.lit(0)).unionByName(exploded(corpus, held, hot, False).where("n > 0").select("key", "n"), allowMissingColumns=True)
-    counted = rows.withColumn("count", F.sum("n").over(Window.partitionBy("key")))
-    gain = F.when(F.col("count") > 0, F.col("weight") * F.log("count")).otherwise(0.0)
+        rows = rows.unionByName(exploded(corpus, held, hot, False).where(kind < END).select("key", "code"), allowMissingColumns=True)
+        occurs = F.when(F.col("row").isNull(), occurs).otherwise(0)
+    counted = rows.withColumn("count", F.sum(occurs).over(Window.partitionBy("key")))
+    weight = F.when(kind == WORD, -times).otherwise(times)
+    gain = weight * F.log(F.when(F.col("count") > 0, F.col("count")).otherwise(1 if not foreign else UNSEEN))
     if foreign:
         counted = counted.where("row IS NOT NULL")
-        missing = (F.col("count") == 0) & (F.col("weight") != 0)
-        gain = F.when(missing & F.isnan("back"), F.col("weight") * math.log(UNSEEN)).when(missing, F.col("weight") * F.col("back")).otherwise(gain)
+        missing = (F.col("count") == 0) & (kind == BIGRAM)
+        gain = F.when(missing, times * F.col("back")).otherwise(gain)
     parts = counted.select("row", "doc_id", "words", "known", gain.alias("part"))
     if foreign:
         # The rare words of unseen bigrams: their counts come by a join of their own.
-        ids = counted.where(missing & ~F.isnan("back")).select("row", "weight", F.explode(F.array("v", "w")).alias("id")).where("id <> 0")
-        more = ids.join(rare_words(counts, total), "id", "left").select("row", (F.col("weight") * F.log(F.coalesce("n", F.lit(UNSEEN)))).alias("part"))
+        ids = counted.where(missing).select("row", times.alias("times"), F.explode(F.array("v", "w")).alias("id")).where("id <> 0")
+        more = ids.join(rare_words(counts, total), "id", "left").select("row", (F.col("times") * F.log(F.coalesce("n", F.lit(UNSEEN)))).alias("part"))
         parts = parts.unionByName(more, allowMissingColumns=True)
     sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("words").alias("n_words"), F.sum(F.coalesce("known", F.lit(0.0)) + F.col("part")).alias("score"))
     score = F.round("score", 6)
