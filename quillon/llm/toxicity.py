@@ -1,14 +1,19 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens of labelled documents are counted by class, as words and as beginnings
-of words. Their log-odds are smoothed by a Dirichlet prior in proportion to
-the tokens' overall counts, and those whose z-score is significant form a table
-of at most ``TOKENS`` rows. In a document, significant tokens score their
-log-odds and all others a small negative drift; a linear scan finds all maximal
-scoring segments, which are the toxic passages. The best segment's score follows
-an extreme-value law whose decay comes from the clean documents' token scores,
-so it is brought to a common scale for all lengths before a logistic fit turns
-it into a probability.
+Words of labelled documents are counted by class; their log-odds are smoothed by
+a Dirichlet prior in proportion to the words' overall counts. In a document,
+words whose z-score is significant score their log-odds, toxic ones above and
+clean ones below zero, and all others a small negative drift. A linear scan finds
+all maximal scoring segments. A segment's score follows an extreme-value law,
+whose decay comes from the clean documents' word scores: among n clean words, a
+score of x is expected n * exp(-decay * x) times. Segments expected fewer than
+``SIGNIFICANT`` times are the toxic passages. The margins of all segments that
+are expected less than once add up to the document's evidence, which a logistic
+fit turns into a probability.
+
+The prior and the least z-score are chosen among ``CHOICES``, and the logistic
+fit is made, by folds inside the labelled rows of the fit: each row's evidence
+comes from counts without its fold. Copies of a text are in one fold.
 
 Fitting reads a bounded sample of labelled rows; scoring is a narrow map.
 """
@@ -25,38 +30,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import labelled_sample, materialise, remainder, table
+from quillon.llm.common import fresh, labelled_sample, materialise, remainder, table
 
 #: Labelled rows for the fit, about.
 SAMPLE = 20_000
-TOKENS = 50_000
-#: Pseudo-counts of the prior as a share of all counts, and the least z-score of a token that counts.
-PRIOR, LEAST_Z = 0.05, 3.0
+#: Pseudo-counts of the prior as a share of all counts, and the least z-score of a word that counts.
+CHOICES = [(prior, z) for prior in (0.1, 0.3) for z in (2.0, 3.0)]
+FOLDS = 4
 DRIFT = 0.1
-#: Letters of a word's beginning that may stand for it.
-BEGINNINGS = (5, 4)
-REMEMBERED = 300_000
+#: Segments as good as a passage's that are expected among as many clean words.
+SIGNIFICANT = 0.05
 WORD = re.compile(r"\w+")
 
 
-def tokens(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def words(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of tokens with an informative Dirichlet prior, and their z-scores."""
-    prior = PRIOR * (toxic + clean)
-    n_toxic, n_clean = toxic.sum() + prior.sum(), clean.sum() + prior.sum()
-    odds = np.log((toxic + prior) / (n_toxic - toxic - prior)) - np.log((clean + prior) / (n_clean - clean - prior))
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of words with an informative Dirichlet prior, and their z-scores; ``n_toxic`` and ``n_clean`` are the classes' sums."""
+    prior = np.maximum(share * (toxic + clean), 1e-9)
+    a = n_toxic + share * (n_toxic + n_clean) + 1e-9
+    b = n_clean + share * (n_toxic + n_clean) + 1e-9
+    odds = np.log((toxic + prior) / np.maximum(a - toxic - prior, 1e-9)) - np.log((clean + prior) / np.maximum(b - clean - prior, 1e-9))
     return odds, odds / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
 
 
 def segments(places: list[int], scores: list[float], drift: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments as (score, first token, one past the last).
+    """All maximal scoring segments as (score, first word, one past the last).
 
-    ``places`` and ``scores`` are the positive tokens; all tokens between them
-    score ``-drift``. Each candidate is held with the sums to its left and right
-    ends, as in the linear-time scan over all tokens.
+    ``places`` and ``scores`` are the words that have a score of their own; all
+    others score ``-drift``. Each candidate is held with the sums to its left and
+    right ends, as in the linear-time scan over all words.
     """
     held: list[tuple[float, float, int, int, int]] = []
     total, last = 0.0, -1
@@ -64,6 +69,8 @@ def segments(places: list[int], scores: list[float], drift: float) -> list[tuple
         left, first = total - drift * (at - last - 1), at
         right = left + score
         total, last = right, at
+        if score <= 0:
+            continue
         while True:
             j = len(held) - 1
             while j >= 0 and held[j][0] >= left:
@@ -76,57 +83,12 @@ def segments(places: list[int], scores: list[float], drift: float) -> list[tuple
     return [(right - left, first, end) for left, right, first, end, _ in held]
 
 
-@dataclass
-class Model:
-    words: dict[str, float]
-    beginnings: dict[str, float]
-    decay: float = 1.0
-    slope: float = 1.0
-    offset: float = 0.0
-    known: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def token(self, word: str) -> float:
-        """The word's own log-odds if they are significant, else those of its longest significant beginning, else 0."""
-        found = self.words.get(word)
-        if found is None:
-            found = next((s for n in BEGINNINGS if len(word) > n and (s := self.beginnings.get(word[:n])) is not None), 0.0)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = found
-        return found
-
-    def passages(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
-        """Number of tokens, and the segments."""
-        found = tokens(text) if text else []
-        known, token = self.known, self.token
-        places, scores = [], []
-        for word in set(found):
-            if (s := known[word] if word in known else token(word)) > 0:
-                scores.append((word, s))
-        if not scores:
-            return len(found), []
-        by = dict(scores)
-        places = [i for i, w in enumerate(found) if w in by]
-        return len(found), segments(places, [by[found[i]] for i in places], DRIFT)
-
-    def evidence(self, text: str | None) -> float:
-        """The best segment's score over what the best of so many clean tokens would reach, in units of the decay."""
-        n, found = self.passages(text)
-        return self.decay * max((s for s, _, _ in found), default=0.0) - math.log(n + 1)
-
-    def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * self.evidence(text) + self.offset))))
-
-
 def decay(scores: np.ndarray, share: np.ndarray) -> float:
-    """The positive root of sum(share * exp(x * score)) = exp(x * drift), the tail's decay for clean tokens."""
-    share = np.maximum(share, 1e-12)
+    """The positive root of sum(share * exp(x * score)) = 1, the tail's decay for clean words; what ``share`` leaves scores the drift."""
+    rest = max(0.0, 1 - float(share.sum()))
 
     def excess(x: float) -> float:
-        return float(share @ np.exp(np.minimum(x * scores, 600)) + (1 - share.sum()) * math.exp(-x * DRIFT)) - 1
+        return float(share @ np.exp(np.minimum(x * scores, 600))) + rest * math.exp(-x * DRIFT) - share.sum() - rest
 
     low, high = 1e-6, 1e-3
     while excess(high) < 0 and high < 50:
@@ -137,8 +99,53 @@ def decay(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset by damped Newton steps, with smoothed targets and a weak ridge."""
+def places(text: str | None, numbers: dict[str, int]) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many words a text has, and the places and numbers of those that have one."""
+    own = words(text)
+    found = np.fromiter((numbers.get(w, -1) for w in own), np.int64, len(own))
+    at = np.flatnonzero(found >= 0)
+    return len(own), at, found[at]
+
+
+def evidence(n: int, found: list[tuple[float, int, int]], rate: float) -> float:
+    """The margins of all segments expected less than once among n clean words, or the best segment's where there is none."""
+    base = math.log(n + 1)
+    margins = [rate * s - base for s, _, _ in found]
+    return sum(m for m in margins if m > 0) or max(margins, default=-base)
+
+
+@dataclass
+class Model:
+    #: Numbers of the words of at least the least z-score, and their log-odds.
+    numbers: dict[str, int]
+    odds: np.ndarray
+    rate: float = 1.0
+    slope: float = 1.0
+    offset: float = 0.0
+    choice: tuple[float, float] = field(default=CHOICES[0])
+
+    def segments(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
+        n, at, numbers = places(text, self.numbers)
+        return n, segments(at.tolist(), self.odds[numbers].tolist(), DRIFT)
+
+    def passages(self, text: str | None) -> list[tuple[float, int, int]]:
+        """(expected number among as many clean words, first word, one past the last) of each toxic passage."""
+        n, found = self.segments(text)
+        expected = [((n + 1) * math.exp(-self.rate * s), a, b) for s, a, b in found]
+        return [x for x in expected if x[0] < SIGNIFICANT]
+
+    def evidence(self, text: str | None) -> float:
+        return evidence(*self.segments(text), self.rate)
+
+    def probability(self, x: float) -> float:
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * x + self.offset))))
+
+    def score(self, text: str | None) -> float:
+        return self.probability(self.evidence(text))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float, float]:
+    """Slope, offset and mean loss by damped Newton steps, with smoothed targets and a weak ridge."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     middle, scale = x.mean(), max(x.std(), 1e-6)
@@ -148,64 +155,93 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, floa
         p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
         h = f.T @ (f * (p * (1 - p) + 1e-6)[:, None]) + 1e-3 * np.eye(2)
         w = w + np.clip(np.linalg.solve(h, f.T @ (target - p) - 1e-3 * w), -2, 2)
-    return float(max(w[0], 0) / scale), float(w[1] - max(w[0], 0) * middle / scale)
+    p = np.clip(1 / (1 + np.exp(-np.clip(f @ w, -30, 30))), 1e-9, 1 - 1e-9)
+    loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    return float(max(w[0], 0) / scale), float(w[1] - max(w[0], 0) * middle / scale), loss
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(word, toxic, clean): by fold, in how many different texts of each class a word is.
+
+    Each text counts a word once and copies of a text count once, so that one
+    document's habit isn't a class's.
+    """
+
+    @F.pandas_udf("array<string>")
+    def distinct(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(set(words(t))))
+
+    texts = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.max("label").alias("label"), F.first("fold").alias("fold"), F.first("text").alias("text"))
+    exploded = texts.select("label", "fold", F.explode(distinct("text")).alias("word"))
+    sums = lambda label: F.array(*(F.sum(((F.col("fold") == k) & (F.col("label") == label)).cast("long")).cast("double") for k in range(FOLDS)))
+    return exploded.groupBy("word").agg(sums(1).alias("toxic"), sums(0).alias("clean"))
+
+
+def without_fold(counts: np.ndarray) -> np.ndarray:
+    """Sums of a row's counts by fold without each fold, and then of all."""
+    whole = counts.sum(axis=-1, keepdims=True)
+    return np.append(whole - counts, whole, axis=-1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held_out=None, sample: int = SAMPLE) -> Model | float:
-    """A model, or the constant score where the sample has fewer than two labels."""
+    """A model, or the constant score where the sample has fewer than two labels.
+
+    The driver gets the words that are significant with some choice and some
+    fold left out; the sample bounds their number.
+    """
     out = F.lit(False) if held_out is None else held_out
-    rows = materialise(labelled_sample(docs, labels, column, out, sample), "toxicity-sample")
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int")
+    rows = materialise(labelled_sample(docs, labels, column, out, sample).withColumn("fold", fold), "toxicity-sample")
     one = rows.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
     if not one.n or one.p in (0.0, 1.0):
         return float(one.p) if one.n else 0.5
 
-    @F.pandas_udf("array<string>")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: tokens(t) if t else [])
-
-    # Each text counts a token once, and copies count once, so that one document's habit isn't a class's.
-    texts = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.max("label").alias("label"), F.first("text").alias("text"))
-    word = texts.select("label", F.explode(F.array_distinct(words("text"))).alias("word"))
-    kinds = [F.struct(F.lit(0).alias("n"), F.col("word").alias("token"))] + [F.when(F.length("word") > n, F.struct(F.lit(n).alias("n"), F.substring("word", 1, n).alias("token"))) for n in BEGINNINGS]
-    counts = (
-        word.select("label", F.explode(F.array_compact(F.array(*kinds))).alias("t"))
-        .groupBy("t.n", "t.token")
-        .agg(F.sum("label").cast("double").alias("toxic"), F.sum(1 - F.col("label")).cast("double").alias("clean"))
-    )
-    counts = materialise(counts, "toxicity-counts")
-    tables, shares = {}, {}
-    for n in (0, *BEGINNINGS):
-        own = counts.where(F.col("n") == n)
-        sums = own.agg(F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("clean"), F.lit(0.0)).alias("clean")).first()
-        # Only tokens with more toxic than clean documents than their classes' sizes can be significant; the best TOKENS of them are looked at.
-        ratio = F.col("toxic") * (sums.clean + 1) - F.col("clean") * (sums.toxic + 1)
-        best = own.where(ratio > 0).orderBy(ratio.desc(), "token").limit(TOKENS).toPandas()
-        if best.empty:
-            continue
-        rest = [max(sums[k] - best[k].sum(), 0.0) for k in ("toxic", "clean")]
-        odds, z = log_odds(np.append(best["toxic"].to_numpy(), rest[0] + 1), np.append(best["clean"].to_numpy(), rest[1] + 1))
-        good = (z[:-1] >= LEAST_Z) & (odds[:-1] > 1)
-        tables[n] = dict(zip(best["token"][good], odds[:-1][good]))
-        shares[n] = (odds[:-1][good], best["clean"].to_numpy()[good] / max(sums.clean, 1.0))
-    model = Model(tables.get(0, {}), {t: s for n in BEGINNINGS for t, s in tables.get(n, {}).items()})
-    if 0 in shares:
-        model.decay = decay(*shares[0])
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return texts.map(held.value.evidence)
-
-    known = rows.select("label", evidence("text").alias("x")).toPandas()  # at most SAMPLE pairs of numbers
-    model.slope, model.offset = logistic(known["x"].to_numpy(), known["label"].to_numpy(dtype=float))
-    return model
+    counts = materialise(counted(rows), "toxicity-counts")
+    sums = counts.agg(*(F.coalesce(F.sum(F.col(c)[k]), F.lit(0.0)).alias(f"{c}{k}") for c in ("toxic", "clean") for k in range(FOLDS))).first()
+    totals = {c: without_fold(np.array([sums[f"{c}{k}"] for k in range(FOLDS)])) for c in ("toxic", "clean")}
+
+    @F.pandas_udf("boolean")
+    def significant(toxic: pd.Series, clean: pd.Series) -> pd.Series:
+        a, b = (without_fold(np.array(x.tolist()).reshape(-1, FOLDS)) for x in (toxic, clean))
+        found = [np.abs(log_odds(a, b, totals["toxic"], totals["clean"], prior)[1]).max(axis=1) >= least for prior, least in CHOICES]
+        return pd.Series(np.any(found, axis=0))
+
+    kept = counts.where(significant("toxic", "clean")).toPandas().sort_values("word")
+    numbers = {w: i for i, w in enumerate(kept["word"])}
+    own = {c: without_fold(np.array(kept[c].tolist()).reshape(-1, FOLDS)) for c in ("toxic", "clean")}
+    tables, rates = {}, {}
+    for prior, least in CHOICES:
+        for k in range(FOLDS + 1):
+            odds, z = log_odds(own["toxic"][:, k], own["clean"][:, k], totals["toxic"][k], totals["clean"][k], prior)
+            odds = np.where(np.abs(z) >= least, odds, -DRIFT)
+            clean = own["clean"][:, k] / max(totals["clean"][k], 1.0)
+            tables[prior, least, k], rates[prior, least, k] = odds.astype(np.float32), decay(odds, clean)
+    held = docs.sparkSession.sparkContext.broadcast((numbers, tables, rates))
+
+    @F.pandas_udf("array<double>")
+    def unseen(texts: pd.Series, folds: pd.Series) -> pd.Series:
+        numbers, tables, rates = held.value
+        out = []
+        for text, k in zip(texts, folds):
+            n, at, own = places(text, numbers)
+            out.append([evidence(n, segments(at.tolist(), tables[*c, k][own].tolist(), DRIFT), rates[*c, k]) for c in CHOICES])
+        return pd.Series(out)
+
+    known = rows.select("label", unseen("text", "fold").alias("x")).toPandas()  # at most about SAMPLE rows of a few numbers
+    x, y = np.array(known["x"].tolist()), known["label"].to_numpy(dtype=float)
+    fits = [logistic(x[:, i], y) for i in range(len(CHOICES))]
+    best = min(range(len(CHOICES)), key=lambda i: (round(fits[i][2], 9), i))
+    odds = tables[*CHOICES[best], FOLDS]
+    used = np.flatnonzero(odds != np.float32(-DRIFT))
+    names = kept["word"].tolist()
+    return Model({names[j]: i for i, j in enumerate(used)}, odds[used], rates[*CHOICES[best], FOLDS], *fits[best][:2], CHOICES[best])
 
 
 def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFrame:
-    """``docs`` with the probability of each row's whole text in column ``name``.
+    """``docs`` with the probability of each row's whole text in column ``name``, in place of an own one of that name.
 
     Null and empty texts have no segment and the score that this gives; repeated
-    rows have equal scores; extra columns pass through.
+    rows have equal scores; all other columns pass through.
     """
     if isinstance(model, float):
         return docs.withColumn(name, F.lit(model))
@@ -219,25 +255,47 @@ def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFr
     return docs.withColumn(name, score("text"))
 
 
-def passages(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``passages``: score, first token and one past the last of each segment."""
+PASSAGE = "struct<expected:double,first:long,end:long>"
+
+
+def judged(docs: DataFrame, model: Model | float) -> DataFrame:
+    """(doc_id, score, passages) of each row; a passage has the number of as good ones expected among as many clean words, its first word and one past its last.
+
+    Null and empty texts have no passage; repeated rows and null ids give one
+    row each; other columns are dropped. A constant model finds no passage.
+    """
+    if isinstance(model, float):
+        return docs.select("doc_id", F.lit(model).alias("score"), F.array().cast(f"array<{PASSAGE}>").alias("passages"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<struct<score:double,first:long,end:long>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"score": s, "first": a, "end": b} for s, a, b in held.value.passages(t)[1]])
+    @F.pandas_udf(f"score double, passages array<{PASSAGE}>")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            scores, found = [], []
+            for text in texts:
+                scores.append(held.value.score(text))
+                found.append([{"expected": e, "first": a, "end": b} for e, a, b in held.value.passages(text)])
+            yield pd.DataFrame({"score": scores, "passages": found})
 
-    return docs.withColumn("passages", found("text"))
+    return docs.select("doc_id", judge("text").alias("j")).select("doc_id", "j.*")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is below ``threshold``, columns unchanged."""
-    return scored(docs, fit(docs, labels), "_score").where(F.col("_score") < threshold).drop("_score")
+    """The rows whose score is below ``threshold``, columns unchanged.
+
+    Null and empty texts have the score of a text without segments; repeated
+    rows go or stay together. If all labels are alike, all rows are as the labels
+    say; without labels, all stay.
+    """
+    model, name = fit(docs, labels), fresh(docs, "score")
+    if model == 0.5:
+        return docs  # no labels
+    return scored(docs, model, name).where(F.col(name) < threshold).drop(name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     held = remainder(F.col("doc_id"), 5) == 0
-    return scored(docs.select("doc_id", "text"), fit(docs, labels, held_out=held)).select(
-        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return judged(docs.select("doc_id", "text"), fit(docs, labels, held_out=held)).select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"), "passages"
     )
