@@ -44,8 +44,8 @@ SHARD_IDS = 2_000_000
 #: Pairs replaced in one round, and the fewest occurrences worth a rule.
 PAIRS, LEAST = 2_000, 32
 TOP, CELLS = 1 << 16, 1 << 20
-#: Symbols packed together.
-BLOCK = 1 << 15
+#: Symbols packed together, and documents read together.
+BLOCK, RANGE = 1 << 15, 512
 MAGIC = b"RPR2"
 
 
@@ -297,15 +297,15 @@ def read_documents(shards: DataFrame, digest: bool = False) -> DataFrame:
             for file, offset, length, start in zip(batch["file"], batch["offset"], batch["length"], batch["start"]):
                 fs, path = open_fs(file)
                 with fs.open_input_file(path) as f:
-                    data = f.read_at(length, offset)
-                shard, rows = Shard(lambda at, n: data[at : at + n], length), []
+                    whole = f.read_at(length, offset)
+                shard, rows = Shard(lambda at, n, whole=whole: whole[at : at + n], length), []
                 # Ranges of documents, so that a shard is expanded in bounded steps.
-                for k in range(0, len(shard.doc_ids), 512):
-                    ends = shard.ends[max(k - 1, 0) : k + 512]
+                for k in range(0, len(shard.doc_ids), RANGE):
+                    ends = shard.ends[max(k - 1, 0) : k + RANGE]
                     first = 0 if k == 0 else int(ends[0])
                     bounds = [first, *map(int, ends if k == 0 else ends[1:])]
                     ids = shard.ids(first, bounds[-1]).astype("<u4")
-                    for doc_id, a, b in zip(shard.doc_ids[k : k + 512], bounds, bounds[1:]):
+                    for doc_id, a, b in zip(shard.doc_ids[k : k + RANGE], bounds, bounds[1:]):
                         data = ids[a - first : b - first].tobytes()
                         rows.append((doc_id, start + a, b - a, zlib.crc32(data) if digest else data))
                     yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})

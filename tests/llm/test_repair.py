@@ -23,7 +23,9 @@ def expected(library, docs):
     return out
 
 
-def test_query(spark, sf_dir, library):
+def test_query(spark, sf_dir, library, monkeypatch):
+    monkeypatch.setattr(repair, "RANGE", 7)
+    monkeypatch.setattr(repair, "BLOCK", 1_000)
     docs = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").collect()]
     assert sorted(tuple(r) for r in repair.op4_repair(spark, sf_dir).collect()) == expected(library, docs)
 
