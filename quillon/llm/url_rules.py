@@ -6,16 +6,18 @@ enough support and confidence become rules, less those that contain a smaller
 rule. They match through an inverted index: each rule is filed under one of its
 tokens, and a URL only looks at rules filed under tokens it has.
 
-Mining is Spark's parallel FP-growth over all labelled pages. Its rules are
-bounded by ``SUPPORT`` (at most 1 / SUPPORT times a URL's tokens are frequent)
-and by ``LARGEST`` tokens in a rule, so they are broadcast. Judging is narrow.
+Mining is Spark's parallel FP-growth over all labelled pages, and rules may have
+any number of tokens. A page with k frequent tokens supports 2^k combinations,
+and a frequent one takes the share ``SUPPORT`` of the pages, so there are at most
+avg(2^k) / SUPPORT of them. This bound is computed before mining; above ``MOST``
+the operator stops and asks for a higher support instead of leaving rules out.
+The rules are thus bounded, and broadcast. Judging is narrow.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import ascii_lower, materialise, table
 
-SUPPORT, CONFIDENCE, LARGEST = 0.02, 0.9, 3
+SUPPORT, CONFIDENCE = 0.02, 0.9
+#: Token combinations that may be frequent, by the bound above.
+MOST = 2_000_000
 BLOCK = "=block"
 #: (verdict, host, path) of the listed rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -84,16 +88,34 @@ def listed(rows: DataFrame, rules) -> DataFrame:
     return rows.withColumn("_m", match("host", "path")).select(*rows.columns, F.col("_m.rule").alias("rule"), F.col("_m.verdict").alias("listed"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, largest: int = LARGEST) -> list[tuple[str, ...]]:
-    """Token combinations that imply BLOCK, none of which contains another."""
-    baskets = labelled.select(F.when(F.col("listed") == "block", F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[str, ...]]:
+    """Token combinations that imply BLOCK, none of which contains another.
+
+    Raises ValueError where more than ``MOST`` combinations may be frequent.
+    """
+    n = labelled.count()
+    often = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= support * n).select("t").collect()  # at most a page's tokens / support
+    items = F.array_intersect("tokens", F.array(*(F.lit(r.t) for r in often))) if often else F.array().cast("array<string>")
+    baskets = labelled.select("listed", items.alias("items"))
+    bound = baskets.agg(F.avg(F.pow(F.lit(2.0), F.size("items").cast("double")))).first()[0] / support
+    if bound > MOST:
+        raise ValueError(f"up to {bound:.3g} token combinations may be frequent, more than {MOST}; use a higher support than {support}")
+    baskets = baskets.select(F.when(F.col("listed") == "block", F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.size("antecedent") <= largest)).select(F.array_sort("antecedent").alias("a")).collect()
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("a")).collect()  # at most MOST
     return smallest({tuple(r.a) for r in rules})
 
 
 def smallest(rules: set[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    return sorted(r for r in rules if not any(x in rules for n in range(1, len(r)) for x in combinations(r, n)))
+    """The rules that contain no other one, found by looking at shorter ones first, filed under their first token."""
+    kept: list[tuple[str, ...]] = []
+    filed: defaultdict[str, list[frozenset]] = defaultdict(list)
+    for r in sorted(rules, key=lambda r: (len(r), r)):
+        own = frozenset(r)
+        if not any(x <= own for t in r for x in filed[t]):
+            kept.append(r)
+            filed[min(r)].append(own)
+    return sorted(kept)
 
 
 class TokenIndex:
@@ -141,7 +163,7 @@ _LISTED = "\n".join(
     for k, (verdict, host, path) in enumerate(RULES)
 )
 ORACLE = f"""
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
 ), split AS (
   SELECT row_number() OVER () AS k, page_id, url, rest,
@@ -165,14 +187,12 @@ WITH cut AS (
 least AS (SELECT ceil({SUPPORT} * count(*)) AS n FROM labelled),
 often AS (SELECT t FROM token GROUP BY t HAVING count(*) >= (SELECT n FROM least)),
 few AS (SELECT token.* FROM token JOIN often USING (t)),
-rules AS (
-  SELECT t AS a, t AS b, t AS c FROM few GROUP BY t HAVING count_if(hit) >= (SELECT n FROM least) AND count_if(hit) / count(*) >= {CONFIDENCE}
+subsets AS (
+  SELECT k, hit, [t] AS items, t AS last FROM few
   UNION ALL
-  SELECT x.t, y.t, y.t FROM few x JOIN few y ON x.k = y.k AND x.t < y.t GROUP BY x.t, y.t HAVING count_if(x.hit) >= (SELECT n FROM least) AND count_if(x.hit) / count(*) >= {CONFIDENCE}
-  UNION ALL
-  SELECT x.t, y.t, z.t FROM few x JOIN few y ON x.k = y.k AND x.t < y.t JOIN few z ON x.k = z.k AND y.t < z.t GROUP BY x.t, y.t, z.t HAVING count_if(x.hit) >= (SELECT n FROM least) AND count_if(x.hit) / count(*) >= {CONFIDENCE}
-), blocked AS (
-  SELECT DISTINCT j.k FROM judged j JOIN rules r ON list_contains(j.tokens, r.a) AND list_contains(j.tokens, r.b) AND list_contains(j.tokens, r.c)
-)
+  SELECT s.k, s.hit, list_append(s.items, f.t), f.t FROM subsets s JOIN few f ON s.k = f.k AND f.t > s.last
+), rules AS (
+  SELECT items FROM subsets GROUP BY items HAVING count_if(hit) >= (SELECT n FROM least) AND count_if(hit) / count(*) >= {CONFIDENCE}
+), blocked AS (SELECT DISTINCT j.k FROM judged j JOIN rules r ON list_has_all(j.tokens, r.items))
 SELECT page_id, host, path, rule, coalesce(listed, CASE WHEN k IN (SELECT k FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """

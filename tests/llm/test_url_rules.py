@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import duckdb
+import pytest
 
 from quillon.llm import url_rules
 from quillon.llm.common import table
@@ -18,7 +19,7 @@ def test_query_against_sql(spark, sf_dir):
 def test_mining_against_all_combinations(spark, sf_dir):
     rows = url_rules.listed(url_rules.parsed(table(spark, sf_dir, "pages")), url_rules.RULES).where("listed is not null").collect()
     least, rules = -(-len(rows) * 5 // 100), set()
-    for n in (1, 2, 3):
+    for n in range(1, max(len(r.tokens) for r in rows) + 1):
         for combo in {c for r in rows for c in combinations(sorted(r.tokens), n)}:
             have = [r.listed for r in rows if set(combo) <= set(r.tokens)]
             if have.count("block") >= least and have.count("block") / len(have) >= 0.8:
@@ -27,6 +28,27 @@ def test_mining_against_all_combinations(spark, sf_dir):
     assert url_rules.mine(frame, 0.05, 0.8) == url_rules.smallest(rules)
 
 
+def test_rules_of_any_length(spark):
+    """Only four tokens together tell a blocked page, and such a rule is mined."""
+    parts = ["a", "b", "c", "d"]
+    rows = [(sorted(f"path:{x}" for x in own), "block" if len(own) == 4 else "allow") for n in range(5) for own in combinations(parts, n) for _ in range(6)]
+    frame = spark.createDataFrame(rows, "tokens array<string>, listed string")
+    assert url_rules.mine(frame, 0.02, 0.9) == [tuple(f"path:{x}" for x in parts)]
+
+
+def test_the_bound_is_held_before_mining(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "MOST", 100)
+    frame = spark.createDataFrame([([f"path:{i}" for i in range(12)], "block")] * 20, "tokens array<string>, listed string")
+    with pytest.raises(ValueError, match="higher support"):
+        url_rules.mine(frame, 0.5, 0.9)
+
+
+def test_a_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/fr/" + "x/" * 100_000), (2, "http://" + "h" * 100_000)], "page_id long, url string")
+    rows = {r.page_id: r for r in url_rules.judged(pages).collect()}
+    assert rows[1].rule == "org/fr/" and len(rows[1].path) == 200_004 and len(rows[2].host) == 100_000
+
+
 URLS = {
     "http://EXAMPLE.net/en/x": ("example.net", "/en/x", "example.net/en/", "allow"),
     "http://a.example.net/e?en/": ("a.example.net", "/e", "net/", "block"),
