@@ -9,8 +9,9 @@ proposes windows, and the numbers themselves verify each proposal.
 
 The set is broadcast only while the benchmark has at most ``MAX_WORDS`` words,
 which is counted first. A larger benchmark is cut into slices below that bound,
-each slice is broadcast in turn, and what each document's row has been hit by is
-carried from slice to slice in columns of that row.
+and each slice is broadcast in turn. Text is read for each slice, but only row
+numbers, hit words and items of the rows that it hits are written, and they are
+brought together by row number at the end.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, table
+from quillon.llm.common import fresh, materialise, table
 
 WIDTH = 10
 #: Words of benchmark text in one broadcast; about 1 KB of executor memory for each ten words.
@@ -92,45 +93,73 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-FOUND = "n_words long, runs array<array<int>>, items array<long>"
+FOUND = "n_words long, runs array<array<int>>, items array<string>"
 
 
 def _scan(windows) -> callable:
     @F.pandas_udf(FOUND)
-    def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, before, owners in batches:
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
             out = []
-            for text, old_runs, old_items in zip(texts, before, owners):
+            for text in texts:
                 w = words(text)
                 hit, items = windows.value.scan(w)
-                for a, b in [] if old_runs is None else old_runs:
-                    hit[a:b] = True
-                out.append((len(w), runs(hit), sorted(items | set([] if old_items is None else old_items))))
+                out.append((len(w), runs(hit), sorted(items - {None})))
             yield pd.DataFrame(out, columns=["n_words", "runs", "items"])
 
     return scan
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` with a column ``_found``: number of words, runs of hit words, and ids of the items found.
+def _merged() -> callable:
+    @F.pandas_udf("array<array<int>>")
+    def merge(lists: pd.Series) -> pd.Series:
+        out = []
+        for found in lists:
+            spans = []
+            for a, b in sorted((int(a), int(b)) for part in found for a, b in part):
+                if spans and a <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+                else:
+                    spans.append((a, b))
+            out.append([list(x) for x in spans])
+        return pd.Series(out, dtype=object)
+
+    return merge
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, name: str, width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
+    """``docs`` with a struct ``name``: number of words, runs of hit words, and ids (as text) of the items found.
 
     Null or empty texts, of documents or items, have no words and hit nothing.
-    Items with a null id take part in hits, under the id -1. Repeated rows are
-    each scanned; extra columns pass through.
+    Items with a null id hit words but have no name in the list; items that share
+    an id are one. Repeated rows are each scanned; other columns pass through, so
+    ``name`` should be new (``fresh`` gives such a name).
     """
     spark = docs.sparkSession
     # Each run of at least one item character is at most one word, so text length bounds the words.
-    sized = benchmark.where("text is not null").select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "text", (F.length("text") / 2 + 1).alias("n"))
+    sized = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text", (F.length("text") / 2 + 1).alias("n"))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slices = int(total // max_words) + 1
-    found = docs.withColumn("_found", F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in FOUND.split(', '))}>"))
-    for k in range(slices):
+
+    def windows(k: int):
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else sized
-        windows = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in part.select("item_id", "text").toLocalIterator()], width))
-        found = found.withColumn("_found", _scan(windows)(F.col("text"), F.col("_found.runs"), F.col("_found.items")))
-        if slices > 1:
-            found = materialise(found, "decontam")
-    return found
+        return spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in part.select("item_id", "text").toLocalIterator()], width))
+
+    if slices == 1:
+        return docs.withColumn(name, _scan(windows(0))(F.col("text")))
+    row = fresh(docs, "row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    parts = []
+    for k in range(slices):
+        found = rows.select(F.col(row), _scan(windows(k))(F.col("text")).alias("f")).select(row, "f.*")
+        parts.append(materialise(found if k == 0 else found.where(F.size("runs") > 0), "decontam-hits"))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.union(part)
+    # One row of the first slice and at most one of each other one.
+    hits = hits.groupBy(row).agg(F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = hits.select(row, F.struct("n_words", _merged()("runs").alias("runs"), "items").alias(name))
+    return rows.join(merged, row).drop(row)
 
 
 def hit_words(runs: Column) -> Column:
@@ -138,12 +167,21 @@ def hit_words(runs: Column) -> Column:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no window hits, unchanged."""
-    return scan(docs, benchmark).where(F.size("_found.runs") == 0).drop("_found")
+    """The rows that no window hits, columns unchanged.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together; an
+    empty benchmark removes nothing.
+    """
+    name = fresh(docs, "found")
+    return scan(docs, benchmark, name).where(F.size(f"{name}.runs") == 0).drop(name)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All documents, with the hit passages cut out of ``text``."""
+    """All rows, with the hit passages cut out of ``text``; other columns unchanged.
+
+    Null, empty and wordless texts stay as they are; what is between passages
+    stays, white space included.
+    """
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -159,13 +197,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype="object")
 
-    return scan(docs, benchmark).withColumn("text", cut("text", "_found.runs")).drop("_found")
+    name = fresh(docs, "found")
+    return scan(docs, benchmark, name).withColumn("text", cut("text", f"{name}.runs")).drop(name)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    # Text has no business behind the scan: the digest of the items is made from the ids alone.
-    names = F.sort_array(F.transform("_found.items", lambda i: i.cast("string")))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "_found")
+    names = F.array_sort("_found.items")
     return found.select(
         "doc_id",
         F.col("_found.n_words").alias("n_words"),
@@ -177,20 +215,21 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brute_force(docs, items, width: int = WIDTH) -> list[tuple]:
-    """The same from plain loops, for tests."""
-    windows = []
+    """The same from plain dictionaries, for tests."""
+    windows: dict[tuple, set] = defaultdict(set)
     for item_id, text in items:
         w = words(text)
         n = min(width, len(w))
-        windows += [(item_id, w[i : i + n]) for i in range(len(w) - n + 1) if n]
-    out = []
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[i : i + n])].add(item_id)
+    out, sizes = [], {len(w) for w in windows}
     for doc_id, text in docs:
         w, hit, found = words(text), set(), set()
-        for item_id, x in windows:
-            for i in range(len(w) - len(x) + 1):
-                if w[i : i + len(x)] == x:
-                    hit.update(range(i, i + len(x)))
-                    found.add(item_id)
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if owner := windows.get(tuple(w[i : i + n])):
+                    hit.update(range(i, i + n))
+                    found |= owner
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit)))
     return out
