@@ -2,8 +2,8 @@
 
 A bounded sample gives reference points ("pivots"), thinned so that no two are
 alike and a dense group has few of its own. Each vector is described by its
-``PREFIX`` nearest pivots in order and filed in the inverted list of each of
-them. Vectors of one list that share at least ``SHARED`` pivots are candidates,
+nearest pivots in order, ``PREFIX`` of them and more the more pivots there are,
+and filed in the inverted list of each of them. Vectors of one list that share at least ``SHARED`` pivots are candidates,
 which are verified by their cosine in double precision. A pair is counted in
 the list of the smallest pivot it shares only.
 
@@ -13,8 +13,8 @@ of its own, so no list is gathered in one task and none is capped. A group
 returns sums of links and a spanning forest of its links, both at most as many
 rows as it has members.
 
-The number of pivots grows with the square root of the number of vectors, so
-that lists do too.
+The number of pivots grows with the square root of the number of vectors, up to
+``MOST``, so that lists do too.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ from quillon.llm.components import connected_components
 COSINE = 0.9
 PREFIX, SHARED = 8, 2
 #: Pivots per square root of the number of vectors, and at most; the sample is three times as many vectors.
-PIVOTS, MOST = 4, 4_096
+PIVOTS, MOST = 4, 16_384
+#: Pivots that ``PREFIX`` is for; each doubling takes ``MORE`` further ones.
+FEW, MORE = 256, 2
 #: Pivots are taken below the first of these cosines; the next ones only where that leaves too few.
 ALIKE = (0.5, 0.7, 0.85)
 BLOCK = 1_024
@@ -72,16 +74,22 @@ def unit(data, kind: str) -> np.ndarray:
 
 def thinned(sample: np.ndarray, wanted: int) -> np.ndarray:
     """At most ``wanted`` rows of the sample, in its order, no two more alike than allowed."""
-    chosen: list[int] = []
+    chosen, n, taken = np.zeros((wanted, sample.shape[1])), 0, np.zeros(len(sample), bool)
     for limit in ALIKE:
         for i in range(len(sample)):
-            if len(chosen) == wanted:
+            if n == wanted:
                 break
-            if i not in chosen and (not chosen or (sample[chosen] @ sample[i]).max() < limit):
-                chosen.append(i)
-        if 4 * len(chosen) >= wanted:
+            if not taken[i] and (not n or (chosen[:n] @ sample[i]).max() < limit):
+                chosen[n], taken[i] = sample[i], True
+                n += 1
+        if 4 * n >= wanted:
             break
-    return sample[chosen]
+    return chosen[:n]
+
+
+def prefix(pivots: int) -> int:
+    """Nearest pivots that describe a vector: among more pivots, near vectors agree on fewer of the nearest few."""
+    return PREFIX + max(0, round(MORE * np.log2(max(pivots, 1) / FEW)))
 
 
 def pivots_of(reps: DataFrame, n: int, kind: str, most: int) -> np.ndarray:
@@ -94,13 +102,13 @@ def pivots_of(reps: DataFrame, n: int, kind: str, most: int) -> np.ndarray:
 
 def filed(reps: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
     """``reps`` with ``prefix``: numbers of the nearest pivots, nearest first."""
-    held = reps.sparkSession.sparkContext.broadcast(pivots)
+    held, n = reps.sparkSession.sparkContext.broadcast(pivots), prefix(len(pivots))
 
     @F.pandas_udf("array<int>")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
             if len(part):
-                yield pd.Series(list(np.argsort(-(unit(list(part), kind) @ held.value.T), axis=1, kind="stable")[:, :PREFIX].astype(np.int32)))
+                yield pd.Series(list(np.argsort(-(unit(list(part), kind) @ held.value.T), axis=1, kind="stable")[:, :n].astype(np.int32)))
             else:
                 yield pd.Series([], dtype=object)
 
@@ -153,9 +161,9 @@ def compare(rows: pd.DataFrame, kind: str, cosine: float, shared: int) -> pd.Dat
 
 def linked(reps: DataFrame, n: int, kind: str, cosine: float, most: int = MOST) -> DataFrame:
     """(a, b) of a forest of links and (digest, links) of partial sums, for representatives of one size."""
-    rows = filed(reps, pivots_of(reps, n, kind, most), kind).select("*", F.explode("prefix").alias("pivot"))
-    lists = filed(reps.select("digest", "vector"), pivots_of(reps, n, kind, most), kind).select(F.explode("prefix").alias("pivot"))
-    blocks = lists.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    known = materialise(filed(reps, pivots_of(reps, n, kind, most), kind), "filed")
+    rows = known.select("*", F.explode("prefix").alias("pivot"))
+    blocks = rows.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     rows = rows.join(F.broadcast(blocks), "pivot").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))  # a row for each pivot
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     rows = rows.select("pivot", "block", "rep", "members", "digest", "vector", "prefix", F.explode(pairs).alias("g")).select("*", "g.i", "g.j").drop("g")

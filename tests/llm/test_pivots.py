@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quillon.llm import pivots
 from quillon.llm.common import table
@@ -54,3 +55,31 @@ def test_odd_rows(spark):
     again = spark.createDataFrame([(1, [1.0, 2.0])] * 3, "vec_id long, embedding array<float>")
     assert [tuple(r) for r in pivots.near_duplicates(again).collect()] == [(1, 2, 1, True)] * 3
     assert pivots.near_duplicates(again.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("most", [180, 700])
+def test_recall_of_planted_pairs(spark, monkeypatch, most):
+    """Pairs just above the threshold among others, against all pairs; the threshold of the contract is 0.9."""
+    rnd = np.random.default_rng(12)
+    base = rnd.normal(size=(2_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rnd.normal(size=base.shape)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rnd.uniform(0.901, 0.92, (len(base), 1))
+    vectors = np.concatenate([base, base * cosine + other * np.sqrt(1 - cosine**2)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pivots, "PIVOTS", most / len(vectors) ** 0.5)
+    got = {r.vec_id: r.component_id for r in pivots.near_duplicates(df).collect()}
+    recall = np.mean([got[i + len(base)] == got[i] for i in range(len(base))])
+    assert recall > 0.98
+
+
+def test_thinned_and_prefix():
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(400, 16))
+    x = np.concatenate([x, x[:50]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = pivots.thinned(x, 60)
+    assert len(own) <= 60 and (np.triu(own @ own.T, 1) < pivots.ALIKE[-1]).all()
+    assert [pivots.prefix(n) for n in (16, 256, 512, 4_096, 16_384)] == [8, 8, 10, 16, 20]
