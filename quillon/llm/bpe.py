@@ -181,12 +181,12 @@ def codec(path: str) -> BytePairCodec:
 def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:
     """Per document ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded``.
 
-    Columns in ``keep`` (default: ``doc_id``) are carried along; all others are
-    dropped, whatever their names. A null text counts as empty: no ids and an
+    Columns in ``keep`` (default: ``doc_id``) are carried along, but for own ones
+    called ``ids`` or ``decoded``; all others are dropped. A null text counts as empty: no ids and an
     empty decoded text. Repeated rows and null ids give one row each; an empty
     table gives an empty one.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = ["doc_id"] if keep is None else [c for c in keep if c.lower() not in ("ids", "decoded")]
     both = _coded(vocabulary)(F.col("text"))
     return docs.select(*keep, both.alias("_c")).select(*keep, "_c.ids", "_c.decoded")
 
@@ -203,7 +203,12 @@ def _coded(vocabulary: str):
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Number of ids and SHA-256 of ids and decoded text, without sending either back to the JVM."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, without sending ids or text back to the JVM.
+
+    A null text counts as empty: no ids and an empty decoded text. Repeated rows
+    and null ids give one row each; other columns are dropped, whatever their
+    names; an empty table gives an empty one.
+    """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

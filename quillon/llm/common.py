@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder (as a URI) that the driver and all executors see.
 
-    It lies under ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    It lies under ``spark.checkpoint.dir``; only where that is unset and Spark
+    runs in one process, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def _own_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         found = spark.sparkContext.getCheckpointDir()
     return found

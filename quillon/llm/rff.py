@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import labelled_sample, materialise, remainder, table
+from quillon.llm.common import fresh, labelled_sample, materialise, remainder, table
 
 FEATURES = 256
 #: Labelled rows for the fit, about.
@@ -176,10 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", held_out=No
 
 
 def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFrame:
-    """``docs`` with the score of each row's whole text in column ``name``.
+    """``docs`` with the score of each row's whole text in column ``name``, in place of an own one of that name.
 
     Null and empty texts have the score of the zero vector; repeated rows have
-    equal scores; extra columns pass through.
+    equal scores; all other columns pass through.
     """
     if isinstance(model, float):
         return docs.withColumn(name, F.lit(model))
@@ -194,8 +194,14 @@ def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is at least ``threshold``, columns unchanged."""
-    return scored(docs, fit(docs, labels), "_score").where(F.col("_score") >= threshold).drop("_score")
+    """The rows whose score is at least ``threshold``, columns unchanged.
+
+    Null and empty texts have the score of the zero vector; repeated rows go or
+    stay together. If all labels are alike, all rows are as the labels say;
+    without labels, all stay.
+    """
+    name = fresh(docs, "score")
+    return scored(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,7 +150,11 @@ def whole(value):
 
 
 def write_index(captures: DataFrame) -> DataFrame:
-    """Sort captures into index files; return the top level: one row (first, file, at, size) for each file."""
+    """Sort captures into index files; return the top level: one row (first, file, at, size) for each file.
+
+    The input is a table of ``write_archives``, without nulls; captures that
+    share a key all get a line. No captures give no files.
+    """
     spark = captures.sparkSession
     folder = shared_dir(spark, "index")
     ordered = captures.repartitionByRange(parts(spark), "capture").sortWithinPartitions("capture", "file", "offset")

@@ -145,6 +145,59 @@ def maximal(scores, a, b):
     return [best[2:], *maximal(scores, a, best[2]), *maximal(scores, best[3], b)]
 
 
+def test_quality_against_brute_force(spark, sf_dir):
+    """One solution of all rows in one process, with pooling by its definition as minima of maxima of averages."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = rff.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").selectExpr("doc_id", "text", "quality", f"cast(pmod(xxhash64(doc_id), {rff.FOLDS}) as int) AS fold").collect()
+    x, y, fold = np.array([rff.statistics(r.text) for r in rows]), np.array([float(r.quality) for r in rows]), np.array([r.fold for r in rows])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    rnd = np.random.default_rng(rff.SEED)
+    waves, phases = rnd.normal(size=(x.shape[1], rff.FEATURES)) / math.sqrt(x.shape[1]), rnd.uniform(0, 2 * math.pi, rff.FEATURES)
+
+    def cosines(x):
+        z = np.clip((x - mean) / scale, -6, 6)
+        return np.array([[*(math.sqrt(2 / rff.FEATURES) * math.cos(z[i] @ waves[:, j] + phases[j]) for j in range(rff.FEATURES)), 1.0] for i in range(len(z))])
+
+    f = cosines(x)
+
+    def ridge(own):
+        return np.linalg.solve(f[own].T @ f[own] + rff.RIDGE * len(y) / rff.FEATURES * np.eye(rff.FEATURES + 1), f[own].T @ y[own])
+
+    unseen = np.clip([f[i] @ ridge(fold != fold[i]) for i in range(len(y))], -0.5, 1.5)
+    bins = np.floor((unseen + 0.5) * (rff.BINS / 2)).astype(int)
+    found = [(unseen[bins == b].mean(), y[bins == b].mean(), (bins == b).sum()) for b in np.unique(bins)]
+    c, v, w = map(np.array, zip(*found))
+    mean_of = lambda i, j: (v[i : j + 1] * w[i : j + 1]).sum() / w[i : j + 1].sum()
+    level = np.array([max(min(mean_of(i, j) for j in range(k, len(v))) for i in range(k + 1)) for k in range(len(v))])
+    edges, levels = [], []
+    for value in np.unique(level.round(12)):
+        own = np.abs(level - value) < 1e-9
+        edges.append((c[own] * w[own]).sum() / w[own].sum())
+        levels.append(level[own][0])
+    whole = ridge(np.ones(len(y), bool))
+    others = docs.orderBy("doc_id").limit(80).collect()
+    want = np.interp(cosines(np.array([rff.statistics(r.text) for r in others])) @ whole, edges, levels)
+    got = {r.doc_id: r.own for r in rff.scored(docs, model, "own").collect()}
+    assert np.abs(np.array([got[r.doc_id] for r in others]) - want).max() < 1e-5
+
+
+@pytest.mark.parametrize("op, keep, column", [(rff, rff.keep_good, "quality"), (toxicity, toxicity.keep_clean, "toxic")])
+def test_repeated_labels_and_own_columns(spark, sf_dir, op, keep, column):
+    """Labels of one document that disagree count as their majority, and as 1 in a tie; own columns pass through."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    again = labels.unionByName(labels).unionByName(labels.withColumn(column, 1 - labels[column]))
+    a, b = op.fit(docs, labels), op.fit(docs, again)
+    few = docs.limit(20).collect()
+    one, two = ({r.doc_id: r.own for r in op.scored(spark.createDataFrame(few, docs.schema), m, "own").collect()} for m in (a, b))
+    assert one == pytest.approx(two, abs=1e-6)
+    tied = labels.unionByName(labels.withColumn(column, 1 - labels[column]))
+    assert op.fit(docs, tied) == 1.0
+    own = docs.selectExpr("*", "1.5D AS score", "'x' AS _score")
+    kept = keep(own, labels)
+    assert kept.columns == own.columns and {(r.score, r._score) for r in kept.collect()} == {(1.5, "x")}
+
+
 def test_isotonic():
     x, y = rff.isotonic(np.arange(5.0), np.array([0, 1, 0, 1, 1.0]), np.ones(5))
     assert list(y) == sorted(y) and list(y) == [0, 0.5, 1.0]
