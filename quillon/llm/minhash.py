@@ -7,11 +7,13 @@
    bucket.
 3. Rounds of comparisons. The first two rounds compare each member with one
    centre of its bucket, which joins large groups of copies with as many
-   comparisons as they have members. The last round takes the buckets in which
-   several components are left, cuts each into blocks, and compares what is
-   still in different components, a pair in its first common band only. A pair
-   of blocks is compared in place and returns only the links that join
-   components, so fewer rows than it has members.
+   comparisons as they have members. The last round compares what still shares a
+   bucket in different components. Nodes that chains of buckets hold together
+   are compared as one cluster where that is fewer pairs than in its buckets one
+   by one (a dense group shares many buckets), else by bucket, a pair in its
+   first common band only. Clusters and buckets are cut into blocks; a pair of
+   blocks is compared in place and returns only the links that join components,
+   so fewer rows than it has members.
 4. A comparison reads signatures in batches. After each batch the posterior
    probability that the similarity reaches the threshold, given the matches so
    far, is bounded below by ``MISS``, or the pair is pruned. Survivors are
@@ -189,23 +191,40 @@ def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
     return shared > 0 and 100 * shared >= percent * (small + large - shared)
 
 
-def bucket_links(members: DataFrame, reps: DataFrame, texts: DataFrame, salts: Salts, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join components among all nodes of a bucket, each pair of blocks in a group of its own."""
+def units(members: DataFrame, salts: Salts) -> DataFrame:
+    """(unit, whole, node, component): clusters of nodes, or their buckets where these have fewer pairs."""
+    centre = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    held = salts.join(members, centre).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    clusters = connected_components(held).withColumnRenamed("component", "cluster")
+    own = materialise(members.join(clusters, "node"), "clusters")
+    buckets = own.groupBy("bucket").agg(F.first("cluster").alias("cluster"), F.count("*").alias("n")).groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    whole = clusters.groupBy("cluster").agg(F.count("*").cast("double").alias("m")).join(buckets, "cluster").where("m * m <= apart").select("cluster")
+    together = own.select("cluster", "node", "component").distinct().join(whole, "cluster", "left_semi").select(F.col("cluster").alias("unit"), F.lit(True).alias("whole"), "node", "component")
+    return together.unionByName(own.join(whole, "cluster", "left_anti").select(F.col("bucket").alias("unit"), F.lit(False).alias("whole"), "node", "component"))
+
+
+def unit_links(members: DataFrame, reps: DataFrame, texts: DataFrame, salts: Salts, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components among all nodes that share a bucket, each pair of blocks of a unit in a group of its own."""
+    keys = ["unit", "whole"]
+    found = materialise(units(members, salts), "units")
     sizes = (
-        members.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("bucket")
+        found.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy(*keys)
         .agg(F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n") / F.lit(float(SHINGLES)))).cast("int").alias("blocks"))
     )
-    own = salts.join(members, sizes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Units of one block need no look-up; with at least BLOCK nodes or SHINGLES shingles each, the others are few beside the documents.
+    own = found.join(sizes.where("blocks > 1"), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A member of block i takes part in the groups (i, j) and (j, i) of every block j.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = own.join(reps.select(F.col("rep").alias("node"), "signature"), "node").join(texts, "node").select("bucket", "node", "component", "block", "signature", "text", F.explode(pairs).alias("g"))
+    rows = own.join(reps.select(F.col("rep").alias("node"), "signature"), "node").join(texts, "node").select(*keys, "node", "component", "block", "signature", "text", F.explode(pairs).alias("g"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sig, node, block, texts = matrix(rows["signature"]), rows["node"].to_numpy(), rows["block"].to_numpy(), rows["text"].tolist()
         label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
         first, second = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
-        bands = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-        here = int((bands == bands[0]).all(axis=(0, 2)).argmax())  # the first band that all of them share
+        bands = np.ascontiguousarray(sig[:, : BANDS * ROWS]).view(f"V{4 * ROWS}").reshape(len(sig), BANDS)
+        bands = np.stack([np.unique(bands[:, k], return_inverse=True)[1].ravel() for k in range(BANDS)], axis=1).astype(np.int32)
+        whole = bool(rows["whole"].iloc[0])
+        here = int((bands == bands[0]).all(axis=0).argmax())  # in a bucket, the first band that all of them share
         sets, out = {}, []
 
         def set_of(k: int) -> np.ndarray:
@@ -215,7 +234,8 @@ def bucket_links(members: DataFrame, reps: DataFrame, texts: DataFrame, salts: S
 
         for x in first:
             others = second[(label[second] != label[x]) & ((block[second] != block[x]) | (second > x))]
-            others = others[(bands[others] == bands[x]).all(axis=2).argmax(axis=1) == here]
+            common = bands[others] == bands[x]
+            others = others[common.any(axis=1) if whole else common.argmax(axis=1) == here]
             if len(others):
                 for y in others[plausible(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], percent)]:
                     if label[y] != label[x] and similar(set_of(x), set_of(y), percent):
@@ -223,7 +243,7 @@ def bucket_links(members: DataFrame, reps: DataFrame, texts: DataFrame, salts: S
                         label[label == label[y]] = label[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    grouped = rows.select("bucket", "g.i", "g.j", "node", "component", "block", "signature", "text").groupBy("bucket", "i", "j")
+    grouped = rows.select(*keys, "g.i", "g.j", "node", "component", "block", "signature", "text").groupBy(*keys, "i", "j")
     return grouped.applyInPandas(compare, "a long, b long")
 
 
@@ -280,7 +300,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
             near = materialise(survivors_of(star_pairs(left, turn, salts), reps, percent), "near")
             made = links_among(near, texts, width, percent)
         else:
-            made = bucket_links(materialise(left, "mixed"), reps, texts, salts, width, percent)
+            made = unit_links(materialise(left, "mixed"), reps, texts, salts, width, percent)
         links.append(materialise(made, "links"))
         edges = links[0]
         for more in links[1:]:

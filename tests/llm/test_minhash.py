@@ -69,6 +69,16 @@ def test_chains_and_odd_rows(spark, monkeypatch):
     assert minhash.duplicates(docs.limit(0), 3, 85).collect() == []
 
 
+def test_units_are_the_cheaper_way(spark):
+    """A dense group is one cluster, a long chain is taken by its buckets."""
+    dense = [(b, n) for b in range(20) for n in range(10)]
+    chain = [(100 + k, 50 + k + d) for k in range(60) for d in (0, 1)]
+    members = spark.createDataFrame([(b, n, n) for b, n in dense + chain], "bucket long, node long, component long")
+    rows = minhash.units(members, minhash.Salts(members.select("bucket", "node"))).collect()
+    assert sorted(r.node for r in rows if r.whole) == list(range(10))
+    assert sorted((r.unit, r.node) for r in rows if not r.whole) == sorted(chain)
+
+
 def test_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     docs = spark.createDataFrame([(1, a, 0), (2, a, 1), (2, b, 2), (3, c, 3), (3, c, 4), (None, c, 5), (None, None, 6), (4, "", 7), (4, "", 8)], "doc_id long, text string, row int")
