@@ -37,6 +37,32 @@ def delete_where(df: DataFrame, test: Column) -> DataFrame:
     return df.where(~F.coalesce(test, F.lit(False)))
 
 
+def increment(counters: DataFrame, deltas: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Counters plus the sums of their deltas; a delta whose ``reset`` is true sets its counter to 0 instead."""
+    sums = deltas.groupBy(*keys).agg(F.sum("delta").alias("_delta"), F.bool_or("reset").alias("_reset"))
+    value = F.when(F.coalesce("_reset", F.lit(False)), 0).otherwise(F.col(column) + F.coalesce("_delta", F.lit(0)))
+    return counters.join(sums, keys, "left").withColumn(column, value).select(counters.columns)
+
+
+def enqueue(queue: DataFrame, wanted: DataFrame, keys: list[str], running: list[str]) -> DataFrame:
+    """Wanted keys that nothing in the queue works on yet, once each; asking again changes nothing."""
+    busy = queue.where(F.col("status").isin(running)).select(keys)
+    return wanted.select(keys).distinct().join(busy, keys, "left_anti")
+
+
+#: States from which an analysis may run again.
+RERUNNABLE = ["QUEUED", "FAILED", "PARTIAL"]
+
+
+def rerunnable(queue: DataFrame) -> DataFrame:
+    return queue.where(F.col("status").isin(RERUNNABLE))
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows are added to a table that is only ever added to, such as the audit log or evaluation runs."""
+    df.write.mode("append").parquet(path)
+
+
 def claim(queue: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n queued rows, to be marked as running by ``update_join``."""
     return queue.where("status = 'QUEUED'").orderBy(*order).limit(n)

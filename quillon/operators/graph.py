@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from quillon.functions.core import VERDICTS, name_of, rank_of
 
 def _checkpoints(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
 
 
@@ -64,6 +67,32 @@ def paths(tree: DataFrame) -> DataFrame:
     return done
 
 
+def with_orphans(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``tree`` of ``paths`` and, at depth 1 with an empty path, the ``nodes`` that no root reaches."""
+    lost = nodes.select("node").distinct().join(tree, "node", "left_anti")
+    return tree.unionByName(lost.select("node", F.lit(1).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array().cast("array<bigint>").alias("path")))
+
+
+def from_paths(nodes: DataFrame) -> DataFrame:
+    """(node, parent, is_root) of a tree known by its paths alone: the parent is the path's last element; where there is none or it is no node, the node is a root."""
+    own = nodes.select("node", F.when(F.size("path") > 0, F.element_at("path", -1)).alias("parent"))
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
+    rows = own.join(known, "parent", "left")
+    return rows.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.col("known").isNull().alias("is_root"))
+
+
+def at_depth(nodes: DataFrame, most: int) -> DataFrame:
+    """Nodes at or above a depth: those that are shown opened."""
+    return nodes.where(F.col("depth") <= most)
+
+
+def pending(nodes: DataFrame, n: int = 50) -> DataFrame:
+    """The first n nodes without a verdict by depth and name, each with how many more there are."""
+    left = nodes.where("verdict is null")
+    total = left.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("remaining"))  # one row
+    return left.orderBy("depth", "name").limit(n).crossJoin(F.broadcast(total))
+
+
 def rollup(nodes: DataFrame) -> DataFrame:
     """(node, subtree, flagged, worst) over each node and all below it, from (node, path, verdict): one pass, no recursion."""
     up = nodes.select(F.explode(F.concat("path", F.array("node"))).alias("node"), rank_of(F.col("verdict"), VERDICTS).alias("rank"))
@@ -84,3 +113,9 @@ def risk_summary(nodes: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(F.col("depth") <= 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"), F.count_if(F.col("verdict").isNotNull()).alias("analysed"),
         F.count_if(F.col("verdict").isNull()).alias("unanalysed"), F.count_if(rank <= 2).alias("flagged"), name_of(F.min(rank), VERDICTS).alias("worst"),
     )
+
+
+def risk_by_verdict(nodes: DataFrame, blocked: DataFrame) -> DataFrame:
+    """One row: how many nodes are blocked (``blocked`` has node), and how many have each verdict."""
+    rows = nodes.join(blocked.select("node", F.lit(True).alias("held")).distinct(), "node", "left")
+    return rows.agg(F.count_if(F.col("held")).alias("blocked"), *(F.count_if(F.col("verdict") == v).alias(v.lower()) for v in VERDICTS))

@@ -27,6 +27,11 @@ def lockout_ms(failures: Column) -> Column:
     return F.when(failures < FAILURES, 0).otherwise(F.least(F.pow(F.lit(2.0), power) * FIRST_MS, F.lit(float(MOST_MS)))).cast("long")
 
 
+def disabled(failures: Column) -> Column:
+    """Whether a hook that has failed so many times in a row is switched off."""
+    return failures >= DISABLED_AT
+
+
 def streaks(events: DataFrame, keys: list[str], ok: Column, *order: Column) -> DataFrame:
     """Each event with the number of failures in a row that end with it."""
     w = Window.partitionBy(*keys).orderBy(*order)

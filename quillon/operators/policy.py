@@ -32,8 +32,40 @@ def holds(condition: dict) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+#: The kinds of condition, and what each needs.
+KINDS = {
+    "verdict_at_least": ("verdict",), "rule_fired": ("rule",), "family_score_at_least": ("family", "score"), "package_age_below_days": ("days",),
+    "maintainer_count_below": ("count",), "license_not_in": ("licenses",), "ecosystem_is": ("ecosystem",),
+}
+
+
+def usable(policy: dict) -> tuple[dict, int]:
+    """The policy without conditions of unknown kinds or without their values, and how many these are."""
+    kept = [c for c in policy["conditions"] if c.get("type") in KINDS and all(c.get(k) is not None for k in KINDS[c["type"]])]
+    return {**policy, "conditions": kept}, len(policy["conditions"]) - len(kept)
+
+
+def described(condition: dict) -> str:
+    """A condition in words."""
+    c, kind = condition, condition["type"]
+    if kind == "verdict_at_least":
+        return f"verdict is {c['verdict'].replace('_', ' ').lower()} or worse"
+    if kind == "rule_fired":
+        return f"rule {c['rule']} fired"
+    if kind == "family_score_at_least":
+        return f"{c['family'].lower()} score ≥ {c['score']:g}"
+    if kind == "package_age_below_days":
+        return f"package first published less than {c['days']} days ago"
+    if kind == "maintainer_count_below":
+        return f"fewer than {c['count']} maintainers"
+    if kind == "license_not_in":
+        return f"licence not in {', '.join(c['licenses'])}"
+    return f"registry is {c['ecosystem']}"
+
+
 def matches(policy: dict) -> Column:
-    """A policy without conditions never matches."""
+    """A policy without usable conditions never matches."""
+    policy, _ = usable(policy)
     return reduce(lambda a, b: a & b, map(holds, policy["conditions"])) if policy["conditions"] else F.lit(False)
 
 
@@ -52,13 +84,13 @@ def decide(subjects: DataFrame, policies: list[dict]) -> DataFrame:
 
 
 def subjects(analyses: DataFrame, hits: DataFrame, rules: DataFrame, packages: DataFrame, releases: DataFrame, as_of: str) -> DataFrame:
-    """What policies look at: fired rules, a score for each family (each rule once), and the package."""
+    """What policies look at: fired rules, a score for each family (each rule once), and the package with its number of ``maintainers``."""
     once = first_per(hits, ["analysis_id", "rule_id"], F.desc("weight"), F.asc("line"), F.desc("confidence"), F.asc("file_path"), F.desc("modifier")).join(F.broadcast(rules.select("rule_id", "enabled")), "rule_id", "left")
     points = F.when(F.col("enabled"), F.col("weight") * F.col("confidence") * F.col("modifier")).otherwise(0.0)
     sums = once.groupBy("analysis_id").agg(F.collect_set("rule_id").alias("fired"), *(F.sum(F.when(F.col("family") == f, points).otherwise(0.0)).alias("score_" + f.lower()) for f in FAMILIES))
     first = releases.groupBy("package_id").agg(F.min("published_at").alias("first_published"))
-    rows = analyses.join(packages.select("package_id", "license", "ecosystem"), "package_id").join(first, "package_id", "left").join(sums, "analysis_id", "left")
-    return rows.fillna(0.0, ["score_" + f.lower() for f in FAMILIES]).withColumns({"as_of": F.lit(as_of).cast("timestamp_ntz"), "maintainers": F.col("package_id") % 5})
+    rows = analyses.join(packages.select("package_id", "license", "ecosystem", "maintainers"), "package_id").join(first, "package_id", "left").join(sums, "analysis_id", "left")
+    return rows.fillna(0.0, ["score_" + f.lower() for f in FAMILIES]).withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
 
 
 def enforced(decisions: DataFrame, analyses: DataFrame, exceptions: DataFrame, as_of: str) -> DataFrame:
@@ -67,4 +99,4 @@ def enforced(decisions: DataFrame, analyses: DataFrame, exceptions: DataFrame, a
     rows = decisions.where("action <> 'ALLOW'").join(analyses.select("analysis_id", "package_id", "org_id"), "analysis_id")
     own = live.select("org_id", "package_id", F.col("policy").alias("excepted")).distinct()
     covered = rows.join(own, ["org_id", "package_id"], "left").groupBy("analysis_id", "org_id", "package_id", "policy", "action").agg(F.bool_or(F.coalesce("excepted", F.lit("")) == "*").alias("all"), F.bool_or(F.coalesce(F.col("excepted") == F.col("policy"), F.lit(False))).alias("one"))
-    return covered.select("analysis_id", "org_id", "package_id", "policy", "action", F.when(F.col("all") | F.col("one"), "EXCEPTED").otherwise("OPEN").alias("state"), (F.col("action") == "BLOCK").alias("quarantine"))
+    return covered.select("analysis_id", "org_id", "package_id", "policy", "action", F.when(F.col("all") | F.col("one"), "EXCEPTED").otherwise("OPEN").alias("state"), (F.col("action") == "BLOCK").alias("hold"))

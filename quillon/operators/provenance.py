@@ -20,6 +20,18 @@ EXPECTED = [
 EXECUTABLE = r"(?i)\.(?:js|mjs|cjs|jsx|ts|mts|cts|tsx|py|sh|bash|ps1|bat|cmd)$"
 
 
+#: Manifests of a build, sources that are compiled, and more executables, as a share, than an attack adds.
+BUILD = r"(?i)^(?:[^/]+/)?(?:tsconfig(?:\..+)?\.json|(?:rollup|webpack|vite|esbuild|babel|gulpfile|Gruntfile|snowpack|parcel|tsup|unbuild|rspack)\.config\.[cm]?[jt]s|gulpfile\.[cm]?js|Makefile|go\.mod|Cargo\.toml|\.babelrc(?:\..+)?|build\.[cm]?[jt]s)$"
+COMPILED, DECLARED = r"(?i)\.(?:tsx?|jsx|svelte|vue)$", r"(?i)\.d\.ts$"
+INJECTED, BUILT_SHARE = 5, 0.5
+
+
+def builds(source: DataFrame) -> DataFrame:
+    """(package) whose repository (package, path) builds what it publishes."""
+    path = F.col("path")
+    return source.where(path.rlike(BUILD) | (path.rlike(COMPILED) & ~path.rlike(DECLARED))).select("package").distinct()
+
+
 def expected(path: Column) -> Column:
     test = path.rlike(EXPECTED[0])
     for pattern in EXPECTED[1:]:

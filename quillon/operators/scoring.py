@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.core import SEVERITIES, VERDICTS, bucket_rank, first_per, half_up, name_of, rank_of
@@ -42,11 +42,14 @@ def holds(groups: list[list[str]]) -> Column:
     return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.col(column_of(r)) for r in g]) for g in groups])
 
 
-def scorecard(analyses: DataFrame, hits: DataFrame, rules: DataFrame, known_bad: DataFrame | None = None) -> DataFrame:
+def scorecard(analyses: DataFrame, hits: DataFrame, rules: DataFrame, known_bad: DataFrame | None = None, skipped: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
     """Score, triggers, confidence and verdict of every analysis, with or without hits.
 
     Rules that are switched off or unknown score nothing, but fired ones still
-    count for triggers. ``known_bad`` has analysis ids whose archive is known.
+    count for triggers. ``known_bad`` has analysis ids whose archive is known,
+    ``skipped`` (analysis_id, rule_id) of rules that couldn't be judged, and
+    ``failed`` (analysis_id, family) of families that were not examined; each
+    family counts as an incomplete stage. Without it a partial analysis has one.
     """
     fired = fired_rules(hits).join(F.broadcast(rules.select("rule_id", "enabled")), "rule_id", "left")
     flags = [F.bool_or(F.col("rule_id") == r).alias(column_of(r)) for r in TRIGGER_RULES]
@@ -57,6 +60,14 @@ def scorecard(analyses: DataFrame, hits: DataFrame, rules: DataFrame, known_bad:
     rows = analyses.join(sums, "analysis_id", "left").fillna(False, [column_of(r) for r in TRIGGER_RULES]).fillna(0, ["total", "rules_fired", "families"])
     names = F.array_compact(F.array(*(F.when(holds(g), F.lit(t)) for t, g in sorted(TRIGGERS.items()))))
     loss = F.when(F.col("status") == "PARTIAL", LOSS).otherwise(0.0)
+    if failed is not None:
+        rows = rows.join(failed.groupBy("analysis_id").agg(F.countDistinct("family").alias("stages")), "analysis_id", "left")
+        loss = LOSS * F.coalesce("stages", F.lit(0))
+    if skipped is not None:
+        # A rule of a failed family isn't among those that were asked.
+        asked = skipped.select("analysis_id", "rule_id").distinct().join(hits.select("analysis_id", "rule_id").distinct(), ["analysis_id", "rule_id"], "left_anti")
+        rows = rows.join(asked.groupBy("analysis_id").agg(F.count("*").alias("skips")), "analysis_id", "left")
+        loss = loss + LOSS * F.coalesce("skips", F.lit(0)) / rules.count()  # 41 rows
     confidence = F.when(F.col("rules_fired") == 0, UNFIRED - loss).otherwise(F.col("mean_confidence") + GAIN * (F.col("families") - 1) - loss)
     rows = rows.withColumn("triggers", names).withColumn("scored", bucket_rank(F.col("total")))
     forced = F.size("triggers") > 0
@@ -113,14 +124,20 @@ def family_breakdown(hits: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def file_risk(hits: DataFrame, rules: DataFrame, longest: int = 500) -> DataFrame:
-    """Each analysis and file: rules, families, risk once a rule, worst severity, and distinct flagged lines."""
+    """Each analysis and file: rules, families, risk once a rule, worst severity, and distinct flagged lines.
+
+    Lines are counted from intervals, without a row for each line: in the order
+    of their starts, an interval adds what lies beyond the greatest end so far.
+    """
     keys = ["analysis_id", "file_path"]
     once = first_per(hits, [*keys, "rule_id"], *first_hit()).join(F.broadcast(rules.select("rule_id", "enabled")), "rule_id")
     sums = once.groupBy(*keys).agg(
         F.count("*").alias("rules"), F.countDistinct("family").alias("families"),
         F.sum(F.when(F.col("enabled"), F.col("weight") * F.col("confidence") * F.col("modifier")).otherwise(0.0)).alias("risk"),
     )
-    lines = hits.select(*keys, F.explode(F.sequence("line_start", F.least(F.col("line_end"), F.col("line_start") + longest - 1))).alias("at"))
-    flagged = lines.groupBy(*keys).agg(F.countDistinct("at").alias("flagged_lines"))
-    worst = hits.groupBy(*keys).agg(F.min(rank_of(F.col("severity"), SEVERITIES)).alias("worst"))
-    return sums.join(flagged, keys).join(worst, keys).select(*keys, "rules", "families", half_up(F.col("risk"), 2).alias("risk"), name_of(F.col("worst"), SEVERITIES).alias("worst_severity"), "flagged_lines")
+    until = F.least(F.col("line_end"), F.col("line_start") + longest - 1)
+    before = F.max(until).over(Window.partitionBy(*keys).orderBy("line_start", until).rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(until - F.greatest(F.col("line_start"), F.coalesce(before + 1, F.col("line_start"))) + 1, F.lit(0))
+    spans = hits.select(*keys, new.alias("new"), rank_of(F.col("severity"), SEVERITIES).alias("rank"))
+    whole = spans.groupBy(*keys).agg(F.sum("new").alias("flagged_lines"), F.min("rank").alias("worst"))
+    return sums.join(whole, keys).select(*keys, "rules", "families", half_up(F.col("risk"), 2).alias("risk"), name_of(F.col("worst"), SEVERITIES).alias("worst_severity"), "flagged_lines")

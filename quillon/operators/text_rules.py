@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from quillon.functions.core import half_up
 
-#: Patterns by rule, as regular expressions.
-PATTERNS = [
-    ("Q-INS-005", "curl", r"\bcurl\s"), ("Q-INS-005", "wget", r"\bwget\s"), ("Q-INS-004", "ssh", r"\.ssh/"), ("Q-INS-004", "aws", r"\.aws/"), ("Q-INS-004", "npmrc", r"\.npmrc"), ("Q-INS-004", "env", r"\.env\b"),
-    ("Q-CAP-008", "discord", r"discord(?:app)?\.com/api/webhooks"), ("Q-CAP-008", "telegram", r"api\.telegram\.org/bot"), ("Q-CAP-004", "environment", r"\bprocess\.env\b"), ("Q-OBF-003", "eval", r"\beval\s*\("),
-    ("Q-OBF-003", "function", r"\bnew\s+Function\s*\("), ("Q-CAP-001", "child_process", r"\bchild_process\b"), ("Q-CAP-005", "token", r"\btoken\s*="), ("Q-CAP-005", "password", r"(?i)\bpassword\s*[=:]"),
-    ("Q-CAP-005", "private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("Q-CAP-005", "access key", r"\bAKIA[0-9A-Z]{16}\b"),
-]
-#: Words of each context, in the order in which they decide.
+#: What each context is known by in a package's name, description and keywords, in the order in which contexts decide, and dependents that make a framework.
 CONTEXT_WORDS = [
-    ("BUILD_TOOL", ["bolt", "rod"]), ("SYSTEM", ["gear"]), ("NETWORK", ["widget", "ring"]), ("FRAMEWORK", ["plate"]),
+    ("BUILD_TOOL", [r"\bbuild\b", r"\bbundler?\b", r"\bcompiler?\b", r"\btranspiler?\b", r"\bcli\b", r"\btask[- ]?runner\b", r"\btest[- ]?runner\b", r"\blinter?\b", r"\bwebpack\b", r"\brollup\b", r"\besbuild\b", r"\bvite\b", r"\bbabel\b", r"\bscaffold", r"\bgenerator\b", r"\bcodegen\b"]),
+    ("SYSTEM", [r"\bshell\b", r"\bexec\b", r"\bspawn\b", r"\bprocess\b", r"\bfilesystem\b", r"\bdaemon\b", r"\bnative\b", r"\bbinding", r"\bnode-gyp\b", r"\bprebuild", r"\bffi\b", r"\bsystem\b"]),
+    ("NETWORK", [r"\bhttp\b", r"\bhttps\b", r"\bclient\b", r"\brequest\b", r"\bfetch\b", r"\bsocket\b", r"\bwebsocket\b", r"\bapi\b", r"\brpc\b", r"\bgrpc\b", r"\bserver\b", r"\bproxy\b", r"\bdns\b"]),
+    ("FRAMEWORK", [r"\bframework\b", r"\breact\b", r"\bvue\b", r"\bangular\b", r"\bsvelte\b", r"\bnext\.?js\b", r"\bnuxt\b", r"\bexpress\b", r"\bfastify\b", r"\bkoa\b", r"\bssr\b"]),
 ]
+FRAMEWORK_DEPENDENTS = 500
 RUN = r"(?:[A-Za-z0-9+/]{40,}={0,2}|[0-9a-f]{40,})"
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 
@@ -40,10 +37,11 @@ def average_line(text: Column) -> Column:
     return F.length(text) / F.size(F.split(text, "\n"))
 
 
-def matches(docs: DataFrame, key: str, text: str, patterns=PATTERNS) -> DataFrame:
-    """(key, rule_id, label, hits) of the patterns that occur."""
+def matches(docs: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """(key, rule_id, label, hits) of the patterns (rule, label, expression) that occur; one expression for all of them picks the texts to look at."""
     found = F.array(*(F.struct(F.lit(r).alias("rule_id"), F.lit(label).alias("label"), F.regexp_count(F.col(text), F.lit(p)).cast("long").alias("hits")) for r, label, p in patterns))
-    return docs.select(key, F.explode(F.filter(found, lambda x: x["hits"] > 0)).alias("m")).select(key, "m.*")
+    some = docs.where(F.col(text).rlike("|".join(f"(?:{p})" for _, _, p in patterns)))
+    return some.select(key, F.explode(F.filter(found, lambda x: x["hits"] > 0)).alias("m")).select(key, "m.*")
 
 
 def octet(address: Column, i: int) -> Column:
@@ -58,10 +56,10 @@ def routable(address: Column) -> Column:
     return valid & ~reserved
 
 
-def context(text: Column) -> Column:
-    """The first context one of whose words occurs."""
-    out = None
-    for name, words in CONTEXT_WORDS:
-        test = F.lower(text).rlike(r"\b(?:" + "|".join(words) + r")\b")
+def context(text: Column, dependents: Column | None = None) -> Column:
+    """The first context that a name, description or keyword tells of; a package that many depend on is a framework."""
+    out = F.when(dependents >= FRAMEWORK_DEPENDENTS, "FRAMEWORK") if dependents is not None else None
+    for name, patterns in CONTEXT_WORDS:
+        test = F.lower(text).rlike("|".join(patterns))
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise("UTILITY")

@@ -1,3 +1,3 @@
 """Queries by name; importing this package registers all of them."""
 
-from quillon.plans import dashboard, evaluation, events, files, policy, releases, scoring, typosquat  # noqa: F401
+from quillon.plans import dashboard, evaluation, events, files, governance, policy, releases, scoring, signals, typosquat  # noqa: F401

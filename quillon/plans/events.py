@@ -99,27 +99,22 @@ def retention_delete(events):
     return D.delete_where(events.select("event_id", "ts"), F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
 
 
-BFS = f"""e AS (SELECT * FROM edge), r AS (SELECT DISTINCT parent AS node FROM e WHERE parent < 20), d1 AS (SELECT child AS node, 1 AS depth, min(parent) AS parent FROM e WHERE parent IN (SELECT node FROM r) AND child NOT IN (SELECT node FROM r) GROUP BY 1),
+BFS = f"""e AS (SELECT * FROM edge), r AS (SELECT DISTINCT parent AS node FROM e WHERE parent NOT IN (SELECT child FROM e)), d1 AS (SELECT child AS node, 1 AS depth, min(parent) AS parent FROM e WHERE parent IN (SELECT node FROM r) AND child NOT IN (SELECT node FROM r) GROUP BY 1),
   d2 AS (SELECT child AS node, 2 AS depth, min(parent) AS parent FROM e WHERE parent IN (SELECT node FROM d1) AND child NOT IN (SELECT node FROM r UNION ALL SELECT node FROM d1) GROUP BY 1),
   d3 AS (SELECT child AS node, 3 AS depth, min(parent) AS parent FROM e WHERE parent IN (SELECT node FROM d2) AND child NOT IN (SELECT node FROM r UNION ALL SELECT node FROM d1 UNION ALL SELECT node FROM d2) GROUP BY 1),
   tree AS (SELECT node, 0 AS depth, NULL AS parent FROM r UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3),
   told AS (SELECT *, CASE WHEN node % 6 < 5 THEN ({NAMES})[1 + node % 6] END AS verdict FROM tree),
   up AS (SELECT t.node AS leaf, t.node, verdict FROM told t UNION ALL SELECT t.node, t.parent, verdict FROM told t WHERE depth > 0 UNION ALL SELECT t.node, p.parent, t.verdict FROM told t JOIN tree p ON p.node = t.parent WHERE p.depth > 0
     UNION ALL SELECT t.node, q.parent, t.verdict FROM told t JOIN tree p ON p.node = t.parent JOIN tree q ON q.node = p.parent WHERE q.depth > 0)"""
-#: From every parent that is nobody's child.
-BFS_ALL = BFS.replace("WHERE parent < 20", "WHERE parent NOT IN (SELECT child FROM e)")
 _RANK = "list_position(" + NAMES + ", verdict) - 1"
 
 
 def tree(edge):
-    return G.depths(edge, edge.where("parent < 20").select(F.col("parent").alias("node")))
-
-
-def tree_all(edge):
+    """From every parent that is nobody's child."""
     return G.depths(edge, G.roots(edge))
 
 
-def told(edge, tree=tree):
+def told(edge):
     verdict = F.when(F.col("node") % 6 < 5, F.element_at(F.array(*map(F.lit, VERDICTS)), (F.col("node") % 6 + 1).cast("int")))
     return G.paths(tree(edge)).withColumn("verdict", verdict)
 
@@ -129,43 +124,22 @@ def dependency_depth_bfs(edge):
     return tree(edge)
 
 
-@query(f"WITH {BFS_ALL} SELECT node, depth, parent FROM tree")
-def dependency_depth_bfs_all(edge):
-    return tree_all(edge)
-
-
 @query(f"WITH {BFS} SELECT node, count(*) AS subtree, CAST(count_if(coalesce({_RANK} <= 2, false)) AS BIGINT) AS flagged, ({NAMES})[1 + min({_RANK})] AS worst FROM up GROUP BY 1")
 def dependency_tree_rollup(edge):
     return G.rollup(told(edge))
 
 
-@query(f"WITH {BFS_ALL} SELECT node, count(*) AS subtree, CAST(count_if(coalesce({_RANK} <= 2, false)) AS BIGINT) AS flagged, ({NAMES})[1 + min({_RANK})] AS worst FROM up GROUP BY 1")
-def dependency_tree_rollup_all(edge):
-    return G.rollup(told(edge, tree_all))
-
-
 @query(f"WITH {BFS} SELECT count(*) AS total, CAST(count_if(depth <= 1) AS BIGINT) AS direct, CAST(count_if(depth > 1) AS BIGINT) AS transitive, count(verdict) AS analysed, count(*) - count(verdict) AS unanalysed, CAST(count_if(coalesce({_RANK} <= 2, false)) AS BIGINT) AS flagged, ({NAMES})[1 + min({_RANK})] AS worst FROM told")
 def dependency_risk_summary(edge):
     return G.risk_summary(told(edge))
 
 
-@query(f"WITH {BFS_ALL} SELECT count(*) AS total, CAST(count_if(depth <= 1) AS BIGINT) AS direct, CAST(count_if(depth > 1) AS BIGINT) AS transitive, count(verdict) AS analysed, count(*) - count(verdict) AS unanalysed, CAST(count_if(coalesce({_RANK} <= 2, false)) AS BIGINT) AS flagged, ({NAMES})[1 + min({_RANK})] AS worst FROM told")
-def dependency_risk_summary_all(edge):
-    return G.risk_summary(told(edge, tree_all))
-
-
 @query(f"WITH {BFS} SELECT node, depth FROM tree WHERE node IN (SELECT node FROM up WHERE leaf % 50 = 7)")
 def dependency_tree_filter(edge):
     nodes = told(edge)
     return G.keep_ancestors(nodes, nodes.where("node % 50 = 7")).select("node", "depth")
 
 
-@query(f"WITH {BFS_ALL} SELECT node, depth FROM tree WHERE node IN (SELECT node FROM up WHERE leaf % 50 = 7)")
-def dependency_tree_filter_all(edge):
-    nodes = told(edge, tree_all)
-    return G.keep_ancestors(nodes, nodes.where("node % 50 = 7")).select("node", "depth")
-
-
 @query("""SELECT p_partkey, concat('"', replace(CASE WHEN regexp_matches(v, '^[=+@\\t\\r-]') THEN concat('''', v) ELSE v END, '"', '""'), '"') AS cell FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('=', p_name) WHEN 1 THEN concat('"', p_name) WHEN 2 THEN concat('-', p_name) ELSE p_name END AS v FROM part)""")
 def csv_guard(part):
     k, n = F.col("p_partkey") % 4, F.col("p_name")

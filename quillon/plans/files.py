@@ -6,6 +6,7 @@ from quillon.functions.core import half_up
 from quillon.operators import campaigns as C
 from quillon.operators import provenance as P
 from quillon.operators import text_rules as X
+from quillon.operators.detect import FILE
 from quillon.plans.registry import query
 
 EXT = "(['.js', '.py', '.md', '.min.js', '.json'])[1 + doc_id % 5]"
@@ -68,10 +69,18 @@ def ipv4_routable_scan(documents):
     return found.groupBy("doc_id", "address").agg(F.count("*").alias("n")).withColumn("routable", X.routable(F.col("address")))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule_id, '{label}' AS label, len(regexp_extract_all(text, '{p}')) AS hits FROM documents WHERE regexp_matches(text, '{p}')" for r, label, p in X.PATTERNS))
+#: The file rules that are patterns.
+TEXT_RULES = [(rule, label, pattern) for rule, _, label, pattern in FILE]
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule_id, '{_quoted(label)}' AS label, len(regexp_extract_all(text, '{_quoted(p)}')) AS hits FROM documents WHERE regexp_matches(text, '{_quoted(p)}')" for r, label, p in TEXT_RULES))
 def pattern_rules(documents):
     """All text rules in one pass."""
-    return X.matches(documents, "doc_id", "text")
+    return X.matches(documents, "doc_id", "text", TEXT_RULES)
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'licensed under') THEN trim(regexp_extract(text, '[Ll]icensed under ([A-Za-z0-9 .-]+)', 1)) END AS license FROM documents WHERE contains(lower(text), 'licensed under')")
@@ -79,9 +88,14 @@ def license_scan(documents):
     return documents.where(F.contains(F.lower("text"), F.lit("licensed under"))).select("doc_id", F.trim(F.regexp_extract("text", r"[Ll]icensed under ([A-Za-z0-9 .-]+)", 1)).alias("license"))
 
 
-@query("SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(p_name), '\\b(?:{'|'.join(w)})\\b') THEN '{n}'" for n, w in X.CONTEXT_WORDS) + " ELSE 'UTILITY' END AS context FROM part")
+ABOUT = ["a bundler", "Shell tools", "an HTTP client", "for react", "plain", "scaffolding", "dns server with a native build", "nextjs"]
+
+
+@query(f"""WITH d AS (SELECT p_partkey, lower(concat(p_name, ' ', ({ABOUT!r})[1 + p_partkey % {len(ABOUT)}])) AS t, p_size * 11 AS dependents FROM part)
+  SELECT p_partkey, CASE WHEN dependents >= 500 THEN 'FRAMEWORK' """ + " ".join(f"WHEN regexp_matches(t, '{'|'.join(w)}') THEN '{n}'" for n, w in X.CONTEXT_WORDS) + " ELSE 'UTILITY' END AS context FROM d")
 def context_bucket(part):
-    return part.select("p_partkey", X.context(F.col("p_name")).alias("context"))
+    about = F.element_at(F.array(*map(F.lit, ABOUT)), (F.col("p_partkey") % len(ABOUT) + 1).cast("int"))
+    return part.select("p_partkey", X.context(F.concat_ws(" ", "p_name", about), F.col("p_size") * 11).alias("context"))
 
 
 @query("SELECT sha256(text) AS hash, count(*) AS files, count(DISTINCT source) AS packages, min(doc_id) AS first_file FROM documents GROUP BY 1 HAVING count(*) >= 2")

@@ -35,7 +35,7 @@ DECIDED = f"""{SUBJECT}, told AS (SELECT *, {" || ".join(f"(CASE WHEN {TESTS[n]}
 
 
 def decisions(analysis, hit, rule, package, release):
-    return P.decide(P.subjects(analysis, hit, rule, package, release, AS_OF), POLICIES)
+    return P.decide(P.subjects(analysis, hit, rule, package.withColumn("maintainers", F.col("package_id") % 5), release, AS_OF), POLICIES)
 
 
 @query(f"WITH {DECIDED} SELECT analysis_id, action, policy, matched FROM decided")
@@ -87,7 +87,7 @@ def exceptions_expiring(orders, customer):
 
 ENFORCED = f"""{DECIDED}, {EXCEPTION}, violation AS (SELECT d.analysis_id, d.org_id, d.package_id, d.policy, d.action,
   CASE WHEN EXISTS (SELECT 1 FROM exception e WHERE e.org_id = d.org_id AND e.package_id = d.package_id AND e.state = 'APPROVED' AND (e.expires_at IS NULL OR e.expires_at > TIMESTAMP '2001-01-01') AND (e.policy = '*' OR e.policy = d.policy)) THEN 'EXCEPTED' ELSE 'OPEN' END AS state,
-  d.action = 'BLOCK' AS quarantine FROM decided d WHERE d.action <> 'ALLOW')"""
+  d.action = 'BLOCK' AS hold FROM decided d WHERE d.action <> 'ALLOW')"""
 
 
 @query(f"WITH {ENFORCED} SELECT * FROM violation")

@@ -80,7 +80,12 @@ def pypi_archives(documents: DataFrame) -> DataFrame:
 
 
 def resolve_tags(wanted: DataFrame, tags: DataFrame) -> DataFrame:
-    """(name, version, tag): the first of the customary tags of a version that the repository (name, tag) has."""
-    v, short = F.col("version"), F.regexp_replace("name", r"^@[^/]+/", "")
-    names = F.array(F.concat(F.lit("v"), v), v, F.concat(short, F.lit("@"), v), F.concat(short, F.lit("-"), v), F.concat(F.lit("release-"), v))
-    return wanted.select("name", "version", F.posexplode(names).alias("rank", "tag")).join(tags, ["name", "tag"]).groupBy("name", "version").agg(F.min_by("tag", "rank").alias("tag"))
+    """(name, version, tag): the first customary tag of a version that the repository (name, tag) has, else the least one that ends in the version."""
+    bare = F.regexp_replace("version", "^v", "")
+    names = F.array(F.concat(F.lit("v"), bare), bare, F.concat(F.lit("release-"), bare), F.concat(F.lit("releases/"), bare), F.concat(bare, F.lit("-release")))
+    own = wanted.select("name", "version", F.explode(F.transform(names, lambda t, i: F.struct(t.alias("tag"), i.cast("int").alias("rank")))).alias("t")).select("name", "version", "t.tag", "t.rank")
+    exact = own.join(tags, ["name", "tag"])
+    # The end of a tag behind its last separator, so that this too is an equi-join; a version may itself have separators.
+    ends = tags.select("name", "tag", F.explode(F.transform(F.sequence(F.lit(1), F.length("tag")), lambda i: F.when(F.substring("tag", i, F.lit(1)).isin("@", "-", "/"), F.substring("tag", i + 1, F.length("tag"))))).alias("bare")).where("bare is not null")
+    suffix = wanted.select("name", "version", bare.alias("bare")).join(ends, ["name", "bare"]).select("name", "version", "tag", F.lit(9).alias("rank"))
+    return exact.select("name", "version", "tag", "rank").unionByName(suffix).groupBy("name", "version").agg(F.min(F.struct("rank", "tag"))["tag"].alias("tag"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.operators import changes
+
 DECISIONS = "bucket string, event_id long, ts timestamp, used long, allowed boolean"
 
 
@@ -43,6 +45,23 @@ def throughput(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(day.alias("day"), "event_type").agg(F.count("*").alias("n")).select(F.col("day.start").alias("day"), "event_type", "n")
 
 
+def zero_filled(counts: DataFrame, first: str, last: str, types: list[str]) -> DataFrame:
+    """Daily counts with a row for every day and type between two dates, from what ``throughput`` has written."""
+    spark = counts.sparkSession
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d"))
+    grid = days.crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in types], "event_type string")))  # days x types
+    own = counts.select(F.to_date("day").alias("d"), "event_type", "n")
+    return grid.join(own, ["d", "event_type"], "left").select(F.col("d").alias("day"), "event_type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def sweep_step(queue: DataFrame, as_of: str, stalled_s: int, n: int) -> DataFrame:
+    """The queue (id, status, started_at, created_at) after one sweep: runs that have stalled wait again, then the n oldest waiting ones run."""
+    now = F.lit(as_of).cast("timestamp")
+    stalled = (F.col("status") == "RUNNING") & (F.col("started_at") < now - F.make_dt_interval(secs=F.lit(stalled_s)))
+    freed = changes.update_where(queue, stalled, status="QUEUED", started_at=F.lit(None).cast("timestamp"))
+    return changes.update_join(freed, changes.claim(freed, n, F.asc("created_at"), F.asc("id")), ["id"], status="RUNNING", started_at=now)
+
+
 def sweep(stream: DataFrame, handle, checkpoint: str, name: str = "sweep"):
     """Work through what is there in micro-batches and stop; ``handle(batch, id)`` must bear repetition."""
     return stream.writeStream.queryName(name).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

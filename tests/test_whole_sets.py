@@ -43,10 +43,10 @@ def test_queries_start_from_all_roots(spark, tmp_path):
     want = below([tuple(r) for r in VIEWS["edge"](spark, str(tmp_path)).collect()])
     documents = {r.root: {c["name"] for c in json.loads(r.document)["components"]} for r in registry.QUERIES["sbom_document"](spark, str(tmp_path)).collect()}
     assert documents == {root: {f"node-{n}" for n in nodes} for root, nodes in want.items()} and len(documents) == 30
-    depths = {r.node: r.depth for r in registry.QUERIES["dependency_depth_bfs_all"](spark, str(tmp_path)).collect()}
+    depths = {r.node: r.depth for r in registry.QUERIES["dependency_depth_bfs"](spark, str(tmp_path)).collect()}
     assert depths.keys() == want.keys() | set().union(*want.values()) and {n for n, d in depths.items() if d == 0} == want.keys()
 
 
 def test_timeline_has_all_packages(spark, sf_dir):
-    rows = registry.QUERIES["timeline_union_all"](spark, sf_dir)
+    rows = registry.QUERIES["timeline_union"](spark, sf_dir)
     assert rows.count() == sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("orders", "events"))
