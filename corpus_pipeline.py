@@ -14,27 +14,43 @@ from quillon.llm.common import materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are judged as texts of zero statistics; repeated rows go
+    or stay together; without labels, and in an empty table, nothing goes.
+    """
     return rff.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with significant toxic passages go."""
+    """Documents that the toxicity score rejects go.
+
+    Null and empty texts have no passages; repeated rows go or stay together;
+    without labels, and in an empty table, nothing goes.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, similarity 0.8 or more)."""
+    """One row of each group of near-duplicates stays (five words, similarity 0.8 or more), that of the smallest id.
+
+    Rows are compared by text alone, so repeated rows and repeated or null ids
+    are near-duplicates or not like any others. Null and wordless texts all stay.
+    """
     return minhash.keep_one(docs, width=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go.
+
+    Null and wordless texts have no windows and stay; repeated rows go or stay
+    together; an empty benchmark removes nothing.
+    """
     return decontam.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and a digest of what they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; a null text counts as empty, other columns are dropped."""
     return bpe.digests(docs, bpe.default_vocabulary())
 
 
