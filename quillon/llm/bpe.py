@@ -99,7 +99,6 @@ class BytePairCodec:
         self.path, self.library = path, None
         self.token = Memory(lambda token: pack(self.merge(token.encode()), self.width), self.remembered)
         self.piece = Memory(lambda piece: b"".join(map(self.token, self.split(piece))), self.remembered)
-        self.settled_piece = lambda piece: b"".join(map(self.token, self.pretokens(piece)))
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text."""
@@ -111,6 +110,12 @@ class BytePairCodec:
             self.library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
+    def settled_piece(self, piece: str) -> bytes:
+        """Ids of a piece of settled text; a blank and letters are one pre-token."""
+        if piece[:1] == " " and piece[1:].isalpha():
+            return self.token(piece)
+        return b"".join(map(self.token, self.pretokens(piece)))
+
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token. A candidate in the queue is rank and position in one number."""
         ids = list(map(self.first.__getitem__, data))

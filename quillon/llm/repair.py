@@ -197,9 +197,16 @@ class Encoder(BytePairCodec):
         self.model = Tokenizer.from_file(path).model
         self.symbols = byte_symbols()
         self.size = len(self.strings)
-
-    def merge(self, data: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.symbols))]
+        self.blank = self.symbols[32]
+        self.token.make = self.ids_of
+
+    def ids_of(self, token: str) -> bytes:
+        """Ids of one pre-token by the library's model, which takes a printable character for each byte; letters of ASCII stand for themselves."""
+        if token.isascii() and token[1:].isalpha() and (token[0] == " " or token[0].isalpha()):
+            own = self.blank + token[1:] if token[0] == " " else token
+        else:
+            own = token.encode().decode("latin-1").translate(self.symbols)
+        return array(self.width, [t.id for t in self.model.tokenize(own)]).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
