@@ -26,7 +26,7 @@ def test_name_signals(spark):
     got = {(r.package, r.rule_id): r for r in signals.name_signals(packages, popular).collect()}
     fired = {p: sorted(r for q, r in got if q == p) for p in range(1, 13)}
     assert fired[1] == ["Q-TYP-001"] and got[1, "Q-TYP-001"].confidence == 0.85 and got[1, "Q-TYP-001"].detail == "express"
-    assert fired[2] == ["Q-TYP-003"] and fired[3] == ["Q-TYP-004"] and "Q-TYP-004" in fired[4] and "Q-TYP-005" in fired[5] and fired[6] == ["Q-TYP-006"]
+    assert fired[2] == ["Q-TYP-003"] and "Q-TYP-004" in fired[3] and "Q-TYP-004" in fired[4] and "Q-TYP-005" in fired[5] and fired[6] == ["Q-TYP-006"]
     assert "Q-TYP-002" in fired[7] and got[7, "Q-TYP-002"].confidence == 0.95 and fired[8] == [] and fired[9] == [] and fired[10] == []
     assert fired[11] == ["Q-TYP-002", "Q-TYP-006"] and got[11, "Q-TYP-002"].confidence == 0.5
     dense = signals.dense(packages.select("package"), signals.name_signals(packages, popular).drop("detail"), rule(spark)).collect()
