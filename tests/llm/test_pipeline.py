@@ -1,9 +1,11 @@
 import hashlib
 
+from pyspark.sql.functions import lit
+
 import corpus_pipeline
 from quillon.llm import decontam, rff, toxicity
 from quillon.llm.bpe import codec, default_vocabulary
-from quillon.llm.common import table
+from quillon.llm.common import materialise, table
 from tests.llm.test_minhash import brute_force
 
 
@@ -36,3 +38,26 @@ def test_stages_keep_columns_and_stand_empty_input(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.collect() == []
+
+
+def test_stages_stand_odd_rows_and_clashing_columns(spark, sf_dir):
+    """Nulls, ties, repeated rows, very long texts, and columns with the names that stages use."""
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id").limit(40)
+    own = {"score": 1.5, "_score": "x", "found": 2, "row": 3, "component": 4, "signature": "s", "n": 5, "first": 6, "label": 7, "fold": 8, "rep": 9}
+    extra = docs.limit(1).selectExpr("cast(NULL AS long) AS doc_id", "cast(NULL AS string) AS text", "lang", "source", "n_chars")
+    long = docs.limit(1).selectExpr("77777L AS doc_id", "repeat('word and word ', 40000) AS text", "lang", "source", "n_chars")
+    rows = docs.unionByName(docs.limit(3)).unionByName(extra).unionByName(extra).unionByName(long)
+    for name, value in own.items():
+        rows = rows.withColumn(name, lit(value))
+    rows = materialise(rows, "odd")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, sf_dir)
+        kept = out.collect()
+        if name == "bpe":
+            assert len(kept) == rows.count()
+            continue
+        assert out.columns == rows.columns and all(r[c] == v for r in kept for c, v in own.items())
+        texts = sum(r.text is None for r in kept)
+        assert texts in (0, 2) if name == "quality" else texts == 2
+        if name == "minhash":
+            assert len({r.text for r in kept if r.text}) == len([r for r in kept if r.text])
