@@ -73,7 +73,7 @@ def test_a_document_costs_its_blocks_only(monkeypatch):
     for k in (0, 7, 399):
         read.clear()
         assert (shard.document(k) == ids[500 * k : 500 * k + 500]).all()
-        assert sum(read) <= 2 * 2_100  # at most two blocks of a thousand 16-bit symbols
+        assert sum(read) <= 2 * 2_000  # at most two blocks of a thousand 16-bit symbols
 
 
 def test_find_documents(spark, sf_dir, library):
