@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillon.llm.common import fresh, materialise, table
 from quillon.llm.components import connected_components
@@ -146,24 +147,24 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 class Salts:
-    """How many tasks share a bucket: one, but for those with more than one in ``HOT`` rows."""
+    """How many tasks share a key: one, but for keys with more than one in ``HOT`` of the rows."""
 
-    def __init__(self, members: DataFrame):
-        least = members.count() / HOT
-        sizes = members.groupBy("bucket").count()
-        found = sizes.where(F.col("count") > max(least, 1)).select("bucket", F.ceil(F.col("count") / F.lit(max(least, 1.0))).cast("int").alias("salts")).collect()  # fewer than HOT
-        self.table = members.sparkSession.createDataFrame(found, "bucket long, salts int")
+    def __init__(self, rows: DataFrame, *keys: str):
+        self.keys = list(keys)
+        least = max(rows.count() / HOT, 1.0)
+        found = rows.groupBy(*keys).count().where(F.col("count") > least).select(*keys, F.ceil(F.col("count") / F.lit(least)).cast("int").alias("salts")).collect()  # fewer than HOT
+        self.table = rows.sparkSession.createDataFrame(found, StructType([*(rows.schema[k] for k in keys), StructField("salts", IntegerType())]))
 
     def deal(self, rows: DataFrame) -> DataFrame:
-        """Rows of (bucket, node, ...) with the salt of each."""
-        return rows.join(F.broadcast(self.table), "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        """Rows of (key, node, ...) with the salt of each."""
+        return rows.join(F.broadcast(self.table), self.keys, "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
 
     def repeat(self, one: DataFrame) -> DataFrame:
-        """One row a bucket to one for each of its salts."""
-        return one.join(F.broadcast(self.table), "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        """One row a key to one for each of its salts."""
+        return one.join(F.broadcast(self.table), self.keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
     def join(self, rows: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
-        return self.deal(rows).join(self.repeat(one), ["bucket", "salt"], how).drop("salt")
+        return self.deal(rows).join(self.repeat(one), [*self.keys, "salt"], how).drop("salt")
 
 
 def star_pairs(members: DataFrame, turn: int, salts: Salts) -> DataFrame:
@@ -199,8 +200,9 @@ def units(members: DataFrame, salts: Salts) -> DataFrame:
     own = materialise(members.join(clusters, "node"), "clusters")
     buckets = own.groupBy("bucket").agg(F.first("cluster").alias("cluster"), F.count("*").alias("n")).groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
     whole = clusters.groupBy("cluster").agg(F.count("*").cast("double").alias("m")).join(buckets, "cluster").where("m * m <= apart").select("cluster")
-    together = own.select("cluster", "node", "component").distinct().join(whole, "cluster", "left_semi").select(F.col("cluster").alias("unit"), F.lit(True).alias("whole"), "node", "component")
-    return together.unionByName(own.join(whole, "cluster", "left_anti").select(F.col("bucket").alias("unit"), F.lit(False).alias("whole"), "node", "component"))
+    hot = Salts(own, "cluster")
+    together = hot.join(own.select("cluster", "node", "component").distinct(), whole, "left_semi").select(F.col("cluster").alias("unit"), F.lit(True).alias("whole"), "node", "component")
+    return together.unionByName(hot.join(own, whole, "left_anti").select(F.col("bucket").alias("unit"), F.lit(False).alias("whole"), "node", "component"))
 
 
 def unit_links(members: DataFrame, reps: DataFrame, texts: DataFrame, salts: Salts, width: int, percent: int) -> DataFrame:
@@ -211,8 +213,7 @@ def unit_links(members: DataFrame, reps: DataFrame, texts: DataFrame, salts: Sal
         found.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy(*keys)
         .agg(F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n") / F.lit(float(SHINGLES)))).cast("int").alias("blocks"))
     )
-    # Units of one block need no look-up; with at least BLOCK nodes or SHINGLES shingles each, the others are few beside the documents.
-    own = found.join(sizes.where("blocks > 1"), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = Salts(found, *keys).join(found, sizes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A member of block i takes part in the groups (i, j) and (j, i) of every block j.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     rows = own.join(reps.select(F.col("rep").alias("node"), "signature"), "node").join(texts, "node").select(*keys, "node", "component", "block", "signature", "text", F.explode(pairs).alias("g"))
@@ -285,7 +286,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     named = base.where("doc_id is not null and digest is not null")
     reps = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n").alias("n")), "reps")
     banded = materialise(buckets(reps), "bands")
-    salts = Salts(banded)
+    salts = Salts(banded, "bucket")
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     members = materialise(salts.join(banded, shared), "buckets")
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"), "texts")

@@ -74,7 +74,7 @@ def test_units_are_the_cheaper_way(spark):
     dense = [(b, n) for b in range(20) for n in range(10)]
     chain = [(100 + k, 50 + k + d) for k in range(60) for d in (0, 1)]
     members = spark.createDataFrame([(b, n, n) for b, n in dense + chain], "bucket long, node long, component long")
-    rows = minhash.units(members, minhash.Salts(members.select("bucket", "node"))).collect()
+    rows = minhash.units(members, minhash.Salts(members, "bucket")).collect()
     assert sorted(r.node for r in rows if r.whole) == list(range(10))
     assert sorted((r.unit, r.node) for r in rows if not r.whole) == sorted(chain)
 
