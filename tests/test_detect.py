@@ -45,7 +45,7 @@ def test_registry_documents(spark):
     assert [tuple(r) for r in registry.pypi_packages(pypi).collect()] == [("my-pkg-x", "1", ["a", "b", "c"], "https://gitlab.com/m/p")]
     assert [r.url for r in registry.pypi_archives(pypi).collect()] == ["s"]
     tags = spark.createDataFrame([("@s/a", "a@1.0.0"), ("@s/a", "release-1.0.0")], "name string, tag string")
-    assert [r.tag for r in registry.resolve_tags(spark.createDataFrame([("@s/a", "1.0.0")], "name string, version string"), tags).collect()] == ["a@1.0.0"]
+    assert [r.tag for r in registry.resolve_tags(spark.createDataFrame([("@s/a", "1.0.0")], "name string, version string"), tags).collect()] == ["release-1.0.0"]  # customary tags come before those that only end in the version
 
 
 def test_text_functions(spark):
