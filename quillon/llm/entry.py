@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import bpe, decontam, filter_audit, minhash, ngram_lm, pivots, repair, rff, toxicity, url_rules, warc
+from quillon.llm import bpe, decontam, divergence, filter_audit, licenses, minhash, ngram_lm, pivots, repair, rff, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_licenses": licenses.op13_licenses,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_stupid_backoff": ngram_lm.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
