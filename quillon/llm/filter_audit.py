@@ -38,8 +38,8 @@ SYMBOL = re.compile(rb"[#$%&*|]")
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CONTINUATION = bytes(range(0x80, 0xC0))
 
-#: Bytes of different texts that a partition holds before it lets them go.
-CHAIN_BYTES = 32 << 20
+#: Bytes of different texts that a partition holds before it lets them go, and of text that a routed partition gets, about.
+CHAIN_BYTES, ROUTED_BYTES = 32 << 20, 64 << 20
 
 #: Rows of the result: one for each order and step.
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -96,7 +96,7 @@ def gathered(rows: Iterable) -> Iterator[tuple]:
     """(key, (text, mask, id, sources)) of a partition: texts of smallest id under their fingerprint, and what is settled, without text, under keys that spread."""
     from xxhash import xxh64_intdigest
 
-    chains, nameless, masks = Chains(), Counter(), {}
+    chains, nameless = Chains(), Counter()
     for doc_id, source, text in rows:
         text = bytes(text)
         key = xxh64_intdigest(text)
@@ -134,7 +134,9 @@ def masks(docs: DataFrame) -> DataFrame:
     copy and has no copies. Rows that share an id and a text are no copies of
     each other, since neither id is smaller. Extra columns are ignored.
     """
-    spark, n = docs.sparkSession, parts(docs.sparkSession)
+    spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = parts(spark, int(size // ROUTED_BYTES) + 1)
     whole = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     routed = whole.rdd.mapPartitions(gathered).repartitionAndSortWithinPartitions(n, lambda key: key % n)
     return spark.createDataFrame(routed.mapPartitions(resolved), "doc_id long, source string, mask int, n long", verifySchema=False)
