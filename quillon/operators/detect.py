@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.core import top_per
 from quillon.functions.text import excerpt, line_of
+from quillon.operators import scripts
 from quillon.operators.text_rules import entropy
 
 #: Fixed values: (rule, confidence, label, pattern) of install scripts.
@@ -26,10 +25,9 @@ INSTALL = [
     ("Q-INS-006", 0.8, "redirect", r">\s*/(?:etc|usr|bin|sbin|opt|var|root)/"), ("Q-INS-006", 0.8, "copy", r"\b(?:cp|mv)\s+[^\s]+\s+/(?:etc|usr|bin|sbin|opt|var|root)/"), ("Q-INS-006", 0.8, "profile", r"~/\.(?:bashrc|zshrc|profile|bash_profile)"),
     ("Q-INS-006", 0.8, "crontab", r"\bcrontab\b"), ("Q-INS-006", 0.8, "service", r"LaunchAgents|systemd/system|\.service\b"), ("Q-INS-006", 0.8, "chmod", r"\bchmod\s+\+x\b"), ("Q-INS-006", 0.8, "home", r">\s*\$HOME/"),
 ]
-#: Fixed values: (rule, confidence, label, pattern) of files; without a parser, whole texts are looked at.
+#: Fixed values: (rule, confidence, label, pattern) of whole texts of files.
 FILE = [
-    ("Q-OBF-003", 0.5, "eval", r"\beval\s*\(|\bnew\s+Function\s*\("), ("Q-OBF-005", 0.95, "direction", r"[‪-‮⁦-⁩‎‏؜]"), ("Q-OBF-007", 0.75, "escapes", r"(?:\\x[0-9a-fA-F]{2}){20,}"),
-    ("Q-CAP-004", 0.5, "environment", r"(?:Object\.(?:keys|entries|values|assign)|JSON\.stringify)\s*\([^)]*process\.env\s*[,)]|\.\.\.process\.env\b"),
+    ("Q-OBF-005", 0.95, "direction", r"[‪-‮⁦-⁩‎‏؜]"), ("Q-OBF-007", 0.75, "escapes", r"(?:\\x[0-9a-fA-F]{2}){20,}"),
     ("Q-CAP-005", 0.9, "ssh", r"\.ssh/"), ("Q-CAP-005", 0.9, "key", r"id_rsa|id_ed25519|id_ecdsa"), ("Q-CAP-005", 0.9, "aws", r"\.aws/(?:credentials|config)"), ("Q-CAP-005", 0.9, "npmrc", r"\.npmrc"), ("Q-CAP-005", 0.9, "docker", r"\.docker/config\.json"),
     ("Q-CAP-005", 0.9, "kube", r"\.kube/config"), ("Q-CAP-005", 0.9, "keychain", r"Library/Keychains"), ("Q-CAP-005", 0.9, "git", r"\.git-credentials"), ("Q-CAP-005", 0.9, "netrc", r"\.netrc"), ("Q-CAP-005", 0.9, "accounts", r"/etc/shadow|/etc/passwd"), ("Q-CAP-005", 0.9, "cookies", r"[Cc]ookies\.sqlite"),
     ("Q-CAP-006", 0.9, "ethereum", r"\.ethereum/"), ("Q-CAP-006", 0.9, "wallet", r"wallet\.dat"), ("Q-CAP-006", 0.9, "bitcoin", r"\.bitcoin/"), ("Q-CAP-006", 0.9, "keystore", r"(?i)keystore"), ("Q-CAP-006", 0.9, "exodus", r"(?i)Exodus.*exodus\.wallet"),
@@ -45,11 +43,11 @@ AUTO, OTHER_HOOKS, PYTHON, NOT_AUTO = ["preinstall", "install", "postinstall"],
 LITERALS, LITERAL, BITS, RUN, PACKED_BYTES, PACKED_LINE, KEPT = 500, 64, 4.8, 1_024, 4_096, 500, 25
 
 IMPORT = r"""(?:\brequire\s*\(\s*|\bfrom\s+|\bimport\s*\(\s*|\bimport\s+)['"]([^'"]+)['"]"""
-QUOTED = r"""(["'`])((?:(?!\1).){32,}?)\1"""
-#: Files that a script runs; addresses, what makes them calls and how near; comments, and strings that hide them; native files, what declares them, and how many are reported.
+QUOTED = r"""(?s)(["'`])((?:\\.|(?!\1)[^\\]){32,}+)\1"""
+#: Files of prose, and the confidence in what hides there.
+PROSE, IN_PROSE = r"(?i)\.(?:md|txt|json|ya?ml)$", 0.8
+#: Files that a script runs; native files, what declares them, and how many are reported.
 TARGET = r"""(?:^|[\s;&|])(?:node|npx|ts-node|python3?)\s+(?:--?\S+\s+)*['"]?([^\s'";|&]+)"""
-IPV4, NETWORK, NEAR = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", r"https?:|connect|socket|fetch|request|axios|post|get\s*\(|curl|:\d{2,5}", 120
-SCRIPT, COMMENT = r"\.(?:[cm]?[jt]s|[jt]sx)$", r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(//[^\n]*|/\*.*?(?:\*/|\Z))'''
 NATIVE, GYP, NATIVE_DEPENDENCY, NATIVE_SCRIPT, NATIVE_WORD, MOST_NATIVE = r"(?i)\.(?:node|so|dylib|dll|exe|wasm)$", r"(?:^|/)binding\.gyp$", "node-gyp|prebuild|node-pre-gyp|node-addon-api|bindings", "node-gyp|prebuild", "(?i)native|binding|addon|ffi", 10
 
 
@@ -79,46 +77,22 @@ def install_signals(packages: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def entry_signals(packages: DataFrame, files: DataFrame) -> DataFrame:
-    """Q-INS-007: an install script runs a file that is obfuscated or packed. Two more reasons need a parser and aren't looked for."""
+    """Q-INS-007: an install script runs a file that is obfuscated, packed, mostly strings, or does nothing but evaluate text.
+
+    Only files that a script runs are scanned for the last two reasons.
+    """
     text = F.col("text")
     packed = (F.octet_length(text) >= PACKED_BYTES) & (F.length(text) / F.size(F.split(text, "\n")) > PACKED_LINE)
     reason = F.when(text.rlike(r"(?m)^\s*(?:var|const|let)\s+_0x[0-9a-f]+"), "names").when(text.rlike(r"\\x[0-9a-fA-F]{2}(?:\\x[0-9a-fA-F]{2}){10,}"), "escapes").when(packed, "packed")
     target = F.explode(F.transform(F.regexp_extract_all("body", F.lit(TARGET), 1), lambda t: F.regexp_replace(t, r"^\./", "")))
     targets = surfaces(packages, files).select("package", F.col("path").alias("from"), "label", target.alias("target")).where("target not like '-%'").distinct()
     paths = targets.select("*", F.posexplode(F.array("target", F.concat("target", F.lit(".js")))).alias("rank", "path"))
-    known = files.select("package", "path", reason.alias("reason"), F.substring(text, 1, 200).alias("excerpt"))
     # The file of that very name, else the one with the ending.
-    run = top_per(paths.join(known, ["package", "path"]), ["package", "from", "label", "target"], 1, F.asc("rank")).where("reason is not null")
+    run = top_per(paths.join(files.select("package", "path", "text"), ["package", "path"]), ["package", "from", "label", "target"], 1, F.asc("rank"))
+    run = run.withColumn("read", F.when(reason.isNull(), scripts.reading(text))).select("*", F.coalesce(reason, scripts.payload_reason(text, F.col("read"))).alias("reason"), F.substring(text, 1, 200).alias("excerpt")).where("reason is not null")
     return run.select("package", "path", F.lit("Q-INS-007").alias("rule_id"), F.lit(0.8).alias("confidence"), F.concat_ws(": ", "label", "reason").alias("label"), F.lit(1).alias("line"), "excerpt").distinct()
 
 
-def routable(address: str) -> bool:
-    a, b, c, d = map(int, address.split("."))
-    if max(a, b, c, d) > 255 or a in (0, 10, 127) or a >= 224:
-        return False
-    return not ((a == 172 and 16 <= b <= 31) or (a, b) in ((192, 168), (169, 254), (192, 0), (198, 18), (198, 19), (198, 51), (203, 0)))
-
-
-def address_position(path: str, text: str) -> int:
-    """From 1, of the first routable address outside comments with a call near it, or 0."""
-    comments = [m.span(1) for m in re.finditer(COMMENT, text, re.S) if m[1]] if re.search(SCRIPT, path) else []
-    for m in re.finditer(IPV4, text, re.A):
-        at = m.start()
-        while comments and comments[0][1] <= at:
-            comments.pop(0)
-        if routable(m[0]) and not (comments and comments[0][0] <= at) and re.search(NETWORK, text[max(0, at - NEAR) : at + NEAR], re.A | re.I):
-            return at + 1
-    return 0
-
-
-def address_signals(files: DataFrame) -> DataFrame:
-    """Q-CAP-007: the first routable address of a file that a call may use; only texts with an address leave for Python."""
-    position = F.udf(address_position, "int")
-    rows = files.where(F.col("text").rlike(IPV4)).select("package", "path", "text", position("path", "text").alias("position")).where("position > 0")
-    line, around = line_of(F.col("text"), F.col("position")), excerpt(F.col("text"), F.col("position"))
-    return rows.select("package", "path", F.lit("Q-CAP-007").alias("rule_id"), F.lit(0.75).alias("confidence"), F.lit("address").alias("label"), line.alias("line"), around.alias("excerpt"))
-
-
 def native_signals(packages: DataFrame, files: DataFrame) -> DataFrame:
     """Q-CAP-009: native files of packages that declare none by binding.gyp, scripts, dependencies (a map) or keywords; the last two are looked at where ``packages`` has them."""
     says = F.exists(F.map_values("scripts"), lambda s: s.rlike(NATIVE_SCRIPT))
@@ -134,7 +108,7 @@ def native_signals(packages: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_signals(files: DataFrame) -> DataFrame:
-    """Signals of file texts: patterns, imports, long random literals, encoded runs, hidden characters, packed lines, addresses. Those of ``native_signals`` need the packages too."""
+    """Signals of file texts: patterns, imports, long random literals, encoded runs, hidden characters, packed lines, and what ``scripts.signals`` tells of script files. Those of ``native_signals`` need the packages too."""
     text = F.col("text")
     names = F.transform(F.regexp_extract_all("text", F.lit(IMPORT), 1), lambda m: F.regexp_replace(m, "^node:", ""))
     imports = [F.when(F.arrays_overlap(names, F.array(*map(F.lit, mods))), F.struct(F.lit(r).alias("rule_id"), F.lit(0.95 if r == "Q-CAP-001" else 0.9).alias("confidence"), F.lit("import").alias("label"), F.lit(1).alias("position"))) for r, mods in MODULES.items()]
@@ -146,15 +120,16 @@ def file_signals(files: DataFrame) -> DataFrame:
     one = lambda test, rule, confidence, label: F.when(test, F.struct(F.lit(rule).alias("rule_id"), confidence.alias("confidence"), F.lit(label).alias("label"), F.lit(1).alias("position")))
     others = [
         one(bits >= BITS, "Q-OBF-001", F.when(bits >= 5.9, 0.85).otherwise(0.6), "random literal"), one(runs >= RUN, "Q-OBF-002", F.when(runs >= 16 * RUN, 0.85).otherwise(0.65), "encoded run"),
-        one(F.regexp_count("text", F.lit(r"\b_0x[0-9a-f]+\b")) >= 10, "Q-OBF-004", F.lit(0.9), "generated names"), one(F.regexp_count("text", F.lit(r"[​-‍⁠﻿­]")) >= 3, "Q-OBF-005", F.lit(0.7), "zero width"),
+        one(F.regexp_count("text", F.lit(r"_0x[0-9a-f]{4,}")) >= 10, "Q-OBF-004", F.lit(0.9), "generated names"), one(F.regexp_count("text", F.lit(r"[​-‍⁠﻿­]")) >= 3, "Q-OBF-005", F.lit(0.7), "zero width"),
         one(packed, "Q-OBF-006", F.lit(0.6), "packed"),
     ]
     hits = F.concat(_found(text, FILE, F.lit(1.0)), F.array_compact(F.array(*imports, *others)))
     scanned = files.where("text is not null").select("package", "path", "text", F.explode(hits).alias("h"))
-    found = scanned.select("package", "path", "h.rule_id", "h.confidence", "h.label", line_of(text, F.col("h.position")).alias("line"), excerpt(text, F.col("h.position")).alias("excerpt"))
+    confidence = F.when((F.col("h.label") == "direction") & F.col("path").rlike(PROSE), IN_PROSE).otherwise(F.col("h.confidence")).alias("confidence")
+    found = scanned.select("package", "path", "h.rule_id", confidence, "h.label", line_of(text, F.col("h.position")).alias("line"), excerpt(text, F.col("h.position")).alias("excerpt"))
     # A packed file with a source map beside it is nothing to report.
     maps = files.where(F.endswith("path", F.lit(".map"))).select("package", F.expr("substring(path, 1, length(path) - 4)").alias("path"), F.lit("Q-OBF-006").alias("rule_id"))
-    return found.join(maps, ["package", "path", "rule_id"], "left_anti").select(found.columns).unionByName(address_signals(files))
+    return found.join(maps, ["package", "path", "rule_id"], "left_anti").select(found.columns).unionByName(scripts.signals(scripts.facts(files)))
 
 
 def dense_signals(packages: DataFrame, signals: DataFrame, rules: DataFrame) -> DataFrame:

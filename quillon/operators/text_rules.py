@@ -52,7 +52,7 @@ def routable(address: Column) -> Column:
     """Neither private, reserved, local, nor malformed."""
     a, b, c, d = (octet(address, i) for i in (1, 2, 3, 4))
     valid = (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
-    reserved = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
+    reserved = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(0, 168)) | ((a == 169) & (b == 254)) | ((a == 198) & b.isin(18, 19, 51)) | ((a == 203) & (b == 0))
     return valid & ~reserved
 
 

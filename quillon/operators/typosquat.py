@@ -10,30 +10,52 @@ from quillon.functions.core import top_per
 
 #: Affixes of combination names; edits; shortest names; downloads that clear a name.
 AFFIXES = ["js", "lib", "core", "cli", "sdk", "api", "node", "official", "dev", "pro", "plus", "ng", "v2", "new", "real"]
-EDITS, SHORTEST, SHORTEST_REST, CLEARED, RATIO = 2, 4, 5, 25_000, 0.1
+EDITS, SHORTEST, SHORTEST_REST, CLEARED, RATIO = 2, 5, 5, 25_000, 0.1
+#: Targets of more characters are found by pieces instead of deletions. A swap may touch two pieces, so that two edits spare one of five.
+LONG, PIECES = 24, 5
+
+
+def deletions(w):
+    """A word and all that is left of it without one or two characters: about half the square of its length."""
+    once = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = once(w)
+    two = F.flatten(F.transform(F.filter(one, lambda x: F.length(x) > 0), once))
+    return F.array_distinct(F.concat(F.array(w), one, two))
+
+
+def pieces(w, length, shifts: range):
+    """The pieces into which a word of ``length`` characters would be cut, as they lie in ``w``, each moved by all of ``shifts``; with their number and ``length``."""
+    start = lambda i: (F.floor(i * length / PIECES)).cast("int")
+    cut = [F.concat_ws(":", length.cast("string"), F.lit(str(i)), F.substring(w, start(i) + 1 + shift, start(i + 1) - start(i))) for i in range(PIECES) for shift in shifts]
+    return F.array(*cut)
+
+
+def probes(w):
+    """What ``w`` may share with a long target within ``EDITS``: a number of rows that doesn't grow with its length."""
+    near = range(-EDITS, EDITS + 1)
+    return F.flatten(F.array(*(F.when(F.length(w) + d > LONG, pieces(w, F.length(w) + d, near)).otherwise(F.array().cast("array<string>")) for d in near)))
 
 
 def neighbours(candidates: DataFrame, popular: DataFrame) -> DataFrame:
     """(name, target, distance, downloads) of popular names within two edits of a candidate's canonical form, itself excepted.
 
-    Deleting up to two characters of both sides gives equal strings for all names
-    within two edits, so that pairs meet in an equi-join instead of a comparison
-    of all with all; the exact distance decides.
+    Pairs meet in an equi-join instead of a comparison of all with all; the exact
+    distance decides. Deleting up to two characters of both sides gives equal
+    strings for all names within two edits; names of more than ``LONG``
+    characters, which have too many of these, are cut into pieces instead, one of
+    which two edits leave as it is, moved by two characters at most.
     """
-
-    def variants(column: str):
-        once = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-        one = F.filter(once(F.col(column)), lambda x: x.isNotNull())
-        two = F.flatten(F.transform(F.filter(one, lambda x: F.length(x) > 0), once))
-        return F.array_distinct(F.concat(F.array(F.col(column)), one, two))
-
     left = candidates.select("name").distinct().withColumn("a", N.canonical(F.col("name")))
     right = popular.select(F.col("name").alias("target"), F.col("downloads")).withColumn("b", N.canonical(F.col("target")))
+    a, b, none = F.col("a"), F.col("b"), F.array().cast("array<string>")
+    asked = F.concat(F.when(F.length(a) <= LONG + EDITS, deletions(a)).otherwise(none), F.when(F.length(a) > LONG - EDITS, probes(a)).otherwise(none))
+    filed = F.when(F.length(b) <= LONG, deletions(b)).otherwise(pieces(b, F.length(b), range(1)))
     near = (
-        left.where(F.length("a") >= SHORTEST).withColumn("v", F.explode(variants("a")))
-        .join(right.withColumn("v", F.explode(variants("b"))), "v")
-        .where("a <> b").select("name", "a", "target", "b", "downloads").distinct()
-        .withColumn("distance", N.edit_distance(F.col("a"), F.col("b"), EDITS)).where(F.col("distance") <= EDITS)
+        left.where(F.length("a") >= SHORTEST).withColumn("v", F.explode(F.array_distinct(asked)))
+        .join(right.withColumn("v", F.explode(filed)), "v")
+        .where("a <> b").where(F.levenshtein(a, b, 2 * EDITS) >= 0)  # a swap counts two there
+        .select("name", "a", "target", "b", "downloads").distinct()
+        .withColumn("distance", N.edit_distance(a, b, EDITS)).where(F.col("distance") <= EDITS)
     )
     same = left.join(right, left.a == right.b).withColumn("distance", F.lit(0))
     return same.unionByName(near).where("name <> target").select("name", "target", "distance", "downloads")

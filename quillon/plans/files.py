@@ -7,6 +7,7 @@ from quillon.operators import campaigns as C
 from quillon.operators import provenance as P
 from quillon.operators import text_rules as X
 from quillon.operators.detect import FILE
+from quillon.operators.scripts import BYTES
 from quillon.plans.registry import query
 
 EXT = "(['.js', '.py', '.md', '.min.js', '.json'])[1 + doc_id % 5]"
@@ -62,15 +63,15 @@ _A, _B, _C, _D = (_OCTETS.format(i) for i in (1, 2, 3, 4))
 
 
 @query(f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:\\d{{1,3}}\\.){{3}}\\d{{1,3}}\\b')) AS address FROM documents)
-  SELECT doc_id, address, count(*) AS n, {_A} <= 255 AND {_B} <= 255 AND {_C} <= 255 AND {_D} <= 255 AND NOT ({_A} IN (0, 10, 127) OR {_A} >= 224 OR ({_A} = 172 AND {_B} BETWEEN 16 AND 31) OR ({_A} = 192 AND {_B} = 168) OR ({_A} = 169 AND {_B} = 254)
-    OR ({_A} = 100 AND {_B} BETWEEN 64 AND 127)) AS routable FROM a GROUP BY 1, 2""")
+  SELECT doc_id, address, count(*) AS n, {_A} <= 255 AND {_B} <= 255 AND {_C} <= 255 AND {_D} <= 255 AND NOT ({_A} IN (0, 10, 127) OR {_A} >= 224 OR ({_A} = 172 AND {_B} BETWEEN 16 AND 31) OR ({_A} = 192 AND {_B} IN (0, 168)) OR ({_A} = 169 AND {_B} = 254)
+    OR ({_A} = 198 AND {_B} IN (18, 19, 51)) OR ({_A} = 203 AND {_B} = 0)) AS routable FROM a GROUP BY 1, 2""")
 def ipv4_routable_scan(documents):
     found = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(X.IPV4), 0)).alias("address"))
     return found.groupBy("doc_id", "address").agg(F.count("*").alias("n")).withColumn("routable", X.routable(F.col("address")))
 
 
 #: The file rules that are patterns.
-TEXT_RULES = [(rule, label, pattern) for rule, _, label, pattern in FILE]
+TEXT_RULES = [(rule, label, pattern) for rule, _, label, pattern in FILE] + BYTES
 
 
 def _quoted(text: str) -> str:

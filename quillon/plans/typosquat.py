@@ -30,7 +30,7 @@ CANON = "regexp_replace(" + FOLD + ", '[-_. ]', '', 'g')"
 STRIP = "regexp_replace(lower({0}), '[-_. ]', '', 'g')"
 # On these names the unrestricted distance is at most two exactly where the restricted one is (tests/test_names.py).
 NEAR = f"""{CANDIDATE}, pairs AS (SELECT c.name, p.name AS target, downloads, CASE WHEN {CANON.format('c.name')} = {CANON.format('p.name')} THEN 0 ELSE damerau_levenshtein({CANON.format('c.name')}, {CANON.format('p.name')}) END AS distance
-  FROM candidate c JOIN popular p ON c.name <> p.name), near AS (SELECT * FROM pairs WHERE distance <= 2)"""
+  FROM candidate c JOIN popular p ON c.name <> p.name), near AS (SELECT * FROM pairs WHERE distance = 0 OR (distance <= 2 AND length({CANON.format('name')}) >= 5))"""
 
 
 @query(f"WITH {NEAR} SELECT name, target, distance, downloads, CAST(n AS BIGINT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, downloads DESC, target) AS n FROM near) WHERE n <= 5")
