@@ -63,3 +63,34 @@ def combined(*conditions: Column | None) -> Column:
 def micros(time: str) -> Column:
     """Microseconds of a time column, for differences; days of other lengths come from these, not from calendar days."""
     return F.unix_micros(F.col(time).cast("timestamp"))
+
+
+def in_order(df: DataFrame, key: str, order: list[str], rows_of, schema: str) -> DataFrame:
+    """What ``rows_of(key, rows)`` makes of the rows of each key, one after the other in order.
+
+    One shuffle by key and a sort that spills; rows are streamed, so a task holds
+    no more than ``rows_of`` keeps. Rows are tuples of the columns of ``df``.
+    """
+    from itertools import groupby
+
+    names = df.columns
+    at = names.index(key)
+
+    def run(batches):
+        import pyarrow as pa
+
+        fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
+        kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32()}
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+        rows = (row for part in batches for row in zip(*(c.to_pylist() for c in part.columns)))
+        held = []
+        for own, group in groupby(rows, key=lambda row: row[at]):
+            for row in rows_of(own, group):
+                held.append(row)
+                if len(held) == 4096:
+                    yield batch(held)
+                    held = []
+        if held:
+            yield batch(held)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.core import combined
+from quillon.functions.core import combined, in_order
 from quillon.operators.relational import latest
 
 
@@ -103,13 +106,55 @@ def evidence_rows(signals: DataFrame) -> DataFrame:
     return signals.select(*(c for c in signals.columns if c != "evidence"), F.explode_outer("evidence").alias("evidence"))
 
 
-def line_severity(highlights: DataFrame, ranks: list[str]) -> DataFrame:
-    """(file, line, severity, label): the worst highlight of each line (file, start, end, severity, label), of equal ones the first."""
+def worst_runs(file, highlights) -> Iterator[tuple]:
+    """(file, first, last, rank, label) of the runs of lines of one file that have the same worst highlight, of equal ones the first.
+
+    A sweep over the highlights (file, start, end, rank, position, label) by their
+    start, with a heap of those that are open.
+    """
+    open_, line, run = [], 0, None
+
+    def swept(until: float):
+        nonlocal line, run
+        while open_ and line < until:
+            rank, position, end, label = open_[0]
+            if end < line:
+                heappop(open_)
+                continue
+            last = min(end, until - 1)
+            if run and run[1] == line - 1 and run[2] == (rank, position, label):
+                run[1] = last
+            else:
+                if run:
+                    yield file, run[0], run[1], -run[2][0], run[2][2]
+                run = [line, last, (rank, position, label)]
+            line = last + 1
+
+    for _, start, end, rank, position, label in highlights:
+        yield from swept(start)
+        line = start
+        heappush(open_, (-rank, position, end, label))
+    yield from swept(float("inf"))
+    if run:
+        yield file, run[0], run[1], -run[2][0], run[2][2]
+
+
+def severity_runs(highlights: DataFrame, ranks: list[str]) -> DataFrame:
+    """(file, first, last, rank, severity, label): runs of lines by their worst highlight (file, start, end, severity, label, position), of equal ones the first.
+
+    An end that is missing or before the start is the start; a missing severity is
+    a warning; highlights without a start, or of an unknown severity, mark nothing.
+    """
     end = F.greatest(F.col("start"), F.coalesce("end", F.col("start")))
-    rank = F.array_position(F.array(*map(F.lit, ranks)), F.coalesce("severity", F.lit("warning"))).cast("int")
-    lines = highlights.select("file", F.explode(F.sequence("start", end)).alias("line"), rank.alias("rank"), "position", "label")
-    worst = lines.groupBy("file", "line").agg(F.max_by(F.struct("rank", "label"), F.struct("rank", -F.col("position"))).alias("w"))
-    return worst.select("file", "line", F.element_at(F.array(*map(F.lit, ranks)), F.col("w.rank")).alias("severity"), "w.label")
+    rank = F.array_position(F.array(*map(F.lit, ranks)), F.coalesce("severity", F.lit("warning"))).cast("long")
+    rows = highlights.select(F.col("file").cast("long").alias("file"), F.col("start").cast("long"), end.cast("long").alias("end"), rank.alias("rank"), F.coalesce(F.col("position").cast("long"), F.lit(0)).alias("position"), F.coalesce("label", F.lit("")).alias("label"))
+    runs = in_order(rows.where("start IS NOT NULL AND rank > 0"), "file", ["start", "position"], worst_runs, "file long, first long, last long, rank long, label string")
+    return runs.select("file", "first", "last", "rank", F.element_at(F.array(*map(F.lit, ranks)), F.col("rank").cast("int")).alias("severity"), "label")
+
+
+def line_severity(highlights: DataFrame, ranks: list[str]) -> DataFrame:
+    """(file, line, severity, label): the worst highlight of each line; a row for each line, so only for files that are shown."""
+    return severity_runs(highlights, ranks).select("file", F.explode(F.sequence("first", "last")).alias("line"), "severity", "label")
 
 
 def largest(files: DataFrame, n: int) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush, heappushpop
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.core import half_up, micros
+from quillon.functions.core import half_up, in_order, micros
 
 DAY = 86_400_000_000
 #: Days of dormancy and its confidences, multiple of the median gap, releases needed, and days a maintainer counts as new.
@@ -28,22 +31,49 @@ def dormancy(releases: DataFrame) -> DataFrame:
     return gaps(releases).select("package_id", "release_id", half_up(gap, 3).alias("gap_days"), confidence.alias("confidence")).where("confidence is not null")
 
 
-def median_of(values: Column) -> Column:
-    """Of an array: the middle, or the mean of the two middle ones; null when empty."""
-    v, n = F.sort_array(values), F.size(values)
-    return F.when(n > 0, (F.element_at(v, (F.floor((n + 1) / 2)).cast("int")) + F.element_at(v, (F.floor(n / 2) + 1).cast("int"))) / 2)
+class Median:
+    """The median of what was put in so far: the lower half in a heap with its largest on top, the upper half in one with its smallest."""
+
+    def __init__(self):
+        self.low: list[float] = []
+        self.high: list[float] = []
+
+    def put(self, value: float) -> None:
+        heappush(self.high, -heappushpop(self.low, -value))
+        if len(self.high) > len(self.low):
+            heappush(self.low, -heappop(self.high))
+
+    def value(self) -> float | None:
+        """The middle, or the mean of the two middle ones; None when empty."""
+        if not self.low:
+            return None
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
+def unusual(package, rows) -> Iterator[tuple]:
+    """(package_id, release_id, gap_days, median) of the releases of one package, in order, whose gap is many times the median of those before it; rows are (package_id, release_id, microseconds)."""
+    gaps_before, last, early = Median(), None, []
+    for n, (_, release, at) in enumerate(rows, 1):
+        if last is not None:
+            gap, median = (at - last) / DAY, gaps_before.value()
+            if median is not None and median > 0 and gap > MULTIPLE * median:
+                early.append((package, release, gap, median))
+            gaps_before.put(gap)
+        last = at
+        if n >= RELEASES:  # a shorter history tells nothing
+            yield from early
+            early = []
 
 
 def cadence(releases: DataFrame) -> DataFrame:
     """Releases whose gap is many times the median of the gaps before it, in histories of some length.
 
-    The prior gaps of a release are gathered in its row, which is bounded by the
-    length of one package's history.
+    Histories are streamed in order, so a task keeps the gaps of one package, once each.
+    Releases without a package or time are left out.
     """
-    order = Window.partitionBy("package_id").orderBy("published_at", "release_id")
-    rows = gaps(releases).withColumn("prior", F.collect_list("gap_days").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n", F.count("*").over(Window.partitionBy("package_id")))
-    rows = rows.where(F.col("n") >= RELEASES).withColumn("median", median_of(F.col("prior"))).where((F.col("median") > 0) & (F.col("gap_days") > MULTIPLE * F.col("median")))
-    return rows.select("package_id", "release_id", half_up(F.col("gap_days"), 3).alias("gap_days"), half_up(F.col("median"), 3).alias("median_days"), half_up(F.col("gap_days") / F.col("median"), 1).alias("multiple"))
+    rows = releases.where("package_id IS NOT NULL AND published_at IS NOT NULL").select(F.col("package_id").cast("long"), F.col("release_id").cast("long"), micros("published_at").alias("at"))
+    found = in_order(rows, "package_id", ["at", "release_id"], unusual, "package_id long, release_id long, gap_days double, median double")
+    return found.select("package_id", "release_id", half_up(F.col("gap_days"), 3).alias("gap_days"), half_up(F.col("median"), 3).alias("median_days"), half_up(F.col("gap_days") / F.col("median"), 1).alias("multiple"))
 
 
 def semver(version: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ CONTEXT_WORDS = [
     ("FRAMEWORK", [r"\bframework\b", r"\breact\b", r"\bvue\b", r"\bangular\b", r"\bsvelte\b", r"\bnext\.?js\b", r"\bnuxt\b", r"\bexpress\b", r"\bfastify\b", r"\bkoa\b", r"\bssr\b"]),
 ]
 FRAMEWORK_DEPENDENTS = 500
+#: Characters of a class that may stand for themselves.
+CLASS = 32
 RUN = r"(?:[A-Za-z0-9+/]{40,}={0,2}|[0-9a-f]{40,})"
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 
@@ -37,11 +42,78 @@ def average_line(text: Column) -> Column:
     return F.length(text) / F.size(F.split(text, "\n"))
 
 
+def required(pattern: str) -> list[str] | None:
+    """Strings, in lower case, of which each match contains one; null where the expression asks for none.
+
+    Of what an expression has one after the other, the part whose shortest string
+    is longest serves; a choice needs the strings of all its branches.
+    """
+    from re import _parser
+
+    return _required(_parser.parse(pattern))
+
+
+def _required(items) -> list[str] | None:
+    found: list[list[str]] = []
+    run = ""
+    for op, value in [*items, (None, None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(value)
+            continue
+        if run:
+            found.append([run])
+            run = ""
+        inner = None
+        if name == "BRANCH":
+            branches = [_required(b) for b in value[1]]
+            inner = None if None in branches else sorted({x for b in branches for x in b})
+        elif name == "SUBPATTERN":
+            inner = _required(value[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            inner = _required(value[2])
+        elif name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in value):
+            chars = [c for o, v in value for c in ([v] if str(o) == "LITERAL" else range(v[0], v[1] + 1))]
+            inner = [chr(c) for c in chars] if len(chars) <= CLASS else None
+        if inner:
+            found.append(inner)
+    best = max(found, key=lambda x: min(map(len, x)), default=None)
+    return None if best is None else sorted({x.lower() for x in best})
+
+
 def matches(docs: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """(key, rule_id, label, hits) of the patterns (rule, label, expression) that occur; one expression for all of them picks the texts to look at."""
-    found = F.array(*(F.struct(F.lit(r).alias("rule_id"), F.lit(label).alias("label"), F.regexp_count(F.col(text), F.lit(p)).cast("long").alias("hits")) for r, label, p in patterns))
-    some = docs.where(F.col(text).rlike("|".join(f"(?:{p})" for _, _, p in patterns)))
-    return some.select(key, F.explode(F.filter(found, lambda x: x["hits"] > 0)).alias("m")).select(key, "m.*")
+    """(key, rule_id, label, hits) of the patterns (rule, label, expression) that occur.
+
+    One Aho-Corasick automaton over the strings that the expressions ask for reads
+    each text once and tells which few expressions are worth running on it; its
+    size is that of the patterns. Null texts have no rows; repeated rows are each
+    scanned.
+    """
+    owners: dict[str, list[int]] = {}
+    always = []
+    for k, (_, _, pattern) in enumerate(patterns):
+        strings = required(pattern)
+        always += [k] if strings is None else []
+        for x in strings or []:
+            owners.setdefault(x, []).append(k)
+    held = docs.sparkSession.sparkContext.broadcast((owners, always))
+
+    @F.pandas_udf("array<int>")
+    def possible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        strings, rest = held.value
+        automaton = ahocorasick.Automaton()
+        for x, own in strings.items():
+            automaton.add_word(x, tuple(own))
+        automaton.make_automaton()
+        for part in batches:
+            yield part.map(lambda t: sorted({k for _, own in set(automaton.iter(t.lower())) for k in own} | set(rest)) if t is not None else [])
+
+    one = lambda k, r, label, p: F.when(F.array_contains("some", k), F.struct(F.lit(r).alias("rule_id"), F.lit(label).alias("label"), F.regexp_count(F.col(text), F.lit(p)).cast("long").alias("hits")))
+    found = F.filter(F.array(*(one(k, *p) for k, p in enumerate(patterns))), lambda x: x["hits"] > 0)
+    some = docs.select(key, text, possible(text).alias("some")).where(F.size("some") > 0)
+    return some.select(key, F.explode(found).alias("m")).select(key, "m.*")
 
 
 def octet(address: Column, i: int) -> Column:

@@ -173,9 +173,9 @@ def line_severities(hit):
     rows = hit.select(
         F.col("analysis_id").alias("file"), F.col("line_start").alias("start"), F.when(F.col("line") % 3 != 0, F.col("line_end")).alias("end"), "severity", F.col("rule_id").alias("label"), (F.col("line") * 1000 + F.col("file_path")).alias("position")
     )
-    lines = V.line_severity(rows, list(reversed(SEVERITIES)))
-    rank = F.array_position(F.array(*map(F.lit, reversed(SEVERITIES))), F.col("severity"))
-    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.sum(rank).alias("ranks"))
+    runs = V.severity_runs(rows, list(reversed(SEVERITIES)))
+    size = F.col("last") - F.col("first") + 1
+    return runs.groupBy("file").agg(F.sum(size).alias("lines"), F.sum(size * F.col("rank")).alias("ranks"))
 
 
 @query(f"""WITH r AS (SELECT DISTINCT parent AS node FROM edge WHERE parent NOT IN (SELECT child FROM edge)), c AS (SELECT DISTINCT child AS node FROM edge),

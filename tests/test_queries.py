@@ -10,7 +10,7 @@ import __spark_entry__
 from quillon.plans import registry
 
 #: Without a row in the smallest tables.
-RARE = {"encoded_run_scan", "pattern_rules"}
+RARE = {"encoded_run_scan"}
 NAMES = sorted(registry.SQL)
 
 
