@@ -7,11 +7,13 @@ rule. They match through an inverted index: each rule is filed under one of its
 tokens, and a URL only looks at rules filed under tokens it has.
 
 Mining is Spark's parallel FP-growth over all labelled pages, and rules may have
-any number of tokens. A page with k frequent tokens supports 2^k combinations,
-and a frequent one takes the share ``SUPPORT`` of the pages, so there are at most
-avg(2^k) / SUPPORT of them. This bound is computed before mining; above ``MOST``
-the operator stops and asks for a higher support instead of leaving rules out.
-The rules are thus bounded, and broadcast. Judging is narrow.
+any number of tokens. What can't be in a smallest rule is taken out before, since
+a page with k tokens supports 2^k combinations: tokens that too few blocked pages
+have, tokens that are rules by themselves, and tokens that all pages have. Tokens
+that occur on the same labelled pages count as one class, and a page that has any
+of them has the class. Rules stay a table: up to ``HELD`` of them, which are
+counted first, make an index that is broadcast, so that judging is narrow; more
+are joined to the pages' tokens.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import ascii_lower, materialise, table
 
 SUPPORT, CONFIDENCE = 0.02, 0.9
-#: Token combinations that may be frequent, by the bound above.
-MOST = 2_000_000
+#: Rules that are broadcast.
+HELD = 100_000
 BLOCK = "=block"
 #: (verdict, host, path) of the listed rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -88,34 +90,63 @@ def listed(rows: DataFrame, rules) -> DataFrame:
     return rows.withColumn("_m", match("host", "path")).select(*rows.columns, F.col("_m.rule").alias("rule"), F.col("_m.verdict").alias("listed"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[str, ...]]:
-    """Token combinations that imply BLOCK, none of which contains another.
+def classes_of(labelled: DataFrame, support: float, confidence: float) -> tuple[dict[str, str], list[str]]:
+    """Classes by token, of tokens that may be in a rule of two or more, and those that are rules by themselves; each class is named by its least token.
 
-    Raises ValueError where more than ``MOST`` combinations may be frequent.
+    At most as many tokens as a page has, divided by ``support``. Tokens of one
+    class occur on the same pages: as many, whose hashes have the same sums.
     """
+    rows = labelled.select("tokens", (F.col("listed") == "block").alias("hit"), F.monotonically_increasing_id().alias("row"))
     n = labelled.count()
-    often = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= support * n).select("t").collect()  # at most a page's tokens / support
-    items = F.array_intersect("tokens", F.array(*(F.lit(r.t) for r in often))) if often else F.array().cast("array<string>")
-    baskets = labelled.select("listed", items.alias("items"))
-    bound = baskets.agg(F.avg(F.pow(F.lit(2.0), F.size("items").cast("double")))).first()[0] / support
-    if bound > MOST:
-        raise ValueError(f"up to {bound:.3g} token combinations may be frequent, more than {MOST}; use a higher support than {support}")
-    baskets = baskets.select(F.when(F.col("listed") == "block", F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("a")).collect()  # at most MOST
-    return smallest({tuple(r.a) for r in rules})
-
-
-def smallest(rules: set[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """The rules that contain no other one, found by looking at shorter ones first, filed under their first token."""
-    kept: list[tuple[str, ...]] = []
-    filed: defaultdict[str, list[frozenset]] = defaultdict(list)
-    for r in sorted(rules, key=lambda r: (len(r), r)):
-        own = frozenset(r)
-        if not any(x <= own for t in r for x in filed[t]):
-            kept.append(r)
-            filed[min(r)].append(own)
-    return sorted(kept)
+    counts = rows.select(F.explode("tokens").alias("t"), "hit", "row").groupBy("t").agg(
+        F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.sum(F.xxhash64(F.lit(1), "row").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(2), "row").cast("decimal(20,0)")).alias("h2")
+    )
+    groups: defaultdict[tuple, list[str]] = defaultdict(list)
+    alone = []
+    for r in counts.where(F.col("hits") >= support * n).toLocalIterator():
+        if r.hits >= confidence * r.n:
+            alone.append(r.t)
+        elif r.n < n:
+            groups[r.n, r.hits, r.h1, r.h2].append(r.t)
+    return {t: min(own) for own in groups.values() for t in own}, sorted(alone)
+
+
+def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, dict[str, str]]:
+    """(rule) of combinations of classes that imply BLOCK, none of which contains another, and the classes by token.
+
+    The table is written once. Without labelled pages it is empty.
+    """
+    spark = labelled.sparkSession
+    classes, alone = classes_of(labelled, support, confidence)
+    rules = spark.createDataFrame([([t],) for t in alone], "rule array<string>")
+    if classes:
+        # Whatever is taken out, all pages stay, since support and confidence are shares of them.
+        baskets = labelled.select(in_classes(F.col("tokens"), classes).alias("items"), "listed")
+        baskets = baskets.select(F.when(F.col("listed") == "block", F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+        more = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("rule"))
+        rules = rules.unionByName(smallest(materialise(more, "url-combinations")))
+    return materialise(rules, "url-rules"), classes | {t: t for t in alone}
+
+
+def in_classes(tokens: Column, classes: dict[str, str]) -> Column:
+    """The classes that a page's tokens belong to."""
+    names = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair)) if classes else F.create_map().cast("map<string,string>")
+    return F.array_distinct(F.filter(F.transform(tokens, lambda t: F.element_at(names, t)), lambda c: c.isNotNull()))
+
+
+def filed(rules: DataFrame) -> DataFrame:
+    """Each rule with the token of it that fewest rules have, under which it is filed."""
+    rows = rules.withColumn("id", F.xxhash64("rule"))
+    often = rows.select("id", "rule", F.explode("rule").alias("t")).join(rows.select(F.explode("rule").alias("t")).groupBy("t").count(), "t")
+    return often.groupBy("id").agg(F.min_by("t", F.struct("count", "t")).alias("key"), F.first("rule").alias("rule")).select("key", "rule")
+
+
+def smallest(rules: DataFrame) -> DataFrame:
+    """The rules that contain no other one: each looks at those filed under its tokens."""
+    inner = filed(rules).select("key", F.col("rule").alias("inner"))
+    larger = rules.select("rule", F.explode("rule").alias("key")).join(inner, "key").where((F.size("inner") < F.size("rule")) & (F.size(F.array_except("inner", "rule")) == 0))
+    return rules.join(larger.select("rule").distinct(), "rule", "left_anti")
 
 
 class TokenIndex:
@@ -132,6 +163,25 @@ class TokenIndex:
         return any(r <= own for t in own for r in self.filed.get(t, ()))
 
 
+def blocked(rows: DataFrame, rules: DataFrame, classes: dict[str, str], held: int = HELD) -> DataFrame:
+    """``rows`` with ``mined``: whether a rule matches their tokens."""
+    if rules.count() <= held:
+        index = rows.sparkSession.sparkContext.broadcast((TokenIndex([tuple(r.rule) for r in rules.collect()]), classes))
+
+        @F.pandas_udf("boolean")
+        def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            found, names = index.value
+            for part in batches:
+                yield part.map(lambda tokens: found.matches({names[t] for t in tokens if t in names})).astype(bool)
+
+        return rows.withColumn("mined", matches("tokens"))
+    # Pages with the same classes are judged once.
+    own = rows.withColumn("own", F.array_sort(in_classes(F.col("tokens"), classes)))
+    kinds = own.select("own").distinct()
+    hit = kinds.select("own", F.explode("own").alias("key")).join(filed(rules), "key").where(F.size(F.array_except("rule", "own")) == 0).select("own").distinct()
+    return own.join(hit.withColumn("mined", F.lit(True)), "own", "left").fillna(False, ["mined"]).drop("own")
+
+
 def judged(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages``.
 
@@ -141,17 +191,9 @@ def judged(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence:
     is mined. Extra columns are ignored.
     """
     rows = materialise(listed(parsed(pages), rules), "urls")
-    labelled = rows.where("listed is not null and size(tokens) > 0")
-    index = TokenIndex(mine(labelled, support, confidence) if labelled.limit(1).count() else [])
-    held = pages.sparkSession.sparkContext.broadcast(index)
-
-    @F.pandas_udf("boolean")
-    def blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in batches:
-            yield part.map(held.value.matches).astype(bool)
-
-    mined = F.when(blocks("tokens"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("listed", mined).alias("verdict"))
+    found, classes = mined(rows.where("listed is not null and size(tokens) > 0"), support, confidence)
+    verdict = F.coalesce("listed", F.when(F.col("mined"), "block").otherwise("allow"))
+    return blocked(rows, found, classes).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
