@@ -196,11 +196,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, most: int = MOST
     told = reps.join(comps, "rep", "left").join(sums, "digest", "left").select(
         "digest", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links")
     )
-    own = base.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest"))
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return own.join(told, "digest", "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
-    )
+    # Vectors that link with nothing don't travel, so that they don't meet in one task.
+    alone = base.where("vec_id is null or digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    own = usable.select("vec_id", "digest").join(told, "digest")
+    return own.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept")).unionByName(alone)
 
 
 def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,13 @@ def test_thinned_and_prefix():
     own = pivots.thinned(x, 60)
     assert len(own) <= 60 and (np.triu(own @ own.T, 1) < pivots.ALIKE[-1]).all()
     assert [pivots.prefix(n) for n in (16, 256, 512, 4_096, 16_384)] == [8, 8, 10, 16, 20]
+
+
+def test_mostly_unusable_vectors(spark):
+    """Nine tenths of the vectors link with nothing; all come back, by themselves."""
+    rows = [(i, (None, [], [0.0, 0.0], [float("nan"), 1.0])[i % 4]) for i in range(900)] + [(900 + i, [1.0, 0.01 * i]) for i in range(10)] + [(None, [1.0, 0.0])] * 40
+    got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 950
+    assert {(r.n_links, r.component_id == r.vec_id, r.kept) for r in got if r.vec_id is not None and r.vec_id < 900} == {(0, True, True)}
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id is not None and r.vec_id >= 900} == {(9, 900)}
+    assert {(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None} == {(0, None, True)}
