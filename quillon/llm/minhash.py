@@ -309,7 +309,9 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
         found = materialise(connected_components(edges), "components")
 
     classes = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return base.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
+    # Rows without a word or an id don't travel, so that they don't meet in one task.
+    alone = base.where("doc_id is null or digest is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+    return named.join(classes, "digest").select("doc_id", "n", "component").unionByName(alone)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:

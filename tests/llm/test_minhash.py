@@ -125,3 +125,13 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {x: want[x] for e in edges for x in e if e[0] != e[1]}
     assert len(got) == len({r.node for r in got})
+
+
+def test_mostly_wordless_rows(spark):
+    """Nine tenths of the rows have no word, or no id; all come back, by themselves."""
+    docs = spark.createDataFrame([(i, (None, "", " \n")[i % 3]) for i in range(900)] + [(900 + i, f"same text of some words {i // 50}") for i in range(100)] + [(None, "same text of some words 0")] * 50, "doc_id long, text string")
+    rows = minhash.duplicates(docs, 3, 85).collect()
+    assert len(rows) == 1050
+    assert {(r.n_shingles, r.component_id == r.doc_id, r.kept) for r in rows if r.doc_id is not None and r.doc_id < 900} == {(0, True, True)}
+    assert {r.component_id for r in rows if r.doc_id is not None and r.doc_id >= 900} == {900, 950}
+    assert {(r.n_shingles, r.component_id, r.kept) for r in rows if r.doc_id is None} == {(4, None, True)}
