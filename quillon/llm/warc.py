@@ -36,6 +36,8 @@ from quillon.llm.common import materialise, open_fs, parts, shared_dir, table
 #: Bytes after which a task begins another archive; lines of one index block.
 ARCHIVE_BYTES = 512 << 20
 BLOCK_LINES = 1_000
+#: Parts into which the pages of one payload are dealt.
+SALTS = 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "capture string, file string, offset long, length long"
 
@@ -113,7 +115,9 @@ def write_archives(pages: DataFrame) -> DataFrame:
     digest = F.sha1(F.col("html").cast("binary"))
     ids = materialise(pages.select("page_id", digest.alias("digest")), "payloads")
     first = ids.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = ids.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("again"), F.col("digest").alias("as"), "first").distinct()
+    # One payload may be that of many pages: these are dealt out by salts, each of which gets the payload's row.
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
+    again = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("again"), F.col("digest").alias("as"), "first").distinct()
     rows = pages.withColumn("digest", digest)
     rows = rows.join(again, rows.page_id.eqNullSafe(again.again) & (rows.digest == again["as"]), "left")
     rows = rows.select("page_id", "url", "html", "first", F.col("as").isNotNull().alias("revisit"), capture_key(F.col("url"), F.col("page_id")).alias("capture"))

@@ -75,3 +75,11 @@ def test_url_keys(spark):
     urls = [("http://WWW.Example.com/A?b#c", "com,example,www)/A?b#c"), ("https://h", "h)"), ("x y", "x+y"), (None, "")]
     df = spark.createDataFrame(urls, "url string, want string").withColumn("got", warc.url_key(F.col("url")))
     assert all(r.got == r.want for r in df.collect())
+
+
+def test_one_payload_of_most_pages(spark):
+    rows = [(i, f"http://a.org/{i}", "<p>same</p>" if i % 10 else f"<p>{i}</p>") for i in range(500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    top = warc.write_index(warc.write_archives(pages))
+    keys = pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("capture"))
+    assert result(warc.lookup(keys, top, payloads=False)) == expected(rows)
