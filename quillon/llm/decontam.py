@@ -127,6 +127,39 @@ def _merged() -> callable:
     return merge
 
 
+def _sliced(items: DataFrame, width: int, max_words: int) -> tuple[DataFrame, int]:
+    """(item_id, text, slice), written once, and the number of slices; a slice has at most ``max_words`` words.
+
+    Items are cut into pieces of at most half as many words, each with the words
+    that the last windows of the one before begin with, so that each window lies in
+    one piece. Pieces are then dealt out by the running sum of their words.
+    """
+    most = max(max_words // 2, 2 * width)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            out = []
+            for item_id, text in zip(batch["item_id"], batch["text"]):
+                own = words(text)
+                for at in range(0, max(len(own) - width + 1, min(len(own), 1)), most - width + 1):
+                    piece = own[at : at + most]
+                    out.append((item_id, b" ".join(piece).decode(), part, total, len(piece)))
+                    total += len(piece)
+            yield pd.DataFrame(out, columns=["item_id", "text", "part", "before", "n"])
+
+    pieces = materialise(items.mapInPandas(cut, "item_id string, text string, part int, before long, n long"), "decontam-pieces")
+    before, sums = 0, {}
+    for r in sorted(pieces.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # one row for each partition
+        sums[r.part] = before
+        before += r.n
+    starts = F.create_map(*(F.lit(x) for pair in sums.items() for x in pair)) if sums else F.create_map().cast("map<int,int>")
+    # A piece starts in its slice and has half a slice's words at most; pieces that start in the same half meet.
+    return pieces.select("item_id", "text", F.floor((F.element_at(starts, F.col("part")) + F.col("before")) / F.lit(most)).cast("int").alias("slice")), -(-before // most)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, name: str, width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with a struct ``name``: number of words, runs of hit words, and ids (as text) of the items found.
 
@@ -137,21 +170,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, name: str, width: int = WIDTH, m
     """
     spark = docs.sparkSession
     # Each run of at least one item character is at most one word, so text length bounds the words.
-    sized = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text", (F.length("text") / 2 + 1).alias("n"))
-    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    slices = int(total // max_words) + 1
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0))).first()[0]
 
-    def windows(k: int):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else sized
-        return spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in part.select("item_id", "text").toLocalIterator()], width))
+    def windows(rows: DataFrame):
+        return spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in rows.select("item_id", "text").toLocalIterator()], width))
 
-    if slices == 1:
-        return docs.withColumn(name, _scan(windows(0))(F.col("text")))
+    if total <= max_words:
+        return docs.withColumn(name, _scan(windows(items))(F.col("text")))
+    sliced, slices = _sliced(items, width, max_words)
     row = fresh(docs, "row")
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
     parts = []
     for k in range(slices):
-        found = rows.select(F.col(row), _scan(windows(k))(F.col("text")).alias("f")).select(row, "f.*")
+        found = rows.select(F.col(row), _scan(windows(sliced.where(F.col("slice") == k)))(F.col("text")).alias("f")).select(row, "f.*")
         parts.append(materialise(found if k == 0 else found.where(F.size("runs") > 0), "decontam-hits"))
     hits = parts[0]
     for part in parts[1:]:

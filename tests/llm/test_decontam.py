@@ -60,3 +60,18 @@ def test_long_texts_text_ids_and_own_columns(spark):
         ]
     kept = decontam.remove_documents(docs, items)
     assert kept.columns == docs.columns and [(r.doc_id, r._found) for r in kept.collect()] == [(2, None)]
+
+
+def test_items_longer_than_a_slice(spark):
+    """Items are cut where they exceed a slice, and no slice holds more than it may."""
+    long = " ".join(f"w{i}" for i in range(500))
+    items = [(1, long), (2, "short item"), (3, " ".join(f"w{i}" for i in range(300, 330))), (4, "one"), (5, None), (6, "!")] + [(7 + i, f"a{i} b{i} c{i}") for i in range(40)]
+    docs = [(1, long), (2, f"x {' '.join(f'w{i}' for i in range(95, 125))} y"), (3, "w9 w10 one a7 b7 c7 short"), (4, None)]
+    frame = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    sliced, n = decontam._sliced(frame.selectExpr("cast(item_id as string) AS item_id", "text"), 10, 60)
+    held = {}
+    for r in sliced.collect():
+        held[r.slice] = held.get(r.slice, 0) + len(decontam.words(r.text))
+    assert max(held) < n and max(held.values()) <= 60 and n > 10
+    got = result(decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), frame, "_found", max_words=60))
+    assert got == sorted([x[:4] for x in decontam.brute_force(docs, items)], key=str)
