@@ -11,6 +11,7 @@ QUERIES = {
     "op3_pivots": pivots.op3_pivots,
     "op4_repair": repair.op4_repair,
     "op5_stupid_backoff": ngram_lm.op5_stupid_backoff,
+    "backoff_of_benchmark": ngram_lm.backoff_of_benchmark,
     "op6_quality": rff.op6_quality,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_minhash": minhash.op8_minhash,
@@ -24,6 +25,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_stupid_backoff": ngram_lm.ORACLE,
+    "backoff_of_benchmark": ngram_lm.BACKOFF_ORACLE,
     "op9_url_rules": url_rules.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
     "op12_source_divergence": divergence.ORACLE,

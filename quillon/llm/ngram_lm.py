@@ -249,3 +249,24 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS s
        CASE WHEN len(ws) > 0 THEN round(round(s, 6) / len(ws), 6) END AS per_word
 FROM d LEFT JOIN sums USING (k)
 """
+
+
+def backoff_of_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items scored under the documents: text of its own, whose words and bigrams the documents may lack."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("doc_id"), "text")
+    return scored(items, table(spark, sf_dir, "documents"))
+
+
+_TOKENS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+')"
+BACKOFF_ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, {_TOKENS} AS ws FROM documents), t AS (SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT row_number() OVER () AS k, item_id AS doc_id, {_TOKENS} AS ws FROM benchmark), u AS (SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM b),
+ones AS (SELECT w, count(*) AS c FROM t GROUP BY w), n AS (SELECT greatest(count(*), 1) AS n FROM t),
+pairs AS (SELECT x.w AS v, y.w, count(*) AS c FROM t x JOIN t y ON x.k = y.k AND x.i + 1 = y.i GROUP BY x.w, y.w),
+s AS (
+  SELECT x.k, CASE WHEN y.w IS NOT NULL AND p.c > 0 THEN ln(p.c) - ln(q.c)
+              ELSE ln(coalesce(o.c, {UNSEEN})) - ln((SELECT n FROM n)) + CASE WHEN y.w IS NULL THEN 0 ELSE ln({BACKOFF}) END END AS s
+  FROM u x LEFT JOIN u y ON x.k = y.k AND x.i = y.i + 1 LEFT JOIN ones o ON o.w = x.w LEFT JOIN ones q ON q.w = y.w LEFT JOIN pairs p ON p.v = y.w AND p.w = x.w
+), sums AS (SELECT k, sum(s) AS s FROM s GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS score, CASE WHEN len(ws) > 0 THEN round(round(s, 6) / len(ws), 6) END AS per_word FROM b LEFT JOIN sums USING (k)
+"""

@@ -65,3 +65,14 @@ def test_odd_rows_and_foreign_text(spark, sf_dir):
     assert ngram_lm.scored(docs.limit(0), docs).collect() == []
     assert len(ngram_lm.scored(docs, docs.limit(0)).collect()) == 6
     compare(ngram_lm.scored(docs).collect(), brute_force([(r.doc_id, r.text) for r in docs.collect()], [r.text for r in docs.collect()]))
+
+
+def test_benchmark_backs_off(spark, sf_dir):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    query, got = con.sql(ngram_lm.BACKOFF_ORACLE), ngram_lm.backoff_of_benchmark(spark, sf_dir)
+    assert got.columns == query.columns
+    compare(got.collect(), query.fetchall())
+    seen = con.sql("select count(*) from documents d, benchmark b where contains(d.text, b.text)").fetchall()[0][0]
+    assert seen < len(got.collect())
