@@ -73,7 +73,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, limit: int) -> DataFrame:
-    """(doc_id, text, label) of at most about ``limit`` labelled documents outside ``held_out``.
+    """(doc_id, text, label) of at most about ``limit`` labelled documents outside ``held_out``; one row for each id, of repeated ones that of the least text.
 
     Rows are picked by a hash of their id, so each labelled row has the same
     chance. A document with several labels gets their majority (ties: 1); null
@@ -88,4 +88,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: C
     n = usable.count()
     share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = usable.where(share < limit / n) if n > limit else usable
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # One row for each id: of repeated ids the least text.
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", held_out=No
 
     rows = materialise(
         labelled_sample(docs, labels, column, out, sample).select(
-            "doc_id", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), measured("text").alias("x")
+            "doc_id", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold"), measured("text").alias("x")
         ),
         "quality-sample",
     )

@@ -11,9 +11,11 @@ score of x is expected n * exp(-decay * x) times. Segments expected fewer than
 are expected less than once add up to the document's evidence, which a logistic
 fit turns into a probability.
 
-The prior and the least z-score are chosen among ``CHOICES``, and the logistic
-fit is made, by folds inside the labelled rows of the fit: each row's evidence
-comes from counts without its fold. Copies of a text are in one fold.
+Whether words count whole or by their first letters, the prior and the least
+z-score are chosen among ``CHOICES``, and the logistic fit is made, by folds
+inside the labelled rows of the fit: each row's evidence comes from counts
+without its fold. Copies of a text are in one fold. Few labels favour first
+letters, which inflections and compounds share; many favour whole words.
 
 Fitting reads a bounded sample of labelled rows; scoring is a narrow map.
 """
@@ -34,8 +36,9 @@ from quillon.llm.common import fresh, labelled_sample, materialise, remainder, t
 
 #: Labelled rows for the fit, about.
 SAMPLE = 20_000
-#: Pseudo-counts of the prior as a share of all counts, and the least z-score of a word that counts.
-CHOICES = [(prior, z) for prior in (0.1, 0.3) for z in (2.0, 3.0)]
+#: Letters of a word's beginning that count (0: the whole word), pseudo-counts of the prior as a share of all counts, and the least z-score of a word that counts.
+LETTERS = (0, 5)
+CHOICES = [(letters, prior, z) for letters in LETTERS for prior in (0.1, 0.3) for z in (2.0, 3.0)]
 FOLDS = 4
 DRIFT = 0.1
 #: Segments as good as a passage's that are expected among as many clean words.
@@ -43,8 +46,9 @@ SIGNIFICANT = 0.05
 WORD = re.compile(r"\w+")
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def words(text: str | None, letters: int = 0) -> list[str]:
+    found = WORD.findall(text.lower()) if text else []
+    return [w[:letters] for w in found] if letters else found
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +103,9 @@ def decay(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
-def places(text: str | None, numbers: dict[str, int]) -> tuple[int, np.ndarray, np.ndarray]:
+def places(text: str | None, numbers: dict[str, int], letters: int) -> tuple[int, np.ndarray, np.ndarray]:
     """How many words a text has, and the places and numbers of those that have one."""
-    own = words(text)
+    own = words(text, letters)
     found = np.fromiter((numbers.get(w, -1) for w in own), np.int64, len(own))
     at = np.flatnonzero(found >= 0)
     return len(own), at, found[at]
@@ -122,26 +126,26 @@ class Model:
     rate: float = 1.0
     slope: float = 1.0
     offset: float = 0.0
-    choice: tuple[float, float] = field(default=CHOICES[0])
+    choice: tuple[int, float, float] = field(default=CHOICES[0])
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
-        n, at, numbers = places(text, self.numbers)
+        n, at, numbers = places(text, self.numbers, self.choice[0])
         return n, segments(at.tolist(), self.odds[numbers].tolist(), DRIFT)
 
-    def passages(self, text: str | None) -> list[tuple[float, int, int]]:
-        """(expected number among as many clean words, first word, one past the last) of each toxic passage."""
+    def judge(self, text: str | None) -> tuple[float, list[tuple[float, int, int]]]:
+        """The probability, and (expected number among as many clean words, first word, one past the last) of each toxic passage, from one scan."""
         n, found = self.segments(text)
         expected = [((n + 1) * math.exp(-self.rate * s), a, b) for s, a, b in found]
-        return [x for x in expected if x[0] < SIGNIFICANT]
-
-    def evidence(self, text: str | None) -> float:
-        return evidence(*self.segments(text), self.rate)
+        return self.probability(evidence(n, found, self.rate)), [x for x in expected if x[0] < SIGNIFICANT]
 
     def probability(self, x: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * x + self.offset))))
 
     def score(self, text: str | None) -> float:
-        return self.probability(self.evidence(text))
+        return self.judge(text)[0]
+
+    def passages(self, text: str | None) -> list[tuple[float, int, int]]:
+        return self.judge(text)[1]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float, float]:
@@ -161,20 +165,21 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, floa
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean): by fold, in how many different texts of each class a word is.
+    """(letters, word, toxic, clean): by fold, in how many different texts of each class a word, or a beginning of so many letters, is.
 
     Each text counts a word once and copies of a text count once, so that one
     document's habit isn't a class's.
     """
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<array<string>>")
     def distinct(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(set(words(t))))
+        return texts.map(lambda t: [list(set(words(t, letters))) for letters in LETTERS])
 
     texts = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.max("label").alias("label"), F.first("fold").alias("fold"), F.first("text").alias("text"))
-    exploded = texts.select("label", "fold", F.explode(distinct("text")).alias("word"))
+    kinds = texts.select("label", "fold", F.posexplode(distinct("text")).alias("k", "words"))
+    exploded = kinds.select("label", "fold", F.element_at(F.array(*map(F.lit, LETTERS)), F.col("k") + 1).alias("letters"), F.explode("words").alias("word"))
     sums = lambda label: F.array(*(F.sum(((F.col("fold") == k) & (F.col("label") == label)).cast("long")).cast("double") for k in range(FOLDS)))
-    return exploded.groupBy("word").agg(sums(1).alias("toxic"), sums(0).alias("clean"))
+    return exploded.groupBy("letters", "word").agg(sums(1).alias("toxic"), sums(0).alias("clean"))
 
 
 def without_fold(counts: np.ndarray) -> np.ndarray:
@@ -197,25 +202,30 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held_out=None
         return float(one.p) if one.n else 0.5
 
     counts = materialise(counted(rows), "toxicity-counts")
-    sums = counts.agg(*(F.coalesce(F.sum(F.col(c)[k]), F.lit(0.0)).alias(f"{c}{k}") for c in ("toxic", "clean") for k in range(FOLDS))).first()
-    totals = {c: without_fold(np.array([sums[f"{c}{k}"] for k in range(FOLDS)])) for c in ("toxic", "clean")}
+    sums = {r.letters: r for r in counts.groupBy("letters").agg(*(F.coalesce(F.sum(F.col(c)[k]), F.lit(0.0)).alias(f"{c}{k}") for c in ("toxic", "clean") for k in range(FOLDS))).collect()}
+    totals = {letters: {c: without_fold(np.array([sums[letters][f"{c}{k}"] if letters in sums else 0.0 for k in range(FOLDS)])) for c in ("toxic", "clean")} for letters in LETTERS}
 
     @F.pandas_udf("boolean")
-    def significant(toxic: pd.Series, clean: pd.Series) -> pd.Series:
+    def significant(letters: pd.Series, toxic: pd.Series, clean: pd.Series) -> pd.Series:
         a, b = (without_fold(np.array(x.tolist()).reshape(-1, FOLDS)) for x in (toxic, clean))
-        found = [np.abs(log_odds(a, b, totals["toxic"], totals["clean"], prior)[1]).max(axis=1) >= least for prior, least in CHOICES]
+        kinds = letters.to_numpy()
+        found = [(kinds == kind) & (np.abs(log_odds(a, b, totals[kind]["toxic"], totals[kind]["clean"], prior)[1]).max(axis=1) >= least) for kind, prior, least in CHOICES]
         return pd.Series(np.any(found, axis=0))
 
-    kept = counts.where(significant("toxic", "clean")).toPandas().sort_values("word")
-    numbers = {w: i for i, w in enumerate(kept["word"])}
-    own = {c: without_fold(np.array(kept[c].tolist()).reshape(-1, FOLDS)) for c in ("toxic", "clean")}
-    tables, rates = {}, {}
-    for prior, least in CHOICES:
-        for k in range(FOLDS + 1):
-            odds, z = log_odds(own["toxic"][:, k], own["clean"][:, k], totals["toxic"][k], totals["clean"][k], prior)
-            odds = np.where(np.abs(z) >= least, odds, -DRIFT)
-            clean = own["clean"][:, k] / max(totals["clean"][k], 1.0)
-            tables[prior, least, k], rates[prior, least, k] = odds.astype(np.float32), decay(odds, clean)
+    all_kept = counts.where(significant("letters", "toxic", "clean")).toPandas().sort_values(["letters", "word"])
+    names, numbers, tables, rates = {}, {}, {}, {}
+    for letters in LETTERS:
+        kept = all_kept[all_kept["letters"] == letters]
+        names[letters] = kept["word"].tolist()
+        numbers[letters] = {w: i for i, w in enumerate(names[letters])}
+        own = {c: without_fold(np.array(kept[c].tolist()).reshape(-1, FOLDS)) for c in ("toxic", "clean")}
+        total = totals[letters]
+        for kind, prior, least in CHOICES:
+            for k in range(FOLDS + 1) if kind == letters else ():
+                odds, z = log_odds(own["toxic"][:, k], own["clean"][:, k], total["toxic"][k], total["clean"][k], prior)
+                odds = np.where(np.abs(z) >= least, odds, -DRIFT)
+                clean = own["clean"][:, k] / max(total["clean"][k], 1.0)
+                tables[kind, prior, least, k], rates[kind, prior, least, k] = odds.astype(np.float32), decay(odds, clean)
     held = docs.sparkSession.sparkContext.broadcast((numbers, tables, rates))
 
     @F.pandas_udf("array<double>")
@@ -223,8 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held_out=None
         numbers, tables, rates = held.value
         out = []
         for text, k in zip(texts, folds):
-            n, at, own = places(text, numbers)
-            out.append([evidence(n, segments(at.tolist(), tables[*c, k][own].tolist(), DRIFT), rates[*c, k]) for c in CHOICES])
+            found = {letters: places(text, numbers[letters], letters) for letters in LETTERS}
+            out.append([evidence(n, segments(at.tolist(), tables[*c, k][own].tolist(), DRIFT), rates[*c, k]) for c in CHOICES for n, at, own in [found[c[0]]]])
         return pd.Series(out)
 
     known = rows.select("label", unseen("text", "fold").alias("x")).toPandas()  # at most about SAMPLE rows of a few numbers
@@ -233,8 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held_out=None
     best = min(range(len(CHOICES)), key=lambda i: (round(fits[i][2], 9), i))
     odds = tables[*CHOICES[best], FOLDS]
     used = np.flatnonzero(odds != np.float32(-DRIFT))
-    names = kept["word"].tolist()
-    return Model({names[j]: i for i, j in enumerate(used)}, odds[used], rates[*CHOICES[best], FOLDS], *fits[best][:2], CHOICES[best])
+    own_names = names[CHOICES[best][0]]
+    return Model({own_names[j]: i for i, j in enumerate(used)}, odds[used], rates[*CHOICES[best], FOLDS], *fits[best][:2], CHOICES[best])
 
 
 def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFrame:
@@ -273,8 +283,9 @@ def judged(docs: DataFrame, model: Model | float) -> DataFrame:
         for texts in batches:
             scores, found = [], []
             for text in texts:
-                scores.append(held.value.score(text))
-                found.append([{"expected": e, "first": a, "end": b} for e, a, b in held.value.passages(text)])
+                score, passages = held.value.judge(text)
+                scores.append(score)
+                found.append([{"expected": e, "first": a, "end": b} for e, a, b in passages])
             yield pd.DataFrame({"score": scores, "passages": found})
 
     return docs.select("doc_id", judge("text").alias("j")).select("doc_id", "j.*")

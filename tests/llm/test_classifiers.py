@@ -20,10 +20,9 @@ def accuracy(rows, labels, column):
     return np.mean([a == b for a, b in known]), np.mean([truth_ for _, truth_ in known])
 
 
-@pytest.mark.parametrize("query, column", [(rff.op6_quality, "quality"), (toxicity.op10_toxicity, "toxic")])
-def test_held_out_accuracy(spark, larger, query, column):
-    if column == "toxic":  # sf0.01 has 33 toxic rows to learn from, in four languages; too few for whole words
-        larger = larger.replace("sf0.01", "sf0.1")
+@pytest.mark.parametrize("query, column, size", [(rff.op6_quality, "quality", "sf0.01"), (toxicity.op10_toxicity, "toxic", "sf0.01"), (toxicity.op10_toxicity, "toxic", "sf0.1")])
+def test_held_out_accuracy(spark, larger, query, column, size):
+    larger = larger.replace("sf0.01", size)
     rows = query(spark, larger).collect()
     assert len(rows) == table(spark, larger, "documents").count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
@@ -31,8 +30,16 @@ def test_held_out_accuracy(spark, larger, query, column):
     right, share = accuracy(rows, labels, column)
     flagged = {r.doc_id for r in labels.where(f"{column} = 1").collect()}
     assert right > max(0.95, share, 1 - share)
-    caught = [r.predicted for r in rows if r.held_out and r.doc_id in flagged]
-    assert np.mean(caught) > 0.8
+    told = {r.doc_id: r.predicted for r in rows if r.held_out and r.doc_id in flagged}
+    if size == "sf0.01" and column == "toxic":
+        # Two of its six held-out toxic rows have no word that toxic training rows share, nor any passage: labels without a cause.
+        texts = {r.doc_id: set(toxicity.words(r.text)) for r in table(spark, larger, "documents").collect()}
+        known = [(texts[r.doc_id], r.toxic) for r in labels.collect() if r.doc_id in texts and r.doc_id not in {x.doc_id for x in rows if x.held_out}]
+        bad, good = (Counter(w for ws, y in known if y == k for w in ws) for k in (1, 0))
+        marks = {w for w, n in bad.items() if n >= 5 and not good[w]}
+        told = {i: p for i, p in told.items() if texts[i] & marks}
+        assert len(told) == 4
+    assert np.mean(list(told.values())) > 0.8
 
 
 @pytest.mark.parametrize("op, column", [(rff, "quality"), (toxicity, "toxic")])
@@ -85,13 +92,14 @@ def test_toxicity_against_brute_force(spark):
     model = toxicity.fit(docs, labels)
     folds = {r.text: r.f for r in docs.selectExpr("text", f"cast(pmod(xxhash64(text), {toxicity.FOLDS}) as int) AS f").collect()}
 
-    grams = str.split
+    def grams(text, letters):
+        return [w[:letters] if letters else w for w in text.split()]
 
-    def table_of(fold, prior, least):
+    def table_of(fold, letters, prior, least):
         known = {t: y for _, t, y in texts if folds[t] != fold}
         toxic, clean = Counter(), Counter()
         for t, y in known.items():
-            for g in set(grams(t)):
+            for g in set(grams(t, letters)):
                 (toxic if y else clean)[g] += 1
         n1, n0 = sum(toxic.values()), sum(clean.values())
         out, share = {}, {}
@@ -111,23 +119,23 @@ def test_toxicity_against_brute_force(spark):
             low, high = ((low + high) / 2, high) if excess((low + high) / 2) < 0 else (low, (low + high) / 2)
         return out, high
 
-    def evidence(text, odds, rate):
-        own = [odds.get(g, -toxicity.DRIFT) for g in grams(text)]
+    def evidence(text, letters, odds, rate):
+        own = [odds.get(g, -toxicity.DRIFT) for g in grams(text, letters)]
         base = math.log(len(own) + 1)
         margins = [rate * sum(own[a:b]) - base for a, b in maximal(own, 0, len(own))]
         return sum(m for m in margins if m > 0) or max(margins, default=-base)
 
     y, fits = np.array([float(y) for _, _, y in texts]), []
-    for prior, least in toxicity.CHOICES:
-        tables = [table_of(k, prior, least) for k in range(toxicity.FOLDS)]
-        fits.append(toxicity.logistic(np.array([evidence(t, *tables[folds[t]]) for _, t, _ in texts]), y))
+    for choice in toxicity.CHOICES:
+        tables = [table_of(k, *choice) for k in range(toxicity.FOLDS)]
+        fits.append(toxicity.logistic(np.array([evidence(t, choice[0], *tables[folds[t]]) for _, t, _ in texts]), y))
     assert model.choice in {c for c, f in zip(toxicity.CHOICES, fits) if f[2] < min(f[2] for f in fits) + 1e-4}
     odds, rate = table_of(None, *model.choice)
     slope, offset, _ = fits[toxicity.CHOICES.index(model.choice)]
     assert model.rate == pytest.approx(rate, rel=1e-4)
     rows = {r.doc_id: r for r in toxicity.judged(docs, model).collect()}
     for i, t, _ in texts:
-        x = evidence(t, odds, rate)
+        x = evidence(t, model.choice[0], odds, rate)
         assert rows[i].score == pytest.approx(1 / (1 + math.exp(-(slope * x + offset))), abs=2e-3), t
     bad_rows = [r for r in rows.values() if r.passages]
     assert bad_rows
@@ -149,7 +157,7 @@ def test_quality_against_brute_force(spark, sf_dir):
     """One solution of all rows in one process, with pooling by its definition as minima of maxima of averages."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = rff.fit(docs, labels)
-    rows = docs.join(labels, "doc_id").selectExpr("doc_id", "text", "quality", f"cast(pmod(xxhash64(doc_id), {rff.FOLDS}) as int) AS fold").collect()
+    rows = docs.join(labels, "doc_id").selectExpr("doc_id", "text", "quality", f"cast(pmod(xxhash64(coalesce(text, '')), {rff.FOLDS}) as int) AS fold").collect()
     x, y, fold = np.array([rff.statistics(r.text) for r in rows]), np.array([float(r.quality) for r in rows]), np.array([r.fold for r in rows])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     rnd = np.random.default_rng(rff.SEED)
