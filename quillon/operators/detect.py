@@ -68,10 +68,8 @@ def surfaces(packages: DataFrame, files: DataFrame) -> DataFrame:
 def install_signals(packages: DataFrame, files: DataFrame) -> DataFrame:
     rows = surfaces(packages, files)
     exists = rows.select("package", "path", F.lit("Q-INS-001").alias("rule_id"), F.lit(0.95).alias("confidence"), "label", F.lit(1).alias("line"), F.substring("body", 1, 200).alias("excerpt")).where(rows.auto_run)
-    # Only what an interpreter is given weighs less where it doesn't run on its own.
-    weight = F.when(F.col("auto_run"), 1.0).otherwise(NOT_AUTO)
-    own = [p for p in INSTALL if p[0] == "Q-INS-002"], [p for p in INSTALL if p[0] != "Q-INS-002"]
-    hits = F.concat(_found(F.col("body"), own[0], weight), _found(F.col("body"), own[1], F.lit(1.0)))
+    # What doesn't run on its own weighs less.
+    hits = _found(F.col("body"), INSTALL, F.when(F.col("auto_run"), 1.0).otherwise(NOT_AUTO))
     scanned = rows.select("package", "path", "body", F.explode(hits).alias("h"))
     return exists.unionByName(scanned.select("package", "path", "h.rule_id", "h.confidence", "h.label", line_of(F.col("body"), F.col("h.position")).alias("line"), excerpt(F.col("body"), F.col("h.position")).alias("excerpt"))).unionByName(entry_signals(packages, files))
 

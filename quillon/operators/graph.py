@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.core import VERDICTS, name_of, rank_of
-
-
-def _checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.conf.get("spark.checkpoint.dir", None) and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+from quillon.functions.folders import checkpoints
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -25,7 +16,7 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) of all nodes below each root, shared ones once under each root; the root itself only on a circle."""
-    _checkpoints(edges.sparkSession)
+    checkpoints(edges.sparkSession)
     frontier = roots.select(F.col("node").alias("root"), "node").distinct()
     met = None
     while True:
@@ -43,7 +34,7 @@ def depths(edges: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
     already met, so that a node is met once however many ways lead to it. Rounds
     are bounded by the depth; each one's lineage is cut by a checkpoint.
     """
-    _checkpoints(edges.sparkSession)
+    checkpoints(edges.sparkSession)
     met = roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct().checkpoint()
     frontier = met
     for depth in range(1, most + 1):

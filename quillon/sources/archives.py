@@ -6,16 +6,24 @@ import hashlib
 import io
 import re
 import tarfile
+import uuid
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from quillon.functions.core import in_order
+from quillon.functions.folders import materialise
 
 #: Bytes in all, entries, bytes of a file, and depth of a path.
 TOTAL, ENTRIES, FILE, DEPTH = 50 << 20, 10_000, 10 << 20, 20
 #: Bytes looked at for the kind of a file, and the share of unprintable ones that makes it binary.
 SNIFFED, UNPRINTABLE = 8_192, 0.3
+#: Bytes of archives that one task reads, about.
+PACKED = 64 << 20
 
 FILES = "archive string, path string, size long, sha256 string, is_binary boolean, content binary, rejected string"
 
@@ -38,11 +46,15 @@ def looks_binary(data: bytes) -> bool:
     return b"\0" in head or bool(head) and odd / len(head) > UNPRINTABLE
 
 
-def entries(name: str, data: bytes, largest: int = FILE) -> Iterator[tuple]:
-    """Files of one archive, the first folder of their paths left out; damage ends it with a rejected row."""
+def entries(name: str, source, largest: int = FILE) -> Iterator[tuple]:
+    """Files of one archive, the first folder of their paths left out; damage ends it with a rejected row.
+
+    ``source`` is a file object that is read once from start to end, so a task
+    holds one file of an archive at a time.
+    """
     total = n = 0
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
+        with tarfile.open(fileobj=source, mode="r|gz") as tar:
             for member in tar:
                 if member.isdir():
                     continue
@@ -59,24 +71,85 @@ def entries(name: str, data: bytes, largest: int = FILE) -> Iterator[tuple]:
                 content = tar.extractfile(member).read()
                 path = member.name.partition("/")[2] or member.name
                 yield name, path, len(content), hashlib.sha256(content).hexdigest(), looks_binary(content), content, None
-    except (tarfile.TarError, OSError, EOFError) as e:
+    except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
         yield name, None, None, None, None, None, f"damaged: {type(e).__name__}"
 
 
-def unpack(archives: DataFrame, largest: int = FILE) -> DataFrame:
-    """One row for each file or rejected entry of (path, content) rows. A null content is a damaged archive."""
+class Some(InputPartition):
+    """Archives (name, URI) that one task reads."""
+
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class PackageArchives(DataSource):
+    """``spark.read.format("package_archives")``: the files of all ``*.tgz`` in a folder, and entries that were rejected.
+
+    Options: ``path`` (a URI that executors reach), ``largest`` (bytes of a file), and
+    ``packed`` (bytes of archives that a task gets, about).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "package_archives"
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [x.split()[0] for x in FILES.split(", ")]
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                rows = pd.DataFrame(list(entries(name, bytes(data or b""), largest)), columns=columns)
-                yield rows.astype({"size": "Int64"})
+    def schema(self) -> str:
+        return FILES
 
-    return archives.select("path", "content").mapInPandas(each, FILES)
+    def reader(self, schema) -> DataSourceReader:
+        return ArchiveReader(self.options["path"], int(self.options.get("largest", FILE)), int(self.options.get("packed", PACKED)))
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, path: str, largest: int, packed: int):
+        self.path, self.largest, self.packed = path if "://" in path or path.startswith("file:") else f"file://{path}", largest, packed
+
+    def partitions(self) -> list[InputPartition]:
+        """Archives by name, as many to a task as make up ``packed`` bytes."""
+        fs, root = FileSystem.from_uri(self.path)
+        out, size = [[]], 0
+        for f in sorted(fs.get_file_info(FileSelector(root, allow_not_found=True)), key=lambda f: f.base_name):
+            if f.type == FileType.File and f.base_name.endswith(".tgz"):
+                if out[-1] and size + f.size > self.packed:
+                    out.append([])
+                    size = 0
+                out[-1].append((f.base_name, f.path))
+                size += f.size
+        return [Some(files) for files in out]
+
+    def read(self, partition: Some) -> Iterator[tuple]:
+        fs, _ = FileSystem.from_uri(self.path)
+        for name, path in partition.files:
+            with fs.open_input_stream(path, compression=None) as source:
+                yield from entries(name, source, self.largest)
 
 
 def read(spark: SparkSession, folder: str, largest: int = FILE) -> DataFrame:
-    """All archives of a folder, through Spark's reader of binary files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tgz").load(folder)
-    return unpack(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "content"), largest)
+    """One row for each file or rejected entry of all archives of a folder."""
+    spark.dataSource.register(PackageArchives)
+    return spark.read.format("package_archives").option("path", folder).option("largest", largest).load()
+
+
+def pack(files: DataFrame, folder: str) -> DataFrame:
+    """Write an archive for each ``archive`` of (archive, path, content) and return (archive, files); content is binary.
+
+    Files are streamed by archive and path. An archive gets its name only when it is
+    complete, so that a task may be run again; null contents are empty files, and
+    repeated paths repeated entries.
+    """
+
+    def written(archive, rows) -> Iterator[tuple]:
+        fs, root = FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        part, n = f"{root}/{uuid.uuid4().hex}.part", 0
+        with fs.open_output_stream(part, compression=None) as out, tarfile.open(fileobj=out, mode="w|gz") as tar:
+            for _, path, content in rows:
+                info = tarfile.TarInfo(path)
+                info.size = len(content or b"")
+                tar.addfile(info, io.BytesIO(content or b""))
+                n += 1
+        fs.move(part, f"{root}/{archive}.tgz")
+        yield archive, n
+
+    rows = files.select(F.col("archive").cast("string"), "path", "content").where("archive IS NOT NULL")
+    return materialise(in_order(rows, "archive", ["path"], written, "archive string, files long"), "packed")

@@ -65,7 +65,7 @@ def pypi_packages(documents: DataFrame) -> DataFrame:
     """Name, keywords and repository of each document; links are looked at in order of preference, then any of a known host."""
     doc = documents.select(F.from_json("json", PYPI).alias("d"))
     links = F.map_entries(F.coalesce("d.info.project_urls", F.create_map().cast("map<string,string>")))
-    by_name = lambda label: F.filter(links, lambda e: F.lower(e["key"]) == label)[0]["value"]
+    by_name = lambda label: F.get(F.filter(links, lambda e: F.lower(e["key"]) == label), F.lit(0))["value"]
     hosted = F.filter(links, lambda e: e["value"].rlike(r"github\.com|gitlab\.com|bitbucket\.org"))
     url = F.coalesce(*(repository_url(by_name(x)) for x in LINKS), repository_url(F.try_element_at(hosted, F.lit(1))["value"]), repository_url(F.col("d.info.home_page")))
     words = F.filter(F.split("d.info.keywords", r"[,\s]+"), lambda w: w != "")
