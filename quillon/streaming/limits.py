@@ -2,41 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from quillon.operators import changes
 
-DECISIONS = "bucket string, event_id long, ts timestamp, used long, allowed boolean"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def limiter(events: DataFrame, window_s: int, limit: int) -> DataFrame:
-    """A decision for each event (bucket, event_id, ts) of a stream: allowed while fewer than ``limit`` events lie in the window that ends with it.
+class Limiter(StatefulProcessor):
+    """Decides events of a bucket in the order of event time, once the watermark has passed them.
 
-    The state of a bucket is the times in its window, so it is bounded by what
-    one window holds; buckets without events for a window are forgotten.
+    Events that are not yet due wait in a list; times of decided ones are kept
+    while a window that is still to come may need them. A timer at the first
+    waiting event, or at the end of the last window, is the only one that counts:
+    when it fires, what is due is decided or the bucket is forgotten.
     """
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, ts in zip(rows["event_id"], rows["ts"]):
-            at = ts.value // 1000
-            times = [t for t in times if t > at - window_s * 1_000_000] + [at]
-            out.append((key[0], event_id, ts, len(times), len(times) <= limit))
-        state.update((times,))
-        state.setTimeoutDuration(window_s * 1000)
-        yield pd.DataFrame(out, columns=["bucket", "event_id", "ts", "used", "allowed"])
-
-    return events.groupBy("bucket").applyInPandasWithState(decide, DECISIONS, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def __init__(self, window_us: int, limit: int):
+        self.window_us, self.limit = window_us, limit
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long")
+        self.times = handle.getListState("times", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        """A row carries its time in microseconds, since list states do."""
+        first = None
+        for batch in rows:
+            for event_id, at in zip(batch["event_id"].tolist(), batch["at"].tolist()):
+                self.waiting.appendValue((at, event_id))
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        due_until = watermark * 1000
+        waiting = sorted((r[0], r[1]) for r in self.waiting.get())
+        due, later = [x for x in waiting if x[0] <= due_until], [x for x in waiting if x[0] > due_until]
+        times = [r[0] for r in self.times.get()] if self.times.exists() else []
+        out, start = [], 0
+        for at, group in groupby(due, key=itemgetter(0)):  # events of one time count for each other
+            ids = [event_id for _, event_id in group]
+            times += [at] * len(ids)
+            while times[start] <= at - self.window_us:
+                start += 1
+            used = len(times) - start
+            out += [(key[0], event_id, at, used, used <= self.limit) for event_id in ids]
+        times = [t for t in times[start:] if t > due_until - self.window_us]
+        for state, kept in ((self.waiting, later), (self.times, [(t,) for t in times])):
+            state.clear()
+            if kept:
+                state.put(kept)
+        follow = min(x[0] for x in later) if later else max(times) + self.window_us if times else None
+        if follow is not None:
+            self.handle.registerTimer(max(-(-follow // 1000), watermark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["bucket", "event_id", "at", "used", "allowed"])
+
+    def close(self) -> None:
+        pass
+
+
+def limiter(events: DataFrame, window_s: int, limit: int, late: str = "1 day") -> DataFrame:
+    """A decision for each event (bucket, event_id, ts) of a stream: allowed while at most ``limit`` events lie in the window that ends with it.
+
+    Events may come in any order and up to ``late`` behind the newest one; each is
+    decided when the watermark passes it, so that the decisions are those of the
+    whole log in order. Later ones are dropped, as are rows without a bucket or time.
+    A bucket's state is what one window and the delay hold, and goes with the
+    watermark. The state store has to be one that keeps lists and timers:
+    ``spark.sql.streaming.stateStore.providerClass`` names ``STORE``.
+    """
+    rows = events.where("bucket IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).select("bucket", "event_id", "ts", F.unix_micros("ts").alias("at"))
+    told = rows.groupBy("bucket").transformWithStateInPandas(Limiter(window_s * 1_000_000, limit), "bucket string, event_id long, at long, used long, allowed boolean", "Append", "EventTime")
+    return told.select("bucket", "event_id", F.timestamp_micros("at").alias("ts"), "used", "allowed")
 
 
 def throughput(events: DataFrame, late: str = "1 day") -> DataFrame:
