@@ -30,6 +30,11 @@ def metrics(m: DataFrame) -> DataFrame:
     return m.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "fpr": ratio(fp, fp + tn)})
 
 
+def summary(rows: DataFrame) -> DataFrame:
+    """Entries of each label: how many there are, have a verdict, have none, and have a hash."""
+    return rows.groupBy("label").agg(F.count("*").alias("entries"), F.count("verdict").alias("covered"), (F.count("*") - F.count("verdict")).alias("uncovered"), F.count("hash").alias("with_hash"))
+
+
 def contribution(rows: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     """For each family or rule: malicious and clean entries it fired on, once an entry, and its precision."""
     once = rows.where("verdict is not null").select("entry_id", "label", "analysis_id").join(hits.select("analysis_id", key).distinct(), "analysis_id")

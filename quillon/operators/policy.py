@@ -83,6 +83,21 @@ def decide(subjects: DataFrame, policies: list[dict]) -> DataFrame:
     )
 
 
+#: Analyses that a preview looks at, and matches that it shows.
+PREVIEWED, SHOWN = 500, 25
+
+
+def preview(policy: dict, seen: DataFrame, total: DataFrame) -> DataFrame:
+    """One row on what a policy by itself would do to the subjects ``seen``: how many there are, how many match, whether ``total`` (one row, ``total``) has more, and the newest matches with its conditions in words."""
+    own, _ = usable(policy)
+    newest = F.struct((-micros("completed_at")).alias("t"), (-F.col("analysis_id")).alias("k"), "analysis_id", "verdict")
+    # At most PREVIEWED rows.
+    sums = seen.agg(F.count("*").alias("evaluated"), F.count_if(matches(policy)).alias("matched"), F.slice(F.array_sort(F.collect_list(F.when(matches(policy), newest))), 1, SHOWN).alias("s"))
+    samples = F.transform("s", lambda x: F.struct(x["analysis_id"].alias("analysis_id"), x["verdict"].alias("verdict")))
+    reasons = F.array(*(F.lit(described(c)) for c in own["conditions"])).cast("array<string>")
+    return sums.crossJoin(F.broadcast(total)).select(F.lit(policy["action"]).alias("action"), "evaluated", "matched", (F.col("total") > F.col("evaluated")).alias("truncated"), F.lit(PREVIEWED).alias("window"), samples.alias("samples"), reasons.alias("reasons"))
+
+
 def subjects(analyses: DataFrame, hits: DataFrame, rules: DataFrame, packages: DataFrame, releases: DataFrame, as_of: str) -> DataFrame:
     """What policies look at: fired rules, a score for each family (each rule once), and the package with its number of ``maintainers``."""
     once = first_per(hits, ["analysis_id", "rule_id"], F.desc("weight"), F.asc("line"), F.desc("confidence"), F.asc("file_path"), F.desc("modifier")).join(F.broadcast(rules.select("rule_id", "enabled")), "rule_id", "left")

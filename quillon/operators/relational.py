@@ -24,6 +24,14 @@ def latest(analyses: DataFrame, keys: list[str]) -> DataFrame:
     return first_per(analyses, keys, *newest())
 
 
+def owned(page: DataFrame, analyses: DataFrame) -> DataFrame:
+    """A page of packages with ``own_analysis_id``: the latest of the reader's own ``analyses`` that has a verdict, or null. The page is short, so it is broadcast."""
+    own = analyses.where("verdict is not null").join(F.broadcast(page.select("package_id")), "package_id", "left_semi")
+    order = F.struct(F.coalesce(micros("completed_at"), F.lit(-(1 << 62))), F.col("analysis_id"))
+    last = own.groupBy("package_id").agg(F.max_by("analysis_id", order).alias("own_analysis_id"))
+    return page.join(last, "package_id", "left")
+
+
 def kpis(analyses: DataFrame) -> DataFrame:
     """All headline numbers in one pass over analyses."""
     done = F.col("completed_at").isNotNull()

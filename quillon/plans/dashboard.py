@@ -100,6 +100,15 @@ def intel_feed(analysis, package):
     return R.feed(analysis, package, 50)
 
 
+@query(f"""WITH rows AS (SELECT *, {RANK} AS rank FROM analysis WHERE {FLAGGED} AND completed_at IS NOT NULL),
+  page AS (SELECT package_id, min(rank) AS rank, max(completed_at) AS flagged_at FROM rows GROUP BY 1 ORDER BY rank, flagged_at DESC, package_id LIMIT 50),
+  own AS (SELECT package_id, analysis_id FROM analysis WHERE org_id = 3 AND verdict IS NOT NULL QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY completed_at DESC NULLS LAST, analysis_id DESC) = 1)
+  SELECT package_id, flagged_at, own.analysis_id AS own_analysis_id FROM page LEFT JOIN own USING (package_id)""")
+def intel_feed_owned(analysis, package):
+    """A page of the feed over all tenants, each package with the reader's own latest analysis of it, if there is one."""
+    return R.owned(R.feed(analysis, package, 50), analysis.where("org_id = 3")).select("package_id", "flagged_at", "own_analysis_id")
+
+
 @query("SELECT org_id, packages, coalesce(analyses, 0) AS analyses, coalesce(queued, 0) AS queued FROM (SELECT org_id, count(*) AS packages FROM package GROUP BY 1) LEFT JOIN (SELECT org_id, count(*) AS analyses, CAST(count_if(status = 'QUEUED') AS BIGINT) AS queued FROM analysis GROUP BY 1) USING (org_id)")
 def org_usage(package, analysis):
     own = package.groupBy("org_id").agg(F.count("*").alias("packages"))

@@ -1,12 +1,13 @@
-"""Queries over the labelled corpus: labels, and the analysis filed under three times the entry's id, if there is one."""
+"""Queries over the labelled corpus: labels, and the latest finished analysis of each entry. Three analyses in a row belong to one entry."""
 
 from pyspark.sql import functions as F
 
 from quillon.operators import evaluation as E
+from quillon.operators.relational import latest
 from quillon.plans.registry import query
 
-BASE = """corpus AS (SELECT doc_id AS entry_id, CASE WHEN toxic = 1 THEN 'MALICIOUS' ELSE 'CLEAN' END AS label, quality = 1 AS popular FROM labels),
-  verdicts AS (SELECT analysis_id // 3 AS entry_id, analysis_id, verdict FROM analysis WHERE analysis_id % 3 = 0 AND completed_at IS NOT NULL),
+BASE = """corpus AS (SELECT doc_id AS entry_id, CASE WHEN toxic = 1 THEN 'MALICIOUS' ELSE 'CLEAN' END AS label, quality = 1 AS popular, CASE WHEN doc_id % 4 > 0 THEN sha256(CAST(doc_id AS VARCHAR)) END AS hash FROM labels),
+  verdicts AS (SELECT analysis_id // 3 AS entry_id, analysis_id, verdict FROM analysis WHERE completed_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY analysis_id // 3 ORDER BY completed_at DESC, analysis_id DESC) = 1),
   seen AS (SELECT c.*, v.analysis_id, v.verdict, CASE WHEN verdict IS NULL THEN 'UNCOVERED' WHEN verdict IN ('KNOWN_MALICIOUS', 'LIKELY_MALICIOUS', 'SUSPICIOUS') THEN CASE label WHEN 'MALICIOUS' THEN 'TP' ELSE 'FP' END
            WHEN label = 'MALICIOUS' THEN 'FN' ELSE 'TN' END AS outcome FROM corpus c LEFT JOIN verdicts v USING (entry_id))"""
 COUNTS = ", ".join(f"CAST(count_if(outcome = '{o}') AS BIGINT) AS {o.lower()}" for o in ("TP", "FP", "TN", "FN", "UNCOVERED"))
@@ -20,14 +21,16 @@ RATIOS = f"{_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp', 'tp + fn')} AS
 
 
 def seen(labels, analysis):
-    corpus = labels.select(F.col("doc_id").alias("entry_id"), F.when(F.col("toxic") == 1, "MALICIOUS").otherwise("CLEAN").alias("label"), (F.col("quality") == 1).alias("popular"))
-    verdicts = analysis.where("analysis_id % 3 = 0 and completed_at is not null").select((F.col("analysis_id") / 3).cast("long").alias("entry_id"), "analysis_id", "verdict")
+    digest = F.when(F.col("doc_id") % 4 > 0, F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
+    corpus = labels.select(F.col("doc_id").alias("entry_id"), digest.alias("hash"), F.when(F.col("toxic") == 1, "MALICIOUS").otherwise("CLEAN").alias("label"), (F.col("quality") == 1).alias("popular"))
+    done = analysis.where("completed_at is not null").withColumn("entry_id", F.floor(F.col("analysis_id") / 3))
+    verdicts = latest(done, ["entry_id"]).select("entry_id", "analysis_id", "verdict")
     return E.observed(corpus, verdicts, "SUSPICIOUS")
 
 
 @query(f"WITH {BASE} SELECT entry_id, label, popular, analysis_id, verdict, outcome FROM seen")
 def corpus_observed(labels, analysis):
-    return seen(labels, analysis)
+    return seen(labels, analysis).drop("hash")
 
 
 @query(f"WITH {BASE} SELECT {COUNTS} FROM seen")
@@ -60,6 +63,6 @@ def rule_contribution(labels, analysis, hit):
     return E.contribution(seen(labels, analysis), hit, "rule_id")
 
 
-@query(f"WITH {BASE} SELECT label, count(*) AS entries, count(verdict) AS covered, count(*) - count(verdict) AS uncovered FROM seen GROUP BY 1")
+@query(f"WITH {BASE} SELECT label, count(*) AS entries, count(verdict) AS covered, count(*) - count(verdict) AS uncovered, count(hash) AS with_hash FROM seen GROUP BY 1")
 def corpus_summary(labels, analysis):
-    return seen(labels, analysis).groupBy("label").agg(F.count("*").alias("entries"), F.count("verdict").alias("covered"), (F.count("*") - F.count("verdict")).alias("uncovered"))
+    return E.summary(seen(labels, analysis))

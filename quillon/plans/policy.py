@@ -50,6 +50,22 @@ def policy_preview(analysis, hit, rule, package, release):
     return decisions(last, hit.join(F.broadcast(last.select("analysis_id")), "analysis_id", "left_semi"), rule, package, release).groupBy("action", "policy").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {DECIDED}, last AS (SELECT * FROM analysis WHERE verdict IS NOT NULL AND completed_at IS NOT NULL ORDER BY completed_at DESC, analysis_id DESC LIMIT 500),
+  m AS (SELECT l.analysis_id, l.verdict, l.completed_at, list_contains(string_split(matched, ','), 'young') AS own FROM decided JOIN last l USING (analysis_id)),
+  s AS (SELECT * FROM m WHERE own ORDER BY completed_at DESC, analysis_id DESC LIMIT 25)
+  SELECT 'WARN' AS action, count(*) AS evaluated, CAST(count_if(own) AS BIGINT) AS matched, (SELECT count(*) FROM analysis WHERE verdict IS NOT NULL AND completed_at IS NOT NULL) > count(*) AS truncated, 500 AS window,
+    (SELECT string_agg(concat(analysis_id, ' ', verdict), ',' ORDER BY completed_at DESC, analysis_id DESC) FROM s) AS samples, 'package first published less than 2300 days ago; fewer than 3 maintainers' AS reasons FROM m""")
+def policy_preview_samples(analysis, hit, rule, package, release):
+    """What one policy would do to the 500 latest finished analyses, with the newest of those that it matches."""
+    done = analysis.where("verdict is not null and completed_at is not null")
+    last = done.orderBy(F.desc("completed_at"), F.desc("analysis_id")).limit(P.PREVIEWED)
+    hits = hit.join(F.broadcast(last.select("analysis_id")), "analysis_id", "left_semi")
+    seen = P.subjects(last, hits, rule, package.withColumn("maintainers", F.col("package_id") % 5), release, AS_OF)
+    told = P.preview(next(p for p in POLICIES if p["name"] == "young"), seen, done.agg(F.count("*").alias("total")))
+    shown = F.array_join(F.transform("samples", lambda x: F.concat_ws(" ", x["analysis_id"].cast("string"), x["verdict"])), ",")
+    return told.select("action", "evaluated", "matched", "truncated", "window", F.when(F.size("samples") > 0, shown).alias("samples"), F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query(f"WITH {DECIDED} SELECT unnest(string_split(matched, ',')) AS policy, count(*) AS n FROM decided WHERE matched <> '' GROUP BY 1")
 def policy_conditions_matrix(analysis, hit, rule, package, release):
     """How many subjects each policy matches, decisive or not."""

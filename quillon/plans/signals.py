@@ -3,16 +3,16 @@
 from pyspark.sql import functions as F
 
 from quillon.functions import coordinates as K
-from quillon.functions.core import FAMILIES, VERDICTS, bucket_rank, name_of
+from quillon.functions.core import FAMILIES, VERDICTS
 from quillon.operators import campaigns as C
 from quillon.operators import governance as V
+from quillon.operators import intervals, scoring, sensitivity
 from quillon.operators import provenance as P
-from quillon.operators import scoring
 from quillon.operators import signals as S
 from quillon.operators import typosquat as T
 from quillon.plans.dashboard import NAMES
 from quillon.plans.files import TREES, trees
-from quillon.plans.registry import query
+from quillon.plans.registry import SQL, query
 from quillon.plans.scoring import _TRIGGERS, FIRED, POINTS
 from quillon.plans.typosquat import CANON, NEAR, candidates, popular
 
@@ -133,10 +133,25 @@ def signal_counts_all(hit):
     return hit.groupBy("analysis_id").agg(*(F.countDistinct(F.when(F.col("family") == f, F.col("rule_id"))).alias(f.lower()) for f in FAMILIES))
 
 
-@query(f"SELECT score, ({NAMES})[1 + CASE WHEN score >= 100 THEN 0 WHEN score >= 55 THEN 1 WHEN score >= 28 THEN 2 WHEN score >= 10 THEN 3 ELSE 4 END] AS verdict FROM (SELECT unnest(range(0, 1201)) / 10 AS score)")
-def verdict_boundaries(spark):
-    """The verdict of every score in steps of a tenth, to see where it turns."""
-    return spark.range(1201).select((F.col("id") / 10).alias("score")).select("score", name_of(bucket_rank(F.col("score")), VERDICTS).alias("verdict"))
+@query(f"SELECT floor(score * 10) / 10 AS score, verdict, count(*) AS analyses FROM ({SQL['verdict_scorecard']}) s WHERE decided_by = 'weighted-score' GROUP BY 1, 2")
+def verdict_boundaries(analysis, hit, rule):
+    """The verdicts of all scores that occur, in steps of a tenth, to see where they turn; triggers aside."""
+    rows = scoring.scorecard(analysis, hit, rule).where("decided_by = 'weighted-score'")
+    return rows.groupBy((F.floor(F.col("score") * 10) / 10).alias("score"), "verdict").agg(F.count("*").alias("analyses"))
+
+
+@query()
+def verdict_sensitivity(analysis, hit, rule):
+    """How few rules more or less would change each verdict; tests/test_sensitivity.py has a brute-force version."""
+    return sensitivity.sensitivity(analysis, hit, rule)
+
+
+@query("SELECT a.analysis_id, a.line_start, count(*) AS ranges FROM hit a JOIN hit b ON a.analysis_id = b.analysis_id AND a.line_start BETWEEN b.line_start AND b.line_end GROUP BY 1, 2")
+def lines_in_ranges(hit):
+    """How many findings each first line of a finding lies in."""
+    points = hit.select("analysis_id", F.col("line_start").alias("at"))
+    ranges = hit.select("analysis_id", "line_start", "line_end")
+    return intervals.inside(points, ranges, ["analysis_id"], "at", "line_start", "line_end", 32).groupBy("analysis_id", F.col("at").alias("line_start")).agg(F.count("*").alias("ranges"))
 
 
 @query("""WITH e AS (SELECT package_id, unnest([concat('Q-INS-00', 1 + package_id % 7), concat('Q-CAP-00', 1 + package_id % 9), concat('Q-CAP-00', 1 + package_id % 9)]) AS rule_id FROM package WHERE package_id % 4 = 0),
