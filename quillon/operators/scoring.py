@@ -108,6 +108,15 @@ def load_bearing(hits: DataFrame) -> DataFrame:
     return whole.select("analysis_id", "trigger", F.array_join(F.when(F.size("necessary") > 0, F.col("necessary")).otherwise(F.col("families")), ",").alias("rules"))
 
 
+def weighed(signals: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(package, score, worst, rules) of detection signals (package, rule_id, confidence) by a catalogue's weights: each rule once, at its greatest confidence; unknown rules weigh nothing."""
+    once = signals.groupBy("package", "rule_id").agg(F.max("confidence").alias("confidence"))
+    rows = once.join(F.broadcast(catalogue.select("rule_id", "weight", "severity")), "rule_id", "left")
+    worst = F.min(rank_of(F.col("severity"), SEVERITIES))
+    sums = rows.groupBy("package").agg(F.sum(F.coalesce(F.col("weight") * F.col("confidence"), F.lit(0.0))).alias("score"), worst.alias("worst"), F.count("*").alias("rules"))
+    return sums.select("package", half_up(F.col("score"), 4).alias("score"), name_of(F.col("worst"), SEVERITIES).alias("worst"), "rules")
+
+
 def family_breakdown(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Each analysis and family: rules in force, rules fired, contribution once a rule, worst severity; families without a hit too."""
     fired = fired_rules(hits).join(F.broadcast(rules.select("rule_id", "enabled")), "rule_id")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from quillon.functions import coordinates as K
 from quillon.functions import text as X
+from quillon.functions.core import SEVERITIES
 from quillon.functions.folders import shared_dir
-from quillon.operators import detect, diff, exports, provenance
+from quillon.operators import detect, diff, exports, provenance, scoring
 from quillon.plans.registry import query
-from quillon.sources import archives, lockfiles, registry
+from quillon.sources import archives, catalogue, lockfiles, registry
+from quillon.sources.catalogue import SQL as CATALOGUE
 
 # Packages of the one registry: customers with an order, each order a version; every tenth is scoped.
 _NPM = """v AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN concat('@s/pkg-', o_custkey) ELSE concat('pkg-', o_custkey) END AS name, o_custkey AS c, o_orderkey AS k, concat('1.', o_orderkey % 100, '.', o_orderkey) AS version, o_orderdate AS published_at,
@@ -225,6 +227,21 @@ def dense_install_rules(customer, rule):
     return rows.groupBy("rule_id").agg(F.count("*").alias("packages"), F.count_if("fired").alias("fired"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"))
 
 
+@query(f"""WITH {_INSTALLED}, r AS ({CATALOGUE}), o AS (SELECT package, rule_id, max(confidence) AS c FROM h GROUP BY 1, 2)
+  SELECT package, floor(CAST(sum(weight * c) AS DOUBLE) * 10000 + 0.5) / 10000 AS score, ({SEVERITIES!r})[min(list_position({SEVERITIES!r}, severity))] AS worst, count(*) AS rules FROM o JOIN r USING (rule_id) GROUP BY 1""")
+def install_scores(spark, customer):
+    """What runs on install, weighed by the catalogue of rules."""
+    return scoring.weighed(detect.install_signals(*installs(customer)), catalogue.catalogue(spark))
+
+
+@query(f"WITH r AS ({CATALOGUE}) SELECT r.rule_id, r.weight, r.severity, r.says, count(h.rule_id) AS hits, CAST(count_if(h.severity = r.severity) AS BIGINT) AS as_severe FROM r LEFT JOIN hit h ON h.rule_id = r.rule_id GROUP BY ALL")
+def rule_catalogue(spark, hit):
+    """The catalogue, with how often each rule was hit, and how often with the severity that it has there."""
+    hits = hit.groupBy("rule_id", F.col("severity").alias("found")).agg(F.count("*").alias("n"))  # a few hundred rows
+    rows = catalogue.catalogue(spark).join(hits, "rule_id", "left")
+    return rows.groupBy("rule_id", "weight", "severity", "says").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(F.col("found") == F.col("severity"), F.col("n"))), F.lit(0)).alias("as_severe"))
+
+
 @query("""SELECT c_custkey AS package, path FROM (SELECT c_custkey, unnest(CASE WHEN c_custkey % 3 = 0 THEN ['a.node', 'lib/B.DLL', 'c.js'] ELSE ['x.wasm'] END) AS path FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 4 <> 0) WHERE regexp_matches(path, '(?i)\\.(node|dll|wasm)$')""")
 def native_files(customer):
     """Native files of packages that declare none."""
