@@ -1,3 +1,3 @@
 """Queries by name; importing this package registers all of them."""
 
-from quillon.plans import dashboard, evaluation, events, files, governance, packages, policy, releases, scoring, scripts, signals, typosquat  # noqa: F401
+from quillon.plans import dashboard, evaluation, events, files, governance, packages, policy, releases, reports, scoring, scripts, signals, typosquat  # noqa: F401
