@@ -2,46 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.folders import materialise, shared_dir  # noqa: F401  used by the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder (as a URI) that the driver and all executors see.
-
-    It lies under ``spark.checkpoint.dir``; only where that is unset and Spark
-    runs in one process, as in tests, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _own_dir(spark: SparkSession) -> str:
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts its lineage."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with as many underscores in front as make it new among the columns."""
     taken = {c.lower() for c in df.columns}
