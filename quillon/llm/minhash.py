@@ -280,6 +280,19 @@ def links_among(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return rows.select("a", "salt", "node", "side", "text").mapInPandas(verify, "a long, b long")
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links: only the components that these join are looked at again."""
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    edges = materialise(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "joined")
+    if edges.isEmpty():
+        return found
+    more = materialise(connected_components(edges), "components")
+    kept = found.join(more.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return materialise(kept.unionByName(more.join(found.select("node"), "node", "left_anti")), "components")
+
+
 def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, component) for each row of documents whose ids are all different; component is null where the id is."""
     base = materialise(sketch(docs, width), "sketch")
@@ -291,7 +304,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = materialise(salts.join(banded, shared), "buckets")
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"), "texts")
 
-    links, found = [], None
+    found = None
     for turn in range(3):
         labelled = members.withColumn("component", F.col("node")) if found is None else members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # Buckets whose members are all in one component need no further look.
@@ -301,12 +314,12 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
             near = materialise(survivors_of(star_pairs(left, turn, salts), reps, percent), "near")
             made = links_among(near, texts, width, percent)
         else:
-            made = unit_links(materialise(left, "mixed"), reps, texts, salts, width, percent)
-        links.append(materialise(made, "links"))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        found = materialise(connected_components(edges), "components")
+            left = materialise(left, "mixed")
+            if left.isEmpty():
+                break
+            made = unit_links(left, reps, texts, salts, width, percent)
+        made = materialise(made, "links")
+        found = materialise(connected_components(made), "components") if found is None else joined(found, made)
 
     classes = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # Rows without a word or an id don't travel, so that they don't meet in one task.
