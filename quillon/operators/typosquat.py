@@ -23,17 +23,24 @@ def deletions(w):
     return F.array_distinct(F.concat(F.array(w), one, two))
 
 
-def pieces(w, length, shifts: range):
-    """The pieces into which a word of ``length`` characters would be cut, as they lie in ``w``, each moved by all of ``shifts``; with their number and ``length``."""
-    start = lambda i: (F.floor(i * length / PIECES)).cast("int")
-    cut = [F.concat_ws(":", length.cast("string"), F.lit(str(i)), F.substring(w, start(i) + 1 + shift, start(i + 1) - start(i))) for i in range(PIECES) for shift in shifts]
-    return F.array(*cut)
+def piece(w, length, i, shift):
+    """Piece ``i`` of those into which a word of ``length`` characters is cut, as it lies in ``w``, moved by ``shift``; with its number and ``length``."""
+    start = lambda k: F.floor(k * length / PIECES).cast("int")
+    return F.concat_ws(":", length.cast("string"), i.cast("string"), F.substring(w, start(i) + 1 + shift, start(i + 1) - start(i)))
+
+
+def pieces(w):
+    """All pieces of a word."""
+    return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: piece(w, F.length(w), i, F.lit(0)))
 
 
 def probes(w):
     """What ``w`` may share with a long target within ``EDITS``: a number of rows that doesn't grow with its length."""
-    near = range(-EDITS, EDITS + 1)
-    return F.flatten(F.array(*(F.when(F.length(w) + d > LONG, pieces(w, F.length(w) + d, near)).otherwise(F.array().cast("array<string>")) for d in near)))
+    near, width = F.sequence(F.lit(-EDITS), F.lit(EDITS)), 2 * EDITS + 1
+    places = F.sequence(F.lit(0), F.lit(PIECES * width - 1))  # a piece and a shift in one number
+    of_length = lambda n: F.transform(places, lambda j: piece(w, n, F.floor(j / width).cast("int"), j % width - EDITS))
+    lengths = F.filter(F.transform(near, lambda d: F.length(w) + d), lambda n: n > LONG)
+    return F.flatten(F.transform(lengths, of_length))
 
 
 def neighbours(candidates: DataFrame, popular: DataFrame) -> DataFrame:
@@ -49,7 +56,7 @@ def neighbours(candidates: DataFrame, popular: DataFrame) -> DataFrame:
     right = popular.select(F.col("name").alias("target"), F.col("downloads")).withColumn("b", N.canonical(F.col("target")))
     a, b, none = F.col("a"), F.col("b"), F.array().cast("array<string>")
     asked = F.concat(F.when(F.length(a) <= LONG + EDITS, deletions(a)).otherwise(none), F.when(F.length(a) > LONG - EDITS, probes(a)).otherwise(none))
-    filed = F.when(F.length(b) <= LONG, deletions(b)).otherwise(pieces(b, F.length(b), range(1)))
+    filed = F.when(F.length(b) <= LONG, deletions(b)).otherwise(pieces(b))
     near = (
         left.where(F.length("a") >= SHORTEST).withColumn("v", F.explode(F.array_distinct(asked)))
         .join(right.withColumn("v", F.explode(filed)), "v")

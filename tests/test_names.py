@@ -56,3 +56,30 @@ def test_folding(spark):
     rows = spark.createDataFrame([("rеасt", "react", True), ("l0dash", "lodash", False), ("Ex-press_js", "expressjs", False)], "name string, want string, alike boolean")
     for r in rows.select("*", names.canonical(F.col("name")).alias("c"), names.has_look_alike(F.col("name")).alias("h")).collect():
         assert (r.c, r.h) == (r.want, r.alike)
+
+
+def test_long_names_are_all_pairs_within_two_edits(spark):
+    """Around the length at which pieces take over from deletions: insertions, deletions, changes, and swaps across the cuts."""
+    import random
+
+    from quillon.operators import typosquat
+
+    rng = random.Random(8)
+    targets = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (5, 22, 23, 24, 25, 26, 27, 40, 41, 120) for _ in range(3)]
+    names = set()
+    for t in targets:
+        for _ in range(40):
+            w = list(t)
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                i = rng.randrange(len(w) - 1)
+                kind = rng.choice(["insert", "delete", "change", "swap", "swap"])
+                w[i : i + 2] = {"insert": [w[i], "x", w[i + 1]], "delete": [w[i]], "change": ["y", w[i + 1]], "swap": [w[i + 1], w[i]]}[kind]
+            names.add("".join(w))
+    popular = spark.createDataFrame([(t, 1) for t in targets], "name string, downloads long")
+    got = {(r.name, r.target) for r in typosquat.neighbours(spark.createDataFrame([(n,) for n in names], "name string"), popular).collect()}
+    want = {(n, t) for n in names for t in targets if n != t and abs(len(n) - len(t)) <= 2 and (len(n) >= 5 and names_near(n, t))}
+    assert got == want
+
+
+def names_near(a, b):
+    return names.distance(a, b, 2) <= 2
