@@ -82,13 +82,7 @@ def file_risk_inventory(hit, rule):
           CAST(count(DISTINCT CASE WHEN verdict IN ('CLEAN', 'LOW_RISK') THEN analysis_id END) AS BIGINT) AS benign FROM hit JOIN analysis USING (analysis_id) GROUP BY rule_id""")
 def rule_stats(hit, analysis):
     """How often each rule fired, and on how many benign analyses."""
-    benign = F.when(F.col("verdict").isin("CLEAN", "LOW_RISK"), F.col("analysis_id"))
-    # Counted in two steps, so that no task gets all of a common rule's rows.
-    return (
-        hit.join(analysis.select("analysis_id", "package_id", "verdict"), "analysis_id")
-        .groupBy("rule_id")
-        .agg(F.count("*").alias("hits"), F.countDistinct("analysis_id").alias("analyses"), F.countDistinct("package_id").alias("packages"), F.countDistinct(benign).alias("benign"))
-    )
+    return scoring.rule_stats(hit, analysis)
 
 
 @query("""SELECT r.rule_id, r.family, r.enabled, CAST(coalesce(n, 0) AS BIGINT) AS firings FROM rule r LEFT JOIN (SELECT rule_id, count(*) AS n FROM hit GROUP BY 1) USING (rule_id)""")
@@ -113,5 +107,4 @@ def evidence_capped(hit):
           CAST(count(DISTINCT CASE WHEN family = 'CAPABILITY' THEN rule_id END) AS BIGINT) AS capability FROM hit GROUP BY 1""")
 def signal_counts(hit):
     """Distinct fired rules of a family for each analysis."""
-    of = lambda f: F.countDistinct(F.when(F.col("family") == f, F.col("rule_id")))
-    return hit.groupBy("analysis_id").agg(of("INSTALL").alias("install"), of("OBFUSCATION").alias("obfuscation"), of("CAPABILITY").alias("capability"))
+    return scoring.signal_counts(hit, ["INSTALL", "OBFUSCATION", "CAPABILITY"])
