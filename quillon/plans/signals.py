@@ -130,7 +130,7 @@ _COUNTS = ", ".join(f"CAST(count(DISTINCT CASE WHEN family = '{f}' THEN rule_id
 @query(f"SELECT analysis_id, {_COUNTS} FROM hit GROUP BY 1")
 def signal_counts_all(hit):
     """Distinct fired rules of each of the six families."""
-    return hit.groupBy("analysis_id").agg(*(F.countDistinct(F.when(F.col("family") == f, F.col("rule_id"))).alias(f.lower()) for f in FAMILIES))
+    return scoring.signal_counts(hit, FAMILIES)
 
 
 @query(f"SELECT floor(score * 10) / 10 AS score, verdict, count(*) AS analyses FROM ({SQL['verdict_scorecard']}) s WHERE decided_by = 'weighted-score' GROUP BY 1, 2")
