@@ -38,6 +38,7 @@ BACKOFF = 0.4
 SHIFT = 21  # bits of a word's number
 TOP = -(1 << 63)  # the bit that hashes have and other keys lack
 UNSEEN = 0.5  # the count of a word that the corpus lacks
+SMALL = 2_000_000  # characters of foreign documents up to which the corpus is asked for their keys alone
 SLICE = 256  # documents that a worker takes apart at once
 
 
@@ -125,14 +126,20 @@ BIGRAM, WORD, END = 0, 1, 2
 FOREIGN = {"back": "double", "v": "long", "w": "long"}
 
 
-def exploded(docs: DataFrame, held, hot, foreign: bool) -> DataFrame:
+def among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which keys are in ``wanted``, which is sorted."""
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys if len(wanted) else np.zeros(len(keys), bool)
+
+
+def exploded(docs: DataFrame, held, hot, foreign: bool, wanted=None) -> DataFrame:
     """(row, key, code) for each row of ``docs`` and each key in it that isn't hot, and (row, doc_id, words, known) under a key of its own.
 
     If all bigrams are seen, a score is the sum of the logarithms of the counts
     of its bigrams and of its first and last word, less those of all its words
     and that of N. With ``foreign``, bigrams also have ``back``, which they add
     instead if unseen, without the logarithms of the counts of their rare words
-    ``v`` and ``w`` (0: not rare).
+    ``v`` and ``w`` (0: not rare). With ``wanted``, a broadcast of sorted keys, other
+    keys are left out.
     """
     columns = {**SEEN, **FOREIGN} if foreign else SEEN
 
@@ -161,6 +168,9 @@ def exploded(docs: DataFrame, held, hot, foreign: bool) -> DataFrame:
                     places = np.flatnonzero(~is_hot)
                     rest, first, times = np.unique(keys[places], return_index=True, return_counts=True)
                     rare, often = np.unique(own[own < 0], return_counts=True)
+                    if wanted is not None:
+                        kept, kept_rare = among(rest, wanted.value), among(rare, wanted.value)
+                        rest, first, times, rare, often = rest[kept], first[kept], times[kept], rare[kept_rare], often[kept_rare]
                     ends_rare = own[[0, -1]][own[[0, -1]] < 0] if len(own) else own
                     found["key"] += [rest, rare, ends_rare]
                     found["code"] += [4 * times + BIGRAM, 4 * often + WORD, np.full(len(ends_rare), 4 + END)]
@@ -207,7 +217,11 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     times, kind = F.shiftright("code", 2), F.col("code").bitwiseAND(3)
     occurs = F.when(kind < END, times).otherwise(0)
     if foreign:
-        rows = rows.unionByName(exploded(corpus, held, hot, False).where(kind < END).select("key", "code"), allowMissingColumns=True)
+        wanted = None
+        if (docs.agg(F.sum(F.length("text"))).first()[0] or 0) <= SMALL:
+            # Keys that no document has count for none; a text has fewer keys than characters.
+            wanted = spark.sparkContext.broadcast(np.sort(rows.select("key").distinct().toPandas()["key"].to_numpy(np.int64)))
+        rows = rows.unionByName(exploded(corpus, held, hot, False, wanted).where(kind < END).select("key", "code"), allowMissingColumns=True)
         occurs = F.when(F.col("row").isNull(), occurs).otherwise(0)
     counted = rows.withColumn("count", F.sum(occurs).over(Window.partitionBy("key")))
     weight = F.when(kind == WORD, -times).otherwise(times)
