@@ -61,6 +61,13 @@ class Memory:
             self.young[key] = found
         return found
 
+    def keep(self, made: dict[str, bytes]) -> None:
+        """Remember many at once."""
+        longer = [k for k in made if len(k) > LONGEST_REMEMBERED]
+        self.young.update(made if not longer else {k: v for k, v in made.items() if len(k) <= LONGEST_REMEMBERED})
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+
 
 class BytePairCodec:
     """Encoder and decoder for one vocabulary file in the tokenizers JSON format."""

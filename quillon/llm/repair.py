@@ -66,22 +66,22 @@ def selected(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]
     found = found[np.lexsort((found, -times))[:most]]
     _, first = np.unique(cells(found), return_index=True)
     found = found[np.sort(first)]
-    slot = np.full(CELLS, -1, np.int32)
-    slot[cells(found)] = np.arange(len(found), dtype=np.int32)
+    slot = np.full(CELLS, -1, np.int16)
+    slot[cells(found)] = np.arange(len(found), dtype=np.int16)
     return found, slot, len(found) == frequent
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, expansion lengths) of ids below ``base``."""
-    seq = ids.astype(np.uint32)
+    seq = ids.astype(np.uint16)
     rules = np.zeros((0, 2), np.uint32)
     new = 0  # pairs without a symbol from here on are known to be rare
     while len(seq) > 1 and (room := min(PAIRS, TOP - base - len(rules))) > 0:
         if new:
             at = np.flatnonzero((seq[:-1] >= new) | (seq[1:] >= new))
-            keys = seq[at] << np.uint32(16) | seq[at + 1]
+            keys = seq[at].astype(np.uint32) << np.uint32(16) | seq[at + 1]
         else:
-            at, keys = None, seq[:-1] << np.uint32(16) | seq[1:]
+            at, keys = None, seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
         pairs, slot, every = selected(keys, room)
         if not len(pairs):
             break
@@ -188,10 +188,17 @@ def pack(doc_ids: list, ends: list[int], ids: np.ndarray, base: int) -> bytes:
 
 
 class Encoder(BytePairCodec):
-    """The tokenizers library's model behind the bounded memories of pieces and pre-tokens; 16-bit ids."""
+    """The tokenizers library's model behind bounded memories of pieces and pre-tokens; 16-bit ids.
+
+    Texts are encoded many at a time. They are cut where pre-tokens begin in any
+    context, at blanks and behind letters; equal pieces are looked up once, and
+    new words go to the library in strings of several.
+    """
 
     width = "H"
     remembered = 400_000
+    #: Words given to the library in one string (in longer ones its queue gets slower), and characters of texts that are cut together.
+    together, most = 16, 1 << 21
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -200,21 +207,97 @@ class Encoder(BytePairCodec):
         self.model = Tokenizer.from_file(path).model
         self.symbols = byte_symbols()
         self.size = len(self.strings)
-        self.blank = self.symbols[32]
         self.token.make = self.ids_of
-
-    def settled_piece(self, piece: str) -> bytes:
-        if piece[:1] == " " and piece[1:].isalpha():
-            return self.ids_of(piece)  # the piece itself is remembered
-        return b"".join(map(self.token, self.pretokens(piece)))
+        #: Byte 0 stands between words, if no merge takes it; they have none.
+        self.printed = np.array([ord(self.symbols[b]) for b in range(256)], "<u2")
+        self.between, self.between_id = self.symbols[0], self.first[0]
+        self.apart = all(self.between_id not in pair[:2] for pair in self.pairs)
+        #: Of each settled character, whether it is a letter.
+        self.letter = np.array([chr(c).isalpha() for c in range(0xD800)])
+        self.hash_by(0x9E3779B97F4A7C15)
+
+    def hash_by(self, factor: int) -> None:
+        """Tables for the hashes of pieces: the powers of an odd number and of its inverse, and all places."""
+        power = lambda x: np.cumprod(np.full(self.most, x, np.uint64))
+        self.powers, self.inverses, self.places = power(factor), power(pow(factor, -1, 1 << 64)), np.arange(self.most)
 
     def ids_of(self, token: str) -> bytes:
-        """Ids of one pre-token by the library's model, which takes a printable character for each byte; letters of ASCII stand for themselves."""
-        if token.isascii() and token[1:].isalpha() and (token[0] == " " or token[0].isalpha()):
-            own = self.blank + token[1:] if token[0] == " " else token
-        else:
-            own = token.encode().decode("latin-1").translate(self.symbols)
-        return array(self.width, [t.id for t in self.model.tokenize(own)]).tobytes()
+        """Ids of one pre-token by the library's model, which takes a printable character for each byte."""
+        return array(self.width, [t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens without byte 0."""
+        if not words or not self.apart:
+            return list(map(self.ids_of, words))
+        printed = self.printed[np.frombuffer("\0".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le").split(self.between)
+        ids = array(self.width)
+        for k in range(0, len(printed), self.together):
+            ids.extend([t.id for t in self.model.tokenize(self.between.join(printed[k : k + self.together]) + self.between)])
+        data, ends = ids.tobytes(), 2 * np.flatnonzero(np.frombuffer(ids, np.uint16) == self.between_id)
+        return [data[a:b] for a, b in zip([0, *(ends + 2).tolist()], ends.tolist())]
+
+    def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces of settled text."""
+        found = list(map(self.piece.young.get, pieces))
+        absent = [k for k, x in enumerate(found) if x is None]
+        made, words = {}, []
+        for k in absent:
+            piece = pieces[k]
+            if (ids := self.piece.old.get(piece)) is not None:
+                made[piece] = ids
+            elif piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():
+                words.append(piece)
+            else:
+                made[piece] = b"".join(map(self.token, self.pretokens(piece)))
+        made.update(zip(words, self.ids_of_words(words)))
+        for k in absent:
+            found[k] = made[pieces[k]]
+        self.piece.keep(made)
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as ``encode`` gives them. Texts that can't be cut so are encoded by themselves."""
+        plain = [0 < len(t) <= self.most and "\0" not in t and self.odd_blank(t) is None and self.settled(t) is not None and not any(s in t for s in self.special) for t in texts]
+        made, held, size = [], [], 0
+        for text in (t for t, p in zip(texts, plain) if p):
+            if held and size + len(text) > self.most:
+                made += self.encode_settled(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        made = iter(made + (self.encode_settled(held) if held else []))
+        return [next(made) if p else self.encode(t) for t, p in zip(texts, plain)]
+
+    def encode_settled(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of settled characters, none of them empty, by their different pieces."""
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-16-le"), "<u2")  # settled characters are one unit each
+        ends = np.cumsum([len(t) for t in texts])
+        letter = (codes | np.uint16(32)) - np.uint16(97) < 26
+        wide = np.flatnonzero(codes > 127)
+        letter[wide] = self.letter[codes[wide]]
+        begins = codes == 32
+        begins[1:] |= letter[:-1] & ~letter[1:]
+        begins[0] = True
+        begins[ends[:-1]] = True
+        first = np.flatnonzero(begins)
+        n = np.diff(first, append=len(codes))
+        # Pieces of one polynomial hash are taken for equal, then compared.
+        with np.errstate(over="ignore"):
+            key = np.add.reduceat(codes * self.powers[: len(codes)], first) * self.inverses[first]
+        _, sample, number = np.unique(key, return_index=True, return_inverse=True)
+        same = sample[number]
+        other = np.repeat(first[same] - first, n)
+        other += self.places[: len(codes)]
+        if not ((n == n[same]).all() and (codes == codes[other]).all()):
+            return [self.encode(t) for t in texts]
+        ids = self.ids_of_pieces([whole[a:b] for a, b in zip(first[sample].tolist(), (first + n)[sample].tolist())])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        flat, size = np.frombuffer(b"".join(ids), np.uint16), sizes[number]
+        after = np.cumsum(size)
+        data = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - (after - size), size) + np.arange(int(after[-1]))].tobytes()
+        bounds = [0, *(2 * after[np.searchsorted(first, ends) - 1]).tolist()]
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -227,6 +310,23 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def together(batches: Iterator, most: int) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of documents in order, about ``most`` characters at a time."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            few = batch.slice(k, 64).to_pydict()
+            more = sum(map(len, few["text"]))
+            if texts and size + more > most:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+            keys += few["doc_id"]
+            texts += few["text"]
+            size += more
+    if texts:
+        yield keys, texts
+
+
 SHARDS = "part int, shard int, file string, offset long, length long, n_ids long, first_doc long, last_doc long"
 
 
@@ -265,17 +365,14 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0, shard_ids: i
             for x in (doc_ids, ends, held):
                 x.clear()
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                few = batch.slice(k, 256).to_pydict()
-                for doc_id, text in zip(few["doc_id"], few["text"]):
-                    ids = own.encode(text)
-                    held.append(ids + end)
-                    n += len(ids) // 2 + 1
-                    doc_ids.append(doc_id)
-                    ends.append(n)
-                    if n >= shard_ids:
-                        flush()
+        for keys, texts in together(batches, own.most):
+            for doc_id, ids in zip(keys, own.encode_all(texts)):
+                held.append(ids + end)
+                n += len(ids) // 2 + 1
+                doc_ids.append(doc_id)
+                ends.append(n)
+                if n >= shard_ids:
+                    flush()
         if n:
             flush()
         if out is not None:
