@@ -79,13 +79,33 @@ def pypi_archives(documents: DataFrame) -> DataFrame:
     return first_per(files, ["name", "version"], F.when(F.col("packagetype") == "sdist", 0).otherwise(1), F.col("filename")).select("name", "version", "filename", "url")
 
 
+#: What stands before and behind a version in its customary tags, in order of preference.
+CUSTOMARY = [("v", ""), ("", ""), ("release-", ""), ("releases/", ""), ("", "-release")]
+
+
 def resolve_tags(wanted: DataFrame, tags: DataFrame) -> DataFrame:
-    """(name, version, tag): the first customary tag of a version that the repository (name, tag) has, else the least one that ends in the version."""
-    bare = F.regexp_replace("version", "^v", "")
-    names = F.array(F.concat(F.lit("v"), bare), bare, F.concat(F.lit("release-"), bare), F.concat(F.lit("releases/"), bare), F.concat(bare, F.lit("-release")))
-    own = wanted.select("name", "version", F.explode(F.transform(names, lambda t, i: F.struct(t.alias("tag"), i.cast("int").alias("rank")))).alias("t")).select("name", "version", "t.tag", "t.rank")
-    exact = own.join(tags, ["name", "tag"])
-    # The end of a tag behind its last separator, so that this too is an equi-join; a version may itself have separators.
-    ends = tags.select("name", "tag", F.explode(F.transform(F.sequence(F.lit(1), F.length("tag")), lambda i: F.when(F.substring("tag", i, F.lit(1)).isin("@", "-", "/"), F.substring("tag", i + 1, F.length("tag"))))).alias("bare")).where("bare is not null")
-    suffix = wanted.select("name", "version", bare.alias("bare")).join(ends, ["name", "bare"]).select("name", "version", "tag", F.lit(9).alias("rank"))
-    return exact.select("name", "version", "tag", "rank").unionByName(suffix).groupBy("name", "version").agg(F.min(F.struct("rank", "tag"))["tag"].alias("tag"))
+    """(name, version, tag): the first customary tag of a version that the repository (name, tag) has, else the least one that ends in the version.
+
+    Tags say which versions they may stand for, so one aggregate by name and
+    version without its "v" holds all; what is shuffled is a row for each wanted
+    version and each candidate, at any size of the tables. Customary tags are made
+    again from their rank. Null names, versions and tags give no row.
+    """
+    tag, last = F.col("tag"), len(CUSTOMARY)
+    fits = lambda before, behind: F.startswith(tag, F.lit(before)) & F.endswith(tag, F.lit(behind)) & (F.length(tag) >= len(before + behind))
+    inside = lambda before, behind: F.substring(tag, F.lit(len(before) + 1), F.length(tag) - len(before + behind))
+    candidate = lambda bare, rank, own: F.struct(bare.alias("bare"), F.lit(rank).cast("tinyint").alias("rank"), own.alias("tag"))
+    customary = F.array(*(F.when(fits(*x), candidate(inside(*x), rank, F.lit(None).cast("string"))) for rank, x in enumerate(CUSTOMARY)))
+    # The end of a tag behind each separator; a version may itself have separators. "release-" and "releases/" are customary already.
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("tag"), F.lit(1))), lambda i: F.substring("tag", i, F.lit(1)).isin("@", "-", "/") & ~F.substring("tag", F.lit(1), i).isin("release-", "releases/"))
+    ends = F.transform(at, lambda i: candidate(F.substring("tag", i + 1, F.length("tag")), last, tag))
+    rows = tags.where("name is not null and tag is not null").select("name", F.explode(F.concat(F.array_compact(customary), ends)).alias("c")).select("name", "c.*")
+    # Wanted versions travel with the tags, those with a "v" as -2 and those without as -1.
+    v = F.startswith("version", F.lit("v"))
+    bare = F.when(v, F.substring("version", F.lit(2), F.length("version"))).otherwise(F.col("version"))
+    asked = wanted.where("name is not null and version is not null").select("name", bare.alias("bare"), F.when(v, -2).otherwise(-1).cast("tinyint").alias("rank"), F.lit(None).cast("string").alias("tag"))
+    best = F.min(F.when(F.col("rank") >= 0, F.struct("rank", "tag"))).alias("best")
+    found = asked.unionByName(rows).groupBy("name", "bare").agg(best, F.bool_or(F.col("rank") == -1).alias("plain"), F.bool_or(F.col("rank") == -2).alias("v")).where("best is not null and (plain or v)")
+    made = [F.when(F.col("best.rank") == rank, F.concat(F.lit(before), "bare", F.lit(behind))) for rank, (before, behind) in enumerate(CUSTOMARY)]
+    versions = F.array_compact(F.array(F.when(F.col("plain"), F.col("bare")), F.when(F.col("v"), F.concat(F.lit("v"), "bare"))))
+    return found.select("name", F.explode(versions).alias("version"), F.coalesce("best.tag", *made).alias("tag"))
